@@ -1,0 +1,5 @@
+"""Streaming: incremental ingest of newly landed raw files into the base layer."""
+
+from cabflow.streaming.ingest import ingest_base_stream
+
+__all__ = ["ingest_base_stream"]
