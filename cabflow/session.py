@@ -55,6 +55,10 @@ def build_session(
         "spark.sql.shuffle.partitions", str(shuffle_partitions or cpus)
     )
     builder = builder.config("spark.driver.memory", "16g")
+    # Small local data: let AQE keep several coalesced partitions so that
+    # month-partitioned writes of small layers use every core (a cluster's
+    # partitions are far above either floor, so this only matters locally).
+    builder = builder.config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
     builder = builder.config("spark.sql.execution.arrow.pyspark.enabled", "true")
     for key, value in {**RUNTIME_CONF, **(extra or {})}.items():
         builder = builder.config(key, value)
