@@ -25,7 +25,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from cabflow.plans.refresh import build_layers, layer_reports  # noqa: E402
 from cabflow.session import build_session, shared_dir  # noqa: E402
-from cabflow.sources.fixture import raw_trips  # noqa: E402
+from cabflow.sources import read_raw  # noqa: E402
+from cabflow.sources.fixture import land_raw  # noqa: E402
 
 
 def main() -> None:
@@ -43,11 +44,11 @@ def main() -> None:
 
     timings: dict[str, float] = {}
     start = time.perf_counter()
-    raw_trips(spark, sf_dir).write.mode("overwrite").parquet(f"{root}/raw")
+    land_raw(spark, sf_dir, f"{root}/raw")
     timings["land_raw"] = round(time.perf_counter() - start, 3)
 
     analysis_start = time.perf_counter()
-    raw = spark.read.parquet(f"{root}/raw")
+    raw = read_raw(spark, f"{root}/raw")
     paths = build_layers(spark, raw, root, timings)
     rows = {}
     for name, df in layer_reports(spark, paths).items():

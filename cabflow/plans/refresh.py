@@ -49,7 +49,10 @@ def build_layers(
 
     def silver() -> None:
         base = read_layer(spark, paths["trips_base"], "trips_base", lo=FIRST_MONTH)
-        write_layer(layers.build_silver(layers.enrich(base)), paths["trips_silver"], "trips_silver")
+        # Shuffle base columns only; the derived ones are added after the
+        # rebalance, right before the clustering sort and the write.
+        deduped = layers.deduped_base(layers.enrich(base))
+        write_layer(deduped, paths["trips_silver"], "trips_silver", derive=layers.enrich)
 
     step("trips_silver", silver)
 

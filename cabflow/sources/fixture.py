@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cabflow.sources.schema import RAW_COLUMNS
+from cabflow.sources.schema import RAW_COLUMNS, RAW_SCHEMA
 
 LINEITEM_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate"]
 
@@ -207,3 +207,15 @@ def raw_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw trips for a test-data folder (reads only the six columns it needs)."""
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*LINEITEM_COLUMNS)
     return trips_from_lineitem(spread(lineitem, "l_orderkey"))
+
+
+def land_raw(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Write the derived raw trips as Parquet in the declared raw schema.
+
+    Timestamps become UTC instants (``TIMESTAMP``), as in the public table;
+    the session runs in UTC, so the wall-clock values are unchanged.
+    """
+    trips = raw_trips(spark, sf_dir)
+    trips.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RAW_SCHEMA.fields]).write.mode(
+        "overwrite"
+    ).parquet(path)

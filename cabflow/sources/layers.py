@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 import datetime as _dt
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -32,12 +33,25 @@ class PartitionFilterRequired(ValueError):
     """A guarded layer was read without a month range."""
 
 
-def write_layer(df: DataFrame, path: str, layer: str, mode: str = "overwrite") -> None:
-    """Write ``df`` as layer ``layer`` under ``path`` (full rebuild by default)."""
+def write_layer(
+    df: DataFrame,
+    path: str,
+    layer: str,
+    mode: str = "overwrite",
+    derive: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
+    """Write ``df`` as layer ``layer`` under ``path`` (full rebuild by default).
+
+    ``derive`` adds columns after the rebalance exchange, so columns that are
+    functions of others are computed where they are written instead of
+    being shuffled.
+    """
     month = partition_column(layer)
-    keys = [k for k in CLUSTER_KEYS.get(layer, []) if k in df.columns]
-    laid_out = df.hint("rebalance", month).sortWithinPartitions(month, *keys)
-    laid_out.write.mode(mode).partitionBy(month).parquet(path)
+    laid_out = df.hint("rebalance", month)
+    if derive is not None:
+        laid_out = derive(laid_out)
+    keys = [k for k in CLUSTER_KEYS.get(layer, []) if k in laid_out.columns]
+    laid_out.sortWithinPartitions(month, *keys).write.mode(mode).partitionBy(month).parquet(path)
 
 
 def read_layer(

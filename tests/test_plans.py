@@ -78,3 +78,14 @@ def test_layer_write_plan_rebalances_by_month(spark, paths):
     laid_out = silver.hint("rebalance", "partition_month").sortWithinPartitions("partition_month")
     plan = plan_text(laid_out)
     assert "REBALANCE_PARTITIONS_BY_COL" in plan
+
+
+def test_silver_shuffles_only_base_columns(spark):
+    plan = plan_text(QUERIES["trips_silver"](spark, SF_SMALL))
+    details = plan.split("\n\n")
+    exchanges = [d for d in details if "Exchange" in d.split("\n")[0] and "hashpartitioning(taxi_id" in d]
+    assert exchanges
+    for block in exchanges:
+        inputs = next(line for line in block.split("\n") if line.startswith("Input"))
+        assert "company_clean" not in inputs and "dollars_per_km" not in inputs
+        assert inputs.startswith("Input [20]")
