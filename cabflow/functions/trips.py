@@ -17,7 +17,7 @@ KM_PER_MILE = 1.609344
 SECONDS_PER_MINUTE = 60.0
 SECONDS_PER_HOUR = 3600.0
 UNKNOWN_COMPANY = "Independent / Unknown"
-# Chicago community areas of the two airports.
+# Community-area numbers of the two airports.
 MIDWAY_AREA = 56
 OHARE_AREA = 76
 AIRPORT_AREAS = (56, 76)

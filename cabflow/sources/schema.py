@@ -11,7 +11,7 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
-# Raw trip record (the public Chicago taxi table, the columns the analysis
+# Raw trip record (the public taxi-trip table; the columns the analysis
 # names). Timestamps are UTC instants; the test adapter produces them as
 # TIMESTAMP_NTZ, which every function here accepts alike.
 RAW_FIELDS = [
