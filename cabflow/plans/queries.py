@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cabflow.operators import audits, layers, marts, reports
+from cabflow.session import tune_session
 from cabflow.sources.fixture import raw_trips
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,5 +76,19 @@ QUERIES: dict[str, Query] = {
 }
 
 
+def _tuned(fn: Query) -> Query:
+    """Apply the session settings the library relies on, then build the query."""
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tune_session(spark)
+        return fn(spark, sf_dir)
+
+    build.__name__ = getattr(fn, "__name__", "query")
+    return build
+
+
+QUERIES = {name: _tuned(fn) for name, fn in QUERIES.items()}
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

@@ -59,6 +59,10 @@ def build_session(
     # month-partitioned writes of small layers use every core (a cluster's
     # partitions are far above either floor, so this only matters locally).
     builder = builder.config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
+    # A local file system lists a few hundred month folders faster on the
+    # driver than through a distributed listing job (which pays off against
+    # an object store on a cluster).
+    builder = builder.config("spark.sql.sources.parallelPartitionDiscovery.threshold", "1024")
     builder = builder.config("spark.sql.execution.arrow.pyspark.enabled", "true")
     for key, value in {**RUNTIME_CONF, **(extra or {})}.items():
         builder = builder.config(key, value)
