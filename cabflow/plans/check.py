@@ -88,3 +88,29 @@ def plan_text(df: DataFrame, mode: str = "formatted") -> str:
     return df._jdf.queryExecution().explainString(
         df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode)
     )
+
+
+def _plan_nodes(node):
+    """All physical nodes of an executed plan, through adaptive query stages."""
+    yield node
+    name = node.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        yield from _plan_nodes(node.executedPlan())
+    elif name.endswith("QueryStageExec"):
+        yield from _plan_nodes(node.plan())
+    children = node.children()
+    for i in range(children.size()):
+        yield from _plan_nodes(children.apply(i))
+
+
+def shuffle_records(df: DataFrame) -> list[tuple[str, int]]:
+    """(partitioning, records written) of every shuffle ``df`` executed.
+
+    Call after an action on ``df`` itself (e.g. ``df.collect()``).
+    """
+    out = []
+    for node in _plan_nodes(df._jdf.queryExecution().executedPlan()):
+        if node.getClass().getSimpleName() == "ShuffleExchangeExec":
+            written = node.metrics().get("shuffleRecordsWritten").get().value()
+            out.append((node.outputPartitioning().toString(), int(written)))
+    return out
