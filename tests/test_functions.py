@@ -186,3 +186,20 @@ def test_dedup_order_and_null_taxi(spark):
     )
     got = sorted(r.unique_key for r in layers.dedup(df).collect())
     assert got == ["a2", "b1", "c2"]
+
+
+def test_company_clean_same_in_oracle_dialect(spark):
+    """Tabs, NBSP, thin/ideographic spaces, VT and dot runs: Spark = DuckDB text."""
+    import duckdb
+
+    from cabflow.functions.trips import TRAILING_DOTS_SPACE, UNICODE_TRIM
+
+    names = ["Foo Cab Co. . ", "...", "\tFoo Cab ", " Bar Taxi.\n", "A.B. Cab.", " Lead ", "x. ",
+             "　Wide　", "Tab\x0b"]
+    sql = (
+        f"SELECT regexp_replace(regexp_replace(c, '{TRAILING_DOTS_SPACE}', ''), '{UNICODE_TRIM}', '', 'g') "
+        "FROM (SELECT unnest($1) AS c)"
+    )
+    duck = [r[0] for r in duckdb.connect().execute(sql, [names]).fetchall()]
+    df = one_col(spark, names, T.StringType())
+    assert [r[0] for r in df.select(D.company_clean("v")).collect()] == duck

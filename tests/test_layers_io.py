@@ -56,3 +56,20 @@ def test_reports_on_written_marts_equal_lazy(spark, paths):
     for name, df in layer_reports(spark, paths).items():
         lazy = QUERIES[name](spark, SF_SMALL)
         assert sorted(map(repr, df.collect())) == sorted(map(repr, lazy.collect())), name
+
+
+def test_command_line_refresh(spark, scratch, capsys):
+    import json
+
+    from cabflow.__main__ import main
+    from cabflow.sources.fixture import land_raw
+
+    root = os.path.join(scratch, f"cli-{uuid.uuid4().hex[:8]}")
+    land_raw(spark, SF_SMALL, f"{root}/raw")
+    main(["refresh", "--raw", f"{root}/raw", "--root", f"{root}/out"])
+    out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert set(out["layers"]) == {"trips_base", "trips_silver", "mart_company_performance", "mart_time_analysis", "mart_geo_flows"}
+    airport = spark.read.parquet(f"{root}/out/reports/report_airport_segments")
+    assert airport.count() == 5
+    lazy = QUERIES["report_airport_segments"](spark, SF_SMALL)
+    assert sorted(map(repr, airport.select(lazy.columns).collect())) == sorted(map(repr, lazy.collect()))
