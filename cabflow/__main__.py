@@ -25,11 +25,15 @@ def main(argv: list[str] | None = None) -> None:
     refresh = sub.add_parser("refresh", help="rebuild base, silver, marts; write audits and reports")
     refresh.add_argument("--raw", required=True, help="folder of raw trip Parquet files")
     refresh.add_argument("--root", help="output root (default: under spark.checkpoint.dir)")
+    refresh.add_argument(
+        "--months", nargs=2, metavar=("FIRST", "LAST"),
+        help="rebuild only these months (YYYY-MM-01, inclusive); other months stay as written",
+    )
     args = parser.parse_args(argv)
 
     spark = tune_session(SparkSession.builder.appName("cabflow-refresh").getOrCreate())
     root = args.root or f"{shared_dir(spark).rstrip('/')}/cabflow-{int(time.time())}"
-    paths = refresh_from_files(spark, args.raw, root)
+    paths = refresh_from_files(spark, args.raw, root, months=tuple(args.months) if args.months else None)
     for name, df in layer_reports(spark, paths).items():
         df.write.mode("overwrite").parquet(f"{root}/reports/{name}")
     print(json.dumps({"root": root, "layers": paths}))

@@ -39,19 +39,24 @@ def write_layer(
     layer: str,
     mode: str = "overwrite",
     derive: Callable[[DataFrame], DataFrame] | None = None,
+    only_written_months: bool = False,
 ) -> None:
     """Write ``df`` as layer ``layer`` under ``path`` (full rebuild by default).
 
     ``derive`` adds columns after the rebalance exchange, so columns that are
     functions of others are computed where they are written instead of
-    being shuffled.
+    being shuffled. With ``only_written_months`` the overwrite replaces just
+    the month partitions present in ``df`` (dynamic partition overwrite).
     """
     month = partition_column(layer)
     laid_out = df.hint("rebalance", month)
     if derive is not None:
         laid_out = derive(laid_out)
     keys = [k for k in CLUSTER_KEYS.get(layer, []) if k in laid_out.columns]
-    laid_out.sortWithinPartitions(month, *keys).write.mode(mode).partitionBy(month).parquet(path)
+    writer = laid_out.sortWithinPartitions(month, *keys).write.mode(mode).partitionBy(month)
+    if only_written_months:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    writer.parquet(path)
 
 
 def read_layer(
