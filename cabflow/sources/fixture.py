@@ -197,10 +197,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     at least as many splits as cores and are left alone: no shuffle is added
     at scale.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. Spark Connect): leave the plan as it is
+        return df
+    return df.repartition(cores, key) if splits < cores else df
 
 
 def raw_trips(spark: SparkSession, sf_dir: str) -> DataFrame:

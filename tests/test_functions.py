@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-import pytest
 from pyspark.sql import functions as F, types as T
 
 from cabflow.functions import exact_sum, round_dec, safe_div

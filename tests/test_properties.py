@@ -3,7 +3,7 @@
 import datetime as dt
 
 from hypothesis import HealthCheck, given, settings, strategies as st
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import types as T
 
 from cabflow.functions import exact_sum
 from cabflow.functions import trips as D
