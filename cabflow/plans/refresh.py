@@ -129,6 +129,21 @@ def layer_reports(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataF
     }
 
 
+def register_views(spark: SparkSession, paths: dict[str, str]) -> list[str]:
+    """Expose the written layers to Spark SQL under the analysis' table names.
+
+    ``trips_base``, ``v_trips_enriched`` (the lazy enriched view),
+    ``trips_silver`` and the three marts become temporary views, so SQL
+    written against those names runs unchanged in dialect-neutral parts; a
+    ``WHERE partition_month …`` / ``month_start …`` bound prunes partitions
+    as the guarded reader does.
+    """
+    for name, path in paths.items():
+        spark.read.parquet(path).createOrReplaceTempView(name)
+    layers.enrich(spark.table("trips_base")).createOrReplaceTempView("v_trips_enriched")
+    return [*paths, "v_trips_enriched"]
+
+
 def refresh_from_files(
     spark: SparkSession, raw_path: str, root: str, months: tuple[str, str] | None = None
 ) -> dict[str, str]:

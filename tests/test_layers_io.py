@@ -89,3 +89,27 @@ def test_month_range_refresh_equals_full_rebuild(spark, scratch, paths):
         full = read_layer(spark, paths[name], name, lo=lo)
         assert incremental.count() == full.count(), name
         assert incremental.exceptAll(full.select(incremental.columns)).count() == 0, name
+
+
+def test_layers_as_sql_views(spark, paths):
+    from cabflow.plans.refresh import register_views
+
+    register_views(spark, paths)
+    sql = spark.sql(
+        """
+        SELECT CASE WHEN pickup_community_area IN (76, 56) THEN 'Airport Pickup'
+                    WHEN dropoff_community_area IN (76, 56) THEN 'Airport Dropoff'
+                    ELSE 'Non-Airport' END AS segment,
+               SUM(trip_count) AS trip_count
+        FROM mart_geo_flows
+        GROUP BY 1
+        """
+    )
+    report = QUERIES["report_airport_segments"](spark, SF_SMALL).groupBy("segment").sum("trip_count")
+    assert sorted(map(tuple, sql.collect())) == sorted(map(tuple, report.collect()))
+    pruned = spark.sql("SELECT COUNT(*) FROM v_trips_enriched WHERE partition_month >= DATE'2020-01-01' AND NOT has_geo")
+    assert "PartitionFilters: [isnotnull(partition_month" in plan_text(pruned)
+    expected = read_layer(spark, paths["trips_base"], "trips_base", lo="2020-01-01").filter(
+        "pickup_community_area IS NULL OR dropoff_community_area IS NULL"
+    ).count()
+    assert pruned.first()[0] == expected
