@@ -12,6 +12,7 @@ from __future__ import annotations
 import argparse
 import json
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
@@ -34,8 +35,14 @@ def main(argv: list[str] | None = None) -> None:
     spark = tune_session(SparkSession.builder.appName("cabflow-refresh").getOrCreate())
     root = args.root or f"{shared_dir(spark).rstrip('/')}/cabflow-{int(time.time())}"
     paths = refresh_from_files(spark, args.raw, root, months=tuple(args.months) if args.months else None)
-    for name, df in layer_reports(spark, paths).items():
-        df.write.mode("overwrite").parquet(f"{root}/reports/{name}")
+    reports = layer_reports(spark, paths)
+
+    def write(name: str) -> None:
+        reports[name].write.mode("overwrite").parquet(f"{root}/reports/{name}")
+
+    # Independent small outputs: submit their jobs together.
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        list(pool.map(write, reports))
     print(json.dumps({"root": root, "layers": paths}))
 
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -89,13 +90,37 @@ def build_layers(
         silver_df = read_layer(spark, paths["trips_silver"], "trips_silver", lo=lo, hi=hi)
         write(build(silver_df), name)
 
-    # Each mart reads only the silver months it aggregates.
-    step("mart_company_performance", lambda: mart("mart_company_performance", marts.mart_company_performance, "2017-01-01", "2021-12-01"))
-    step("mart_time_analysis", lambda: mart("mart_time_analysis", marts.mart_time_analysis, FIRST_MONTH, "2021-12-01"))
-    step("mart_geo_flows", lambda: mart("mart_geo_flows", marts.mart_geo_flows, "2017-01-01", "2021-12-01"))
+    # Each mart reads only the silver months it aggregates. The three are
+    # independent, so their jobs are submitted together and share the cores.
+    mart_specs = [
+        ("mart_company_performance", marts.mart_company_performance, "2017-01-01", "2021-12-01"),
+        ("mart_time_analysis", marts.mart_time_analysis, FIRST_MONTH, "2021-12-01"),
+        ("mart_geo_flows", marts.mart_geo_flows, "2017-01-01", "2021-12-01"),
+    ]
+
+    def all_marts() -> None:
+        with ThreadPoolExecutor(max_workers=len(mart_specs)) as pool:
+            for future in [pool.submit(step, spec[0], lambda spec=spec: mart(*spec)) for spec in mart_specs]:
+                future.result()
+
+    step("marts", all_marts)
     return paths
 
 
+def collect_all(frames: dict[str, DataFrame], timings: dict[str, float] | None = None, workers: int = 4):
+    """Run independent small result sets as concurrent jobs; return their rows."""
+    timings = timings if timings is not None else {}
+
+    def run(name: str):
+        start = time.perf_counter()
+        rows = frames[name].collect()
+        timings[name] = round(time.perf_counter() - start, 3)
+        return name, rows
+
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        return dict(pool.map(run, frames))
+
+
 def layer_reports(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
     """Audits on the base layer and reports on the written marts (lazy)."""
 
