@@ -1,14 +1,22 @@
 """Data-quality audits: completeness, payment words, anomalies, month status.
 
-Each audit is a single scan with one partial/final hash aggregation; the
-outputs have one row per year (or month, or payment word).
+All four audits are additive counts, so they share one pre-aggregate: the
+*audit profile*, one row per (trip day, payment word) with every counter
+the audits need (trips, 16 NULL counts, 13 anomaly counts). Building it is
+one scan of the base layer with map-side partial aggregation; its size is
+days x payment words (~50k rows for a decade), independent of the number
+of trips. Each audit then rolls the profile up (year, month or payment
+word). The refresh writes the profile once, so the base layer is scanned
+once for all audits instead of once per audit; passing a base DataFrame
+to an audit builds the profile lazily (Catalyst prunes the counters that
+audit does not use).
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cabflow.functions import round_dec, safe_div
 from cabflow.functions import trips as T
@@ -17,10 +25,61 @@ from cabflow.sources.schema import NULL_AUDIT_COLUMNS, TRIP_PARTITION
 
 FIRST_MONTH = "2013-01-01"
 MONTHLY_FIRST_MONTH = "2022-01-01"
+PROFILE_TRIPS = "trips"
+
+
+def anomaly_flags() -> dict[str, Column]:
+    """The anomaly and quality conditions counted per year, in report order."""
+    sec, km, total = F.col("trip_seconds"), F.col("trip_km"), F.col("trip_total")
+    return {
+        "ghost_trips": (F.coalesce(sec, F.lit(0)) == 0) & (F.coalesce(km, F.lit(0.0)) == 0),
+        "end_before_start": F.col("trip_end_timestamp") < F.col("trip_start_timestamp"),
+        "nonzero_trip_zero_pay": (sec > 0) & (km > 0) & (total == 0),
+        "impossible_speed": F.col("avg_speed_kmh") > 130,
+        "extreme_duration": F.col("duration_hr") > 6,
+        "extreme_total": total > 500,
+        "extreme_cost_min": (F.col("dollars_per_min") > 10) & (F.col("duration_min") > 1),
+        "extreme_distance": km > 300,
+        "total_mismatch": ~F.col("is_total_consistent"),
+        "missing_geo": ~F.col("has_geo"),
+        "airport_trips": F.col("is_airport_trip"),
+        "payment_unknown": F.col("payment_category") == T.OTHER,
+        "payment_no_revenue": F.col("payment_category") == T.NO_CHARGE,
+    }
+
+
+def is_profile(df: DataFrame) -> bool:
+    return "trip_date" in df.columns and PROFILE_TRIPS in df.columns
+
+
+def audit_profile(base: DataFrame) -> DataFrame:
+    """(trip_date, payment_type) -> trips, null_<col> x16, anomaly counts x13.
+
+    Accepts the base layer or the enriched view (derived columns are added
+    when missing).
+    """
+    from cabflow.operators.layers import enrich  # layers imports nothing from here
+
+    enriched = base if "trip_km" in base.columns else enrich(base)
+    counters = [F.count(F.lit(1)).alias(PROFILE_TRIPS)]
+    counters += [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in NULL_AUDIT_COLUMNS]
+    counters += [F.count_if(cond).alias(name) for name, cond in anomaly_flags().items()]
+    return enriched.groupBy(
+        F.to_date("trip_start_timestamp").alias("trip_date"), F.col("payment_type")
+    ).agg(*counters)
+
+
+def _profile(source: DataFrame, lo: str | _dt.date) -> DataFrame:
+    """The profile restricted to months from ``lo`` (month-granular bound)."""
+    bound = F.lit(as_date(lo))
+    if is_profile(source):
+        return source.filter(F.trunc("trip_date", "month") >= bound)
+    # From the base layer: bound the partition column, so months are pruned.
+    return audit_profile(source.filter(F.col(TRIP_PARTITION) >= bound))
 
 
 def audit_nulls(
-    base: DataFrame,
+    source: DataFrame,
     by: str = "year",
     lo: str | _dt.date | None = None,
     columns: list[str] | None = None,
@@ -28,20 +87,22 @@ def audit_nulls(
     """Rows and NULL percentage (2 d.p.) of each audited column per year.
 
     ``by="month"`` groups by year and month, adds the number of distinct
-    trip days, and defaults to the months from 2022 on.
+    trip days, and defaults to the months from 2022 on. ``source`` is the
+    base layer or its audit profile.
     """
     if by not in ("year", "month"):
         raise ValueError("by must be 'year' or 'month'")
     monthly = by == "month"
     lo = lo or (MONTHLY_FIRST_MONTH if monthly else FIRST_MONTH)
     columns = columns or NULL_AUDIT_COLUMNS
-    start = F.col("trip_start_timestamp")
-    keys = [F.year(start).alias("year")] + ([F.month(start).alias("month")] if monthly else [])
-    counts = [F.count(F.lit(1)).alias("total_rows")]
-    counts += [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in columns]
+    day = F.col("trip_date")
+    keys = [F.year(day).alias("year")] + ([F.month(day).alias("month")] if monthly else [])
+    counts = [F.sum(PROFILE_TRIPS).alias("total_rows")]
+    counts += [F.sum(f"null_{c}").alias(f"null_{c}") for c in columns]
     if monthly:
-        counts.append(F.count_distinct(F.to_date(start)).alias("distinct_days"))
-    agg = base.filter(F.col(TRIP_PARTITION) >= F.lit(as_date(lo))).groupBy(*keys).agg(*counts)
+        # every profile row is a day with at least one trip
+        counts.append(F.count_distinct(day).alias("distinct_days"))
+    agg = _profile(source, lo).groupBy(*keys).agg(*counts)
     key_names = ["year", "month"] if monthly else ["year"]
     out = key_names + (["distinct_days"] if monthly else []) + ["total_rows"]
     pcts = [
@@ -50,53 +111,34 @@ def audit_nulls(
     return agg.select(*out, *pcts).orderBy(*key_names)
 
 
-def audit_payment_types(base: DataFrame, lo: str | _dt.date = FIRST_MONTH) -> DataFrame:
+def audit_payment_types(source: DataFrame, lo: str | _dt.date = FIRST_MONTH) -> DataFrame:
     """Each raw payment word: occurrences and first/last month seen."""
+    month = F.trunc("trip_date", "month")
     return (
-        base.filter(F.col(TRIP_PARTITION) >= F.lit(as_date(lo)))
+        _profile(source, lo)
         .groupBy("payment_type")
         .agg(
-            F.count(F.lit(1)).alias("total_occurrences"),
-            F.min(TRIP_PARTITION).alias("first_seen"),
-            F.max(TRIP_PARTITION).alias("last_seen"),
+            F.sum(PROFILE_TRIPS).alias("total_occurrences"),
+            F.min(month).alias("first_seen"),
+            F.max(month).alias("last_seen"),
         )
         .orderBy(F.desc("total_occurrences"))
     )
 
 
-def anomaly_flags() -> dict[str, "F.Column"]:
-    """The anomaly and quality conditions counted per year, in report order."""
-    sec, km, total = F.col("trip_seconds"), F.col("trip_km"), F.col("trip_total")
-    return {
-        "ghost_trips": (F.coalesce(sec, F.lit(0)) == 0) & (F.coalesce(km, F.lit(0.0)) == 0),
-        "end_before_start": F.col("trip_end_timestamp") < F.col("trip_start_timestamp"),
-        "nonzero_trip_zero_pay": (sec > 0) & (km > 0) & (total == 0),
-        "impossible_speed": F.col("avg_speed_kmh") > 130,
-        "extreme_duration": F.col("duration_hr") > 6,
-        "extreme_total": total > 500,
-        "extreme_cost_min": (F.col("dollars_per_min") > 10) & (F.col("duration_min") > 1),
-        "extreme_distance": km > 300,
-        "total_mismatch": ~F.col("is_total_consistent"),
-        "missing_geo": ~F.col("has_geo"),
-        "airport_trips": F.col("is_airport_trip"),
-        "payment_unknown": F.col("payment_category") == T.OTHER,
-        "payment_no_revenue": F.col("payment_category") == T.NO_CHARGE,
-    }
-
-
-def audit_anomalies(enriched: DataFrame, lo: str | _dt.date = FIRST_MONTH) -> DataFrame:
+def audit_anomalies(source: DataFrame, lo: str | _dt.date = FIRST_MONTH) -> DataFrame:
     """Per year: rows, 13 anomaly/quality counts and three percentages (3 d.p.)."""
-    flags = anomaly_flags()
+    names = list(anomaly_flags())
     agg = (
-        enriched.filter(F.col(TRIP_PARTITION) >= F.lit(as_date(lo)))
-        .groupBy(F.year("trip_start_timestamp").alias("trip_year"))
-        .agg(F.count(F.lit(1)).alias("total_rows"), *[F.count_if(c).alias(n) for n, c in flags.items()])
+        _profile(source, lo)
+        .groupBy(F.year("trip_date").alias("trip_year"))
+        .agg(F.sum(PROFILE_TRIPS).alias("total_rows"), *[F.sum(n).alias(n) for n in names])
     )
     pct = lambda n: round_dec(safe_div(F.col(n), F.col("total_rows")) * 100, 3)
     return agg.select(
         "trip_year",
         "total_rows",
-        *flags.keys(),
+        *names,
         pct("ghost_trips").alias("ghost_pct"),
         pct("impossible_speed").alias("speed_pct"),
         pct("total_mismatch").alias("mismatch_pct"),

@@ -25,7 +25,14 @@ from cabflow.sources.layers import as_date, read_layer, write_layer
 from cabflow.sources.schema import TRIP_PARTITION
 
 FIRST_MONTH = "2013-01-01"
-LAYERS = ["trips_base", "trips_silver", "mart_company_performance", "mart_time_analysis", "mart_geo_flows"]
+LAYERS = [
+    "trips_base",
+    "audit_profile",
+    "trips_silver",
+    "mart_company_performance",
+    "mart_time_analysis",
+    "mart_geo_flows",
+]
 
 
 def layer_paths(root: str) -> dict[str, str]:
@@ -74,6 +81,13 @@ def build_layers(
 
     step("trips_base", base)
 
+    def profile() -> None:
+        # One scan of base for all audits (small: days x payment words).
+        lo, hi = _clip(FIRST_MONTH, "9999-12-01", months)
+        base_df = read_layer(spark, paths["trips_base"], "trips_base", lo=lo, hi=hi)
+        prof = audits.audit_profile(base_df).withColumn(TRIP_PARTITION, F.trunc("trip_date", "month"))
+        write_layer(prof, paths["audit_profile"], "trips_audit_profile", only_written_months=partial)
+
     def silver() -> None:
         lo, hi = _clip(FIRST_MONTH, "9999-12-01", months)
         base_df = read_layer(spark, paths["trips_base"], "trips_base", lo=lo, hi=hi)
@@ -81,7 +95,13 @@ def build_layers(
         # rebalance, right before the clustering sort and the write.
         write(layers.deduped_base(layers.enrich(base_df)), "trips_silver", derive=layers.enrich)
 
-    step("trips_silver", silver)
+    # Both read only the base layer: submit their jobs together.
+    def profile_and_silver() -> None:
+        with ThreadPoolExecutor(max_workers=2) as pool:
+            for future in [pool.submit(step, "audit_profile", profile), pool.submit(step, "trips_silver", silver)]:
+                future.result()
+
+    step("profile_and_silver", profile_and_silver)
 
     def mart(name: str, build: Callable[[DataFrame], DataFrame], lo: str, hi: str) -> None:
         lo, hi = _clip(lo, hi, months)
@@ -122,10 +142,10 @@ def collect_all(frames: dict[str, DataFrame], timings: dict[str, float] | None =
 
 
 def layer_reports(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
-    """Audits on the base layer and reports on the written marts (lazy)."""
+    """Audits on the written audit profile and reports on the written marts (lazy)."""
 
-    def base(lo: str = FIRST_MONTH) -> DataFrame:
-        return read_layer(spark, paths["trips_base"], "trips_base", lo=lo)
+    def profile(lo: str = FIRST_MONTH) -> DataFrame:
+        return read_layer(spark, paths["audit_profile"], "trips_audit_profile", lo=lo).drop(TRIP_PARTITION)
 
     def company(lo: str, hi: str) -> DataFrame:
         return read_layer(spark, paths["mart_company_performance"], "mart_company_performance", lo=lo, hi=hi)
@@ -134,14 +154,14 @@ def layer_reports(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataF
         return read_layer(spark, paths["mart_time_analysis"], "mart_time_analysis", lo=lo, hi=hi)
 
     geo = read_layer(spark, paths["mart_geo_flows"], "mart_geo_flows")
-    monthly = audits.audit_nulls(base(audits.MONTHLY_FIRST_MONTH), by="month")
+    monthly = audits.audit_nulls(profile(audits.MONTHLY_FIRST_MONTH), by="month")
     tips = reports.report_company_tips(company("2017-01-01", "2021-12-01"))
     return {
-        "audit_nulls_yearly": audits.audit_nulls(base(), by="year"),
+        "audit_nulls_yearly": audits.audit_nulls(profile(), by="year"),
         "audit_nulls_monthly": monthly,
         "audit_month_status": audits.audit_month_status(monthly),
-        "audit_payment_types": audits.audit_payment_types(base()),
-        "audit_anomalies": audits.audit_anomalies(layers.enrich(base())),
+        "audit_payment_types": audits.audit_payment_types(profile()),
+        "audit_anomalies": audits.audit_anomalies(profile()),
         "report_company_tips": tips,
         "report_market_share": reports.report_market_share(company("2013-01-01", "2022-01-01")),
         "report_payment_trend": reports.report_payment_trend(company("2013-01-01", "2021-12-01")),

@@ -92,6 +92,7 @@ CLUSTER_KEYS = {
 # Layers whose reads must name a month range (the geo mart may be scanned whole).
 GUARDED_LAYERS = {
     "trips_base": True,
+    "trips_audit_profile": True,
     "trips_silver": True,
     "mart_company_performance": True,
     "mart_time_analysis": True,

@@ -68,7 +68,7 @@ def test_command_line_refresh(spark, scratch, capsys):
     land_raw(spark, SF_SMALL, f"{root}/raw")
     main(["refresh", "--raw", f"{root}/raw", "--root", f"{root}/out"])
     out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
-    assert set(out["layers"]) == {"trips_base", "trips_silver", "mart_company_performance", "mart_time_analysis", "mart_geo_flows"}
+    assert set(out["layers"]) == {"trips_base", "audit_profile", "trips_silver", "mart_company_performance", "mart_time_analysis", "mart_geo_flows"}
     airport = spark.read.parquet(f"{root}/out/reports/report_airport_segments")
     assert airport.count() == 5
     lazy = QUERIES["report_airport_segments"](spark, SF_SMALL)
