@@ -83,10 +83,19 @@ def test_month_range_refresh_equals_full_rebuild(spark, scratch, paths):
     raw = raw_trips(spark, SF_SMALL)
     build_layers(spark, raw.filter(F.year("trip_start_timestamp") != 2019), root)
     build_layers(spark, raw, root, months=("2019-01-01", "2019-12-01"))
-    for name in ("trips_base", "trips_silver", "mart_company_performance", "mart_time_analysis", "mart_geo_flows"):
+    layer_of = {"audit_profile": "trips_audit_profile"}
+    for name in (
+        "trips_base",
+        "audit_profile",
+        "trips_silver",
+        "mart_company_performance",
+        "mart_time_analysis",
+        "mart_geo_flows",
+    ):
         lo = "2013-01-01" if name != "mart_geo_flows" else None
-        incremental = read_layer(spark, f"{root}/{name}", name, lo=lo)
-        full = read_layer(spark, paths[name], name, lo=lo)
+        layer = layer_of.get(name, name)
+        incremental = read_layer(spark, f"{root}/{name}", layer, lo=lo)
+        full = read_layer(spark, paths[name], layer, lo=lo)
         assert incremental.count() == full.count(), name
         assert incremental.exceptAll(full.select(incremental.columns)).count() == 0, name
 
