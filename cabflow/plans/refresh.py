@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cabflow.operators import audits, layers, marts, reports
 from cabflow.sources import read_raw
 from cabflow.sources.layers import as_date, read_layer, write_layer
-from cabflow.sources.schema import TRIP_PARTITION
+from cabflow.sources.schema import PROFILE_PARTITION, TRIP_PARTITION
 
 FIRST_MONTH = "2013-01-01"
 LAYERS = [
@@ -82,11 +82,14 @@ def build_layers(
     step("trips_base", base)
 
     def profile() -> None:
-        # One scan of base for all audits (small: days x payment words).
+        # One scan of base for all audits (small: days x payment words), in
+        # yearly partitions; a month range rebuilds the whole years it touches.
         lo, hi = _clip(FIRST_MONTH, "9999-12-01", months)
+        if partial:
+            lo, hi = max(FIRST_MONTH, f"{lo[:4]}-01-01"), f"{hi[:4]}-12-01"
         base_df = read_layer(spark, paths["trips_base"], "trips_base", lo=lo, hi=hi)
-        prof = audits.audit_profile(base_df).withColumn(TRIP_PARTITION, F.trunc("trip_date", "month"))
-        write_layer(prof, paths["audit_profile"], "trips_audit_profile", only_written_months=partial)
+        prof = audits.audit_profile(base_df).withColumn(PROFILE_PARTITION, F.year("trip_date"))
+        write_layer(prof, paths["audit_profile"], "audit_profile", only_written_months=partial)
 
     def silver() -> None:
         lo, hi = _clip(FIRST_MONTH, "9999-12-01", months)
@@ -145,7 +148,7 @@ def layer_reports(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataF
     """Audits on the written audit profile and reports on the written marts (lazy)."""
 
     def profile(lo: str = FIRST_MONTH) -> DataFrame:
-        return read_layer(spark, paths["audit_profile"], "trips_audit_profile", lo=lo).drop(TRIP_PARTITION)
+        return read_layer(spark, paths["audit_profile"], "audit_profile", lo=lo).drop(PROFILE_PARTITION)
 
     def company(lo: str, hi: str) -> DataFrame:
         return read_layer(spark, paths["mart_company_performance"], "mart_company_performance", lo=lo, hi=hi)

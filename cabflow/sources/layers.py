@@ -18,7 +18,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cabflow.sources.schema import CLUSTER_KEYS, GUARDED_LAYERS, MART_PARTITION, TRIP_PARTITION
+from cabflow.sources.schema import (
+    CLUSTER_KEYS,
+    GUARDED_LAYERS,
+    MART_PARTITION,
+    PARTITION_COLUMNS,
+    PROFILE_PARTITION,
+    TRIP_PARTITION,
+)
 
 
 def as_date(value: str | _dt.date) -> _dt.date:
@@ -26,6 +33,8 @@ def as_date(value: str | _dt.date) -> _dt.date:
 
 
 def partition_column(layer: str) -> str:
+    if layer in PARTITION_COLUMNS:
+        return PARTITION_COLUMNS[layer]
     return TRIP_PARTITION if layer.startswith("trips_") else MART_PARTITION
 
 
@@ -75,8 +84,10 @@ def read_layer(
     if GUARDED_LAYERS.get(layer, False) and lo is None and hi is None:
         raise PartitionFilterRequired(f"{layer}: pass lo/hi to bound {month}")
     df = spark.read.parquet(path)
+    # a yearly partitioned layer is bounded by the years of the months
+    bound = (lambda d: as_date(d).year) if month == PROFILE_PARTITION else as_date
     if lo is not None:
-        df = df.filter(F.col(month) >= F.lit(as_date(lo)))
+        df = df.filter(F.col(month) >= F.lit(bound(lo)))
     if hi is not None:
-        df = df.filter(F.col(month) <= F.lit(as_date(hi)))
+        df = df.filter(F.col(month) <= F.lit(bound(hi)))
     return df

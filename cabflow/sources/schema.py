@@ -78,6 +78,10 @@ ENRICHED_COLUMNS = [
 # Partition column of the trip layers and of the marts.
 TRIP_PARTITION = "partition_month"
 MART_PARTITION = "month_start"
+# The audit profile is days x payment words (~50k rows even for a decade of
+# full data): yearly partitions, not monthly ones, keep its files sensible.
+PROFILE_PARTITION = "trip_year"
+PARTITION_COLUMNS = {"audit_profile": PROFILE_PARTITION}
 
 # Clustering keys used to sort rows inside each written month (min/max
 # statistics of Parquet row groups then prune on them).
@@ -92,7 +96,7 @@ CLUSTER_KEYS = {
 # Layers whose reads must name a month range (the geo mart may be scanned whole).
 GUARDED_LAYERS = {
     "trips_base": True,
-    "trips_audit_profile": True,
+    "audit_profile": True,
     "trips_silver": True,
     "mart_company_performance": True,
     "mart_time_analysis": True,
