@@ -2,10 +2,12 @@
 
 This is the production path (``CREATE OR REPLACE TABLE`` per layer):
 
-    raw files -> trips_base -> trips_silver -> 3 marts -> audits / reports
+    raw files -> trips_base -> audit_profile  -> 5 audits
+                          -> trips_silver   -> 3 marts -> 9 reports
 
-Each layer is a full rebuild written as month-partitioned Parquet under a
-root in the cluster's shared folder. Writing cuts the lineage: a lost
+Each layer is a full rebuild (or an exact month-range rebuild) written as
+month-partitioned Parquet (the small audit profile: yearly) under a root in
+the cluster's shared folder. Writing cuts the lineage: a lost
 executor only costs the tasks of the layer being built, and later layers
 scan files instead of recomputing the chain. Reads go through the guarded
 reader, so every scan names its months and prunes whole partitions.
@@ -52,12 +54,13 @@ def build_layers(
     timings: dict[str, float] | None = None,
     months: tuple[str, str] | None = None,
 ) -> dict[str, str]:
-    """Rebuild base, silver and the three marts under ``root``; return their paths.
+    """Rebuild base, the audit profile, silver and the marts under ``root``; return their paths.
 
     ``months=(lo, hi)`` (first days of months, inclusive) rebuilds only those
-    month partitions of every layer and leaves the others in place. This is
-    exact, not an approximation: a silver row depends only on trips with the
-    same start time (the dedup key), hence of the same month, and every mart
+    month partitions of every layer (whole years of the yearly audit profile)
+    and leaves the others in place. This is exact, not an approximation: a
+    silver row depends only on trips with the same start time (the dedup
+    key), hence of the same month, and every mart
     row is an aggregate within one month.
     """
     paths = layer_paths(root)
