@@ -75,14 +75,16 @@ def test_command_line_refresh(spark, scratch, capsys):
     assert sorted(map(repr, airport.select(lazy.columns).collect())) == sorted(map(repr, lazy.collect()))
 
 
-def test_month_range_refresh_equals_full_rebuild(spark, scratch, paths):
-    """Rebuild a layer set whose 2019 trips were missing, for 2019 only."""
+@pytest.mark.parametrize("lo,hi", [("2019-01-01", "2019-12-01"), ("2018-04-01", "2018-06-01")])
+def test_month_range_refresh_equals_full_rebuild(spark, scratch, paths, lo, hi):
+    """Rebuild a layer set whose trips of [lo, hi] were missing, for those months only."""
     from pyspark.sql import functions as F
 
     root = os.path.join(scratch, f"incr-{uuid.uuid4().hex[:8]}")
     raw = raw_trips(spark, SF_SMALL)
-    build_layers(spark, raw.filter(F.year("trip_start_timestamp") != 2019), root)
-    build_layers(spark, raw, root, months=("2019-01-01", "2019-12-01"))
+    month = F.trunc(F.to_date("trip_start_timestamp"), "month")
+    build_layers(spark, raw.filter(~month.between(lo, hi) | month.isNull()), root)
+    build_layers(spark, raw, root, months=(lo, hi))
     for name in (
         "trips_base",
         "audit_profile",
