@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cabflow.llm.bpe_vocab import Vocabulary, vocabulary
+from cabflow.llm.bpe_vocab import vocabulary
 from cabflow.llm.common import prepare, scratch_path, slices, text_bytes
 from cabflow.llm.files import put_bytes
 from cabflow.llm.lexicon import build, lexicon
@@ -42,47 +42,6 @@ LEXICON_SIZE = 65_536
 REMEMBERED, COUNTED = 200_000, 400_000
 
 
-def merge_word(vocab: Vocabulary, word: str) -> list[int]:
-    """Ids of a pre-token: the lowest-rank adjacent pair first, leftmost on ties."""
-    ids = vocab.symbols(word)
-    if len(ids) > 64:
-        return _merge_long(vocab, ids)
-    while len(ids) > 1:
-        best = None
-        for at in range(len(ids) - 1):
-            found = vocab.merges.get((ids[at], ids[at + 1]))
-            if found and (best is None or found[0] < best[0]):
-                best = (found[0], at, found[1])
-        if best is None:
-            break
-        ids[best[1] : best[1] + 2] = [best[2]]
-    return ids
-
-
-def _merge_long(vocab: Vocabulary, ids: list[int]) -> list[int]:
-    """The same for long words, by a heap (the scan above is quadratic)."""
-    import heapq
-
-    nxt = [*range(1, len(ids)), -1]
-    prv = list(range(-1, len(ids) - 1))
-    heap = [(*vocab.merges[p], at) for at, p in enumerate(zip(ids, ids[1:])) if p in vocab.merges]
-    heap = [(rank, at, made) for rank, made, at in heap]
-    heapq.heapify(heap)
-    while heap:
-        rank, at, made = heapq.heappop(heap)
-        right = nxt[at]
-        if ids[at] < 0 or right < 0 or vocab.merges.get((ids[at], ids[right])) != (rank, made):
-            continue
-        ids[at], ids[right] = made, -1
-        nxt[at] = nxt[right]
-        if nxt[at] >= 0:
-            prv[nxt[at]] = at
-        for a, b in ((prv[at], at), (at, nxt[at])):
-            if a >= 0 and b >= 0 and (found := vocab.merges.get((ids[a], ids[b]))):
-                heapq.heappush(heap, (found[0], a, found[1]))
-    return [i for i in ids if i >= 0]
-
-
 def frequent_pieces(docs: DataFrame, text: str, size: int) -> list[str]:
     """The ``size`` most frequent white-space separated pieces of all texts."""
 
@@ -108,16 +67,16 @@ def frequent_pieces(docs: DataFrame, text: str, size: int) -> list[str]:
 def compile_lexicon(pieces: list[str], tokenizer: str) -> bytes:
     """Serialised transducer of the words of ``pieces`` (a bounded list)."""
     vocab = vocabulary(tokenizer)
-    words = {w for piece in pieces for w in vocab.words(piece) if isinstance(w, str)}
-    return build({w.encode(): merge_word(vocab, w) for w in words})
+    words = list({w for piece in pieces for w in vocab.words(piece) if isinstance(w, bytes)})
+    return build(dict(zip(words, vocab.merge_words(words))))
 
 
 class Codec:
     """Encoder and decoder of one Python worker."""
 
-    def __init__(self, tokenizer: str, lexicon_file: str | None):
+    def __init__(self, tokenizer: str, lexicon_file: str):
         self.vocab = vocabulary(tokenizer)
-        self.lexicon = lexicon(lexicon_file) if lexicon_file else None
+        self.lexicon = lexicon(lexicon_file)
         self.known: dict[bytes, tuple[int, bytes, bytes]] = {}
         self.ids_of: dict[bytes, list[int]] = {}
 
@@ -127,17 +86,16 @@ class Codec:
             self.known, self.ids_of = {}, {}
         new = set().union(*(set(t.split()) for t in texts)) - self.known.keys() if texts else set()
         cut = {piece: self.vocab.words(piece.decode()) for piece in new}
-        words = list({w for ws in cut.values() for w in ws if isinstance(w, str)})
-        if self.lexicon is None:
-            index = [-1] * len(words)
-        else:
-            index = self.lexicon.find([w.encode() for w in words]).tolist()
-        ids = {w: self.lexicon.ids(i) if i >= 0 else merge_word(self.vocab, w) for w, i in zip(words, index)}
+        words = list({w for ws in cut.values() for w in ws if isinstance(w, bytes)})
+        index = self.lexicon.find(words).tolist()
+        ids = {w: self.lexicon.ids(i) for w, i in zip(words, index) if i >= 0}
+        unseen = [w for w, i in zip(words, index) if i < 0]
+        ids |= zip(unseen, self.vocab.merge_words(unseen))
+        token = self.vocab.token
         for piece, ws in cut.items():
             out = [i for w in ws for i in ([w] if isinstance(w, int) else ids[w])]
             self.ids_of[piece] = out
-            decoded = " ".join(self.vocab.token[i] for i in out)
-            self.known[piece] = (len(out), " ".join(map(str, out)).encode(), decoded.encode())
+            self.known[piece] = (len(out), " ".join(map(str, out)).encode(), " ".join([token[i] for i in out]).encode())
 
     def encode(self, text: bytes) -> list[int]:
         return [i for piece in text.split() for i in self.ids_of[piece]]

@@ -1,56 +1,210 @@
-"""Byte-pair vocabularies read from a tokenizer file, and cutting texts into pieces.
+"""Byte-pair vocabularies read from a tokenizer file, cutting texts into words, merging words.
 
-The file's own normaliser and pre-tokeniser (components of the public
-``tokenizers`` library) define the words; the merges are applied by the
-operators of this package.
+Words are bytes. The file's own normaliser and pre-tokeniser (components of
+the public ``tokenizers`` library) define them; for texts of tabs, line ends
+and visible Latin-1 characters, where all engines agree on the character
+classes, the same pattern is applied without the library.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import re
 
+import numpy as np
+import regex
 from tokenizers import Tokenizer
 
+#: The public pattern of byte-level pre-tokenisers that bring no pattern of their own.
+BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+_LATIN = re.compile("[\t\n\r -~¡-ÿ]+")
+#: Words of more symbols are merged one by one with a heap, others many at a time.
+LONG_WORD = 32
+
+
+def byte_alphabet() -> dict[str, int]:
+    """Character of the byte-level alphabet -> byte: visible Latin-1 stands for itself, the rest follows from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in visible]
+    return {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
 class Vocabulary:
-    """``ids`` of symbols, ``merges`` of id pairs to (rank, merged id), special strings."""
+    """Symbols, merges and special strings of one file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.ids: dict[str, int] = model["vocab"]
-        self.end = model.get("end_of_word_suffix") or ""
+        ids: dict[str, int] = model["vocab"]
+        end = model.get("end_of_word_suffix") or ""
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[self.ids[a], self.ids[b]] = (rank, self.ids[a + b])
+            self.merges[ids[a], ids[b]] = (rank, ids[a + b])
+        #: By left symbol: right symbol -> rank; by rank: the symbol made.
+        self.ranks: dict[int, dict[int, int]] = {}
+        for (a, b), (rank, _) in self.merges.items():
+            self.ranks.setdefault(a, {})[b] = rank
+        self.made = [made for _, made in self.merges.values()]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.token = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
+        self.token = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
+        self._byte = byte_alphabet()
+        char = {b: c for c, b in self._byte.items()}
+        self.first = [ids[char[b]] for b in range(256)]
+        self.last = [ids[char[b] + end] for b in range(256)]
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         library = Tokenizer.from_file(path)
         self.library, self._normalise, self._cut = library, library.normalizer, library.pre_tokenizer
-
-    def symbols(self, word: str) -> list[int]:
-        """Initial symbol ids of a pre-token; the last carries the end-of-word mark."""
-        return [self.ids[c] for c in word[:-1]] + [self.ids[word[-1] + self.end]]
-
-    def words(self, text: str) -> list[str | int]:
+        self._pattern, self._lower = self._plain_rule(spec)
+
+    @staticmethod
+    def _plain_rule(spec: dict) -> tuple[regex.Pattern | None, bool]:
+        """Pattern and lowering that stand for the file's rules on Latin-1 texts, if they are of a known kind."""
+        steps = (spec["normalizer"] or {}).get("normalizers") or ([spec["normalizer"]] if spec["normalizer"] else [])
+        kinds = [s["type"] for s in steps]
+        spaces = all(s.get("pattern") == {"Regex": "\\s+"} and s.get("content") == " " for s in steps if s["type"] == "Replace")
+        if not spaces or set(kinds) - {"NFC", "Replace", "Lowercase"}:
+            return None, False
+        cut = spec["pre_tokenizer"]
+        if cut["type"] == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"] and "Replace" not in kinds:
+            return regex.compile(BYTE_LEVEL_PATTERN), "Lowercase" in kinds
+        parts = cut.get("pretokenizers", [])
+        if [p["type"] for p in parts] == ["Split", "ByteLevel"] and parts[0]["behavior"] == "Removed" and parts[0]["invert"] and not parts[1]["use_regex"] and not parts[1]["add_prefix_space"]:
+            return regex.compile(parts[0]["pattern"]["Regex"]), "Lowercase" in kinds
+        return None, False
+
+    def symbols(self, word: bytes) -> list[int]:
+        """Initial symbols of a word; the last carries the end-of-word mark."""
+        first = self.first
+        return [first[b] for b in word[:-1]] + [self.last[word[-1]]]
+
+    def words(self, text: str) -> list[bytes | int]:
         """Pre-tokens in order; a special string is its id."""
-        out: list[str | int] = []
-        for part in self._special.split(text) if self._special else [text]:
-            if part in self.special:
-                out.append(self.special[part])
-            elif part:
-                if self._normalise is not None:
-                    part = self._normalise.normalize_str(part)
-                out += [w for w, _ in self._cut.pre_tokenize_str(part) if w]
+        if self._special and any(s in text for s in self.special):
+            return [w for part in self._special.split(text) if part for w in ([self.special[part]] if part in self.special else self._words(part))]
+        return self._words(text)
+
+    def _words(self, part: str) -> list[bytes]:
+        if self._pattern is not None and _LATIN.fullmatch(part):
+            return [w.encode() for w in self._pattern.findall(part.lower() if self._lower else part)]
+        if self._normalise is not None:
+            part = self._normalise.normalize_str(part)
+        return [bytes(map(self._byte.__getitem__, w)) for w, _ in self._cut.pre_tokenize_str(part) if w]
+
+    @functools.cached_property
+    def _pair_table(self) -> tuple[np.ndarray, np.ndarray, int]:
+        """Open-addressing table of the merges: keys, ranks, shift."""
+        bits = max(4, (4 * len(self.merges)).bit_length())
+        keys, ranks = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
+        pairs = np.array([a << 32 | b for a, b in self.merges], np.int64)
+        slot = (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+        left = np.arange(len(pairs))
+        while len(left):
+            free = left[keys[slot[left]] < 0]
+            keys[slot[free]] = pairs[free]
+            settled = keys[slot[left]] == pairs[left]
+            ranks[slot[left[settled]]] = left[settled]  # merges are listed by rank
+            left = left[~settled]
+            slot[left] = (slot[left] + 1) & ((1 << bits) - 1)
+        return keys, ranks, bits
+
+    def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs, a number above all ranks for those without a merge."""
+        keys, ranks, bits = self._pair_table
+        pair = a.astype(np.int64) << 32 | b.astype(np.int64)
+        slot = (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+        found = keys[slot]
+        out = np.where(found == pair, ranks[slot], len(self.made))
+        open_ = np.flatnonzero((found != pair) & (found >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & ((1 << bits) - 1)
+            found = keys[slot[open_]]
+            hit = found == pair[open_]
+            out[open_[hit]] = ranks[slot[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
         return out
 
+    def merge_words(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word: every word merges its lowest-rank pair, leftmost on ties, until none is left."""
+        out: list[list[int]] = [[]] * len(words)
+        short = [i for i, w in enumerate(words) if len(w) <= LONG_WORD]
+        for i in (i for i, w in enumerate(words) if len(w) > LONG_WORD):
+            out[i] = self.merge_long(words[i])
+        for at in range(0, len(short), 20_000):
+            part = sorted(short[at : at + 20_000], key=lambda i: len(words[i]))
+            self._merge_together(words, part, out)
+        return out
+
+    def _merge_together(self, words: list[bytes], part: list[int], out: list[list[int]]) -> None:
+        n, width = len(part), len(words[part[-1]])
+        size = np.fromiter((len(words[i]) for i in part), np.int64, n)
+        raw = np.zeros((n, width + 1), np.uint8)
+        place = np.arange(width + 1) < size[:, None]
+        raw[place] = np.frombuffer(b"".join(words[i] for i in part), np.uint8)
+        symbol = np.where(place, np.array(self.first)[raw], -1)
+        rows = np.arange(n)
+        symbol[rows, size - 1] = np.array(self.last)[raw[rows, size - 1]]
+        none = len(self.made)
+        made = np.array(self.made, np.int64)
+        # Linked lists: place width (one past the longest word) stands for the end.
+        after = np.broadcast_to(np.arange(1, width + 2), (n, width + 1)).copy()
+        after[rows, size - 1] = width
+        before = np.broadcast_to(np.arange(-1, width), (n, width + 1)).copy()
+        rank = np.full((n, width + 1), none, np.int64)
+        i, j = np.nonzero(place[:, 1:])
+        rank[i, j] = self.pair_ranks(symbol[i, j], symbol[i, j + 1])
+        live = rows
+        while len(live):
+            at = rank[live].argmin(axis=1)
+            lowest = rank[live, at]
+            go = lowest < none
+            live, at, lowest = live[go], at[go], lowest[go]
+            right = after[live, at]
+            beyond = after[live, right]
+            symbol[live, at] = made[lowest]
+            symbol[live, right] = -1
+            rank[live, right] = none
+            after[live, at] = beyond
+            rank[live, at] = none
+            k = np.flatnonzero(beyond < width)
+            before[live[k], beyond[k]] = at[k]
+            rank[live[k], at[k]] = self.pair_ranks(symbol[live[k], at[k]], symbol[live[k], beyond[k]])
+            left = before[live, at]
+            k = np.flatnonzero(left >= 0)
+            rank[live[k], left[k]] = self.pair_ranks(symbol[live[k], left[k]], symbol[live[k], at[k]])
+        kept = symbol >= 0
+        flat = symbol[kept].tolist()
+        ends = np.cumsum(kept.sum(axis=1)).tolist()
+        start = 0
+        for i, end in zip(part, ends):
+            out[i] = flat[start:end]
+            start = end
+
+    def merge_long(self, word: bytes) -> list[int]:
+        """Ids of one word, by a heap of pairs over a linked list."""
+        ids = self.symbols(word)
+        nxt = [*range(1, len(ids)), -1]
+        prv = list(range(-1, len(ids) - 1))
+        heap = [(self.merges[p][0], at, self.merges[p][1]) for at, p in enumerate(zip(ids, ids[1:])) if p in self.merges]
+        heapq.heapify(heap)
+        while heap:
+            rank, at, made = heapq.heappop(heap)
+            right = nxt[at]
+            if ids[at] < 0 or right < 0 or self.merges.get((ids[at], ids[right])) != (rank, made):
+                continue
+            ids[at], ids[right] = made, -1
+            nxt[at] = nxt[right]
+            if nxt[at] >= 0:
+                prv[nxt[at]] = at
+            for a, b in ((prv[at], at), (at, nxt[at])):
+                if a >= 0 and b >= 0 and (found := self.merges.get((ids[a], ids[b]))):
+                    heapq.heappush(heap, (found[0], a, found[1]))
+        return [i for i in ids if i >= 0]
+
 
 @functools.lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
@@ -65,9 +219,10 @@ class Memo(dict):
         self.make, self.limit = make, limit
 
     def __missing__(self, key):
+        value = self.make(key)
         if len(self) >= self.limit:
             self.clear()
-        self[key] = value = self.make(key)
+        self[key] = value
         return value
 
 
@@ -82,6 +237,8 @@ def spaced_pieces(text: str) -> list[str]:
         return []
     parts = text.split(" ")
     if all(parts) and not any(p[0].isspace() or p[-1].isspace() for p in parts):
-        return [parts[0], *(" " + p for p in parts[1:])]
+        head = parts[0]
+        parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [head, *(" " + p for p in parts[1:])]
+        return parts
     parts = _LONE_SPACE.split(text)
     return [parts[0], *(" " + p for p in parts[1:])]

@@ -25,62 +25,81 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from cabflow.llm.bpe_vocab import Memo, Vocabulary, spaced_pieces, vocabulary
+from cabflow.llm.bpe_vocab import Memo, spaced_pieces, vocabulary
 from cabflow.llm.common import prepare
 
 #: Pieces whose count a worker remembers.
 REMEMBERED = 400_000
 
 
-def merged_length(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> int:
-    """Number of symbols left after all merges, lowest rank first, leftmost on ties."""
+def merged_length(symbols: list[int], ranks: dict[int, dict[int, int]], made: list[int]) -> int:
+    """Number of symbols left after all merges, lowest rank first, leftmost on ties.
+
+    A heap entry is rank and position in one integer.
+    """
     count = len(symbols)
     if count < 2:
         return count
-    symbols = list(symbols)
-    after = list(range(1, count)) + [-1]
-    before = list(range(-1, count - 1))
+    shift = count.bit_length()
+    mask = (1 << shift) - 1
+    none: dict[int, int] = {}
     heap = []
-    for at in range(count - 1):
-        found = merges.get((symbols[at], symbols[at + 1]))
-        if found:
-            heap.append((found[0], at, found[1]))
+    left = symbols[0]
+    for at in range(1, count):
+        right = symbols[at]
+        rank = ranks.get(left, none).get(right)
+        if rank is not None:
+            heap.append(rank << shift | (at - 1))
+        left = right
     heapq.heapify(heap)
+    after = list(range(1, count + 1))  # the place after the last is the end
+    before = list(range(-1, count))
+    end = count
+    pop, push = heapq.heappop, heapq.heappush
     while heap:
-        rank, at, made = heapq.heappop(heap)
-        nxt = after[at]
+        entry = pop(heap)
+        at = entry & mask
+        right = after[at]
+        symbol = symbols[at]
         # A pair that a neighbour's merge has changed is stale.
-        if symbols[at] < 0 or nxt < 0 or merges.get((symbols[at], symbols[nxt])) != (rank, made):
+        if symbol < 0 or right == end or ranks.get(symbol, none).get(symbols[right]) != entry >> shift:
             continue
-        symbols[at], symbols[nxt] = made, -1
+        symbols[at] = symbol = made[entry >> shift]
+        symbols[right] = -1
         count -= 1
-        right = after[at] = after[nxt]
-        if right >= 0:
+        after[at] = right = after[right]
+        if right != end:
             before[right] = at
-            found = merges.get((made, symbols[right]))
-            if found:
-                heapq.heappush(heap, (found[0], at, found[1]))
+            rank = ranks.get(symbol, none).get(symbols[right])
+            if rank is not None:
+                push(heap, rank << shift | at)
         left = before[at]
         if left >= 0:
-            found = merges.get((symbols[left], made))
-            if found:
-                heapq.heappush(heap, (found[0], left, found[1]))
+            rank = ranks.get(symbols[left], none).get(symbol)
+            if rank is not None:
+                push(heap, rank << shift | left)
     return count
 
 
-def count_piece(vocab: Vocabulary, piece: str) -> int:
-    return sum(1 if isinstance(w, int) else merged_length(vocab.symbols(w), vocab.merges) for w in vocab.words(piece))
-
-
 @functools.lru_cache(maxsize=2)
-def _counter(path: str) -> Memo:
+def _counter(path: str) -> tuple[Memo, Memo]:
+    """Remembered counts of pieces and of the words of pieces that hold several."""
     vocab = vocabulary(path)
-    return Memo(lambda piece: count_piece(vocab, piece), REMEMBERED)
+    count_word = lambda word: merged_length(vocab.symbols(word), vocab.ranks, vocab.made)
+    words = Memo(count_word, REMEMBERED // 2)
+
+    def count_piece(piece: str) -> int:
+        found = vocab.words(piece)
+        if len(found) == 1 and not isinstance(found[0], int):
+            return count_word(found[0])
+        return sum(1 if isinstance(w, int) else words[w] for w in found)
+
+    return Memo(count_piece, REMEMBERED), words
 
 
 def count_text(text: str, path: str) -> int:
     """Tokens of one text."""
-    return sum(map(_counter(path).__getitem__, spaced_pieces(text)))
+    return sum(map(_counter(path)[0].__getitem__, spaced_pieces(text)))
 
 
 def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", limit: int = 1024) -> DataFrame:
