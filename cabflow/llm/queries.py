@@ -3,12 +3,26 @@
 from __future__ import annotations
 
 from cabflow.llm.bpe_codec import op9_bpe_codec
+from cabflow.llm.embedding_dedup import op1_embedding_dedup
 from cabflow.llm.line_dedup import OP5_SQL, op5_line_dedup
+from cabflow.llm.minhash import op4_near_duplicates
 from cabflow.llm.mixing import op3_mix_sources
 from cabflow.llm.quality import OP2_SQL, op2_quality_rules
 from cabflow.llm.records import op8_token_records
 from cabflow.llm.token_counts import op10_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_mix_sources, op5_line_dedup, op8_token_records, op9_bpe_codec, op10_token_counts)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_embedding_dedup,
+        op2_quality_rules,
+        op3_mix_sources,
+        op4_near_duplicates,
+        op5_line_dedup,
+        op8_token_records,
+        op9_bpe_codec,
+        op10_token_counts,
+    )
+}
 #: The others have no plain SQL form; their tests hold them against brute force.
 ORACLE_SQL = {"op2_quality_rules": OP2_SQL, "op5_line_dedup": OP5_SQL}
