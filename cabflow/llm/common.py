@@ -6,6 +6,7 @@ read-only vocabularies.
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
 from collections.abc import Iterator
@@ -109,12 +110,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _ODD) | np.uint64(1)
 
 
-def powers(n: int, base: np.uint64 = _ODD) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
+@functools.lru_cache(maxsize=8)
+def _powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
+def powers(n: int, base: np.uint64 = _ODD) -> np.ndarray:
+    """``base ** 0 .. base ** n`` (mod 2**64), kept for the next call of about that length."""
+    return _powers(1 << n.bit_length(), int(base))[: n + 1]
+
+
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 
 
@@ -159,6 +166,18 @@ class Words:
         self.first_word = np.concatenate(([0], np.cumsum(self.per_doc)))
 
 
+def parcels(sizes: list[int], most: int) -> Iterator[slice]:
+    """Cut a list into runs whose sizes add up to about ``most`` (one item at least)."""
+    at = total = 0
+    for i, size in enumerate(sizes):
+        if i > at and total + size > most:
+            yield slice(at, i)
+            at, total = i, 0
+        total += size
+    if at < len(sizes):
+        yield slice(at, len(sizes))
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each slice's texts hold about ``most_bytes`` (one row at least)."""
     import pyarrow.compute as pc

@@ -42,6 +42,7 @@ from cabflow.llm.common import Words, cut, mix, prepare, slices, text_bytes
 from cabflow.llm.components import components
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 25, 5, 0.8
+_STEP, _ALL = 0xD1B54A32D192ED03, (1 << 64) - 1
 RESULTS = ("class_id", "class_size", "kept")
 
 
@@ -83,11 +84,11 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs:
     step = 0
     while len(live):
         step += 1
-        seed = element[live] + np.uint64(2 * step) * np.uint64(0xD1B54A32D192ED03)
+        seed = element[live] + np.uint64(2 * step * _STEP & _ALL)
         time[live] -= np.log(_uniform(seed)) / weight[live]
         limit = best.reshape(n_docs, slots).max(axis=1)
         live = live[time[live] < limit[doc[live]]]  # early termination
-        seed = mix(element[live] + np.uint64(2 * step + 1) * np.uint64(0xD1B54A32D192ED03))
+        seed = mix(element[live] + np.uint64((2 * step + 1) * _STEP & _ALL))
         slot = doc[live] * slots + (seed % np.uint64(slots)).astype(np.int64)
         np.minimum.at(best, slot, time[live])
         won = time[live] == best[slot]

@@ -9,6 +9,7 @@ from cabflow.llm.minhash import op4_near_duplicates
 from cabflow.llm.mixing import op3_mix_sources
 from cabflow.llm.quality import OP2_SQL, op2_quality_rules
 from cabflow.llm.records import op8_token_records
+from cabflow.llm.repeats import op6_suffix_dedup
 from cabflow.llm.token_counts import op10_token_counts
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
         op3_mix_sources,
         op4_near_duplicates,
         op5_line_dedup,
+        op6_suffix_dedup,
         op8_token_records,
         op9_bpe_codec,
         op10_token_counts,
