@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cabflow.llm.bpe_codec import op9_bpe_codec
 from cabflow.llm.embedding_dedup import op1_embedding_dedup
+from cabflow.llm.hmm import op7_hmm_scores
 from cabflow.llm.line_dedup import OP5_SQL, op5_line_dedup
 from cabflow.llm.minhash import op4_near_duplicates
 from cabflow.llm.mixing import op3_mix_sources
@@ -21,6 +22,7 @@ QUERIES = {
         op4_near_duplicates,
         op5_line_dedup,
         op6_suffix_dedup,
+        op7_hmm_scores,
         op8_token_records,
         op9_bpe_codec,
         op10_token_counts,
