@@ -157,7 +157,7 @@ def bpe_codec(docs: DataFrame, tokenizer: str, text: str = "text", results: tupl
                     out["ids"] = pa.array(ids, pa.list_(pa.int32()))
                     if "decoded" in results:
                         out["decoded"] = pa.array([" ".join(codec.vocab.token[i] for i in x) for x in ids], pa.string())
-                n, of_ids, of_text = zip(*map(codec.digests, texts))
+                n, of_ids, of_text = zip(*map(codec.digests, texts)) if texts else ((), (), ())
                 out |= {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_text, pa.string())}
                 yield pa.RecordBatch.from_arrays([*batch.columns, *(out[c] for c in results)], names=[*batch.schema.names, *results])
 
