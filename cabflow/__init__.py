@@ -16,7 +16,6 @@ Sub-packages:
 * ``operators`` – layers, audits, marts and reports.
 * ``plans``     – the query registry, the DuckDB oracle text, the
   materialised refresh of all layers and plan checks.
-* ``streaming`` – incremental ingest of newly arriving raw files.
 """
 
 from cabflow.session import build_session, shared_dir

@@ -21,23 +21,31 @@ def safe_div(num: Column | str, den: Column | str) -> Column:
     return F.try_divide(col(num), col(den))
 
 
-# Per-row values are cast to DECIMAL(28, s); their SUM is DECIMAL(38, s),
-# leaving 10 more integer digits of headroom than any single value.
-SUM_PRECISION = 28
-MONEY_SCALE = 2  # dollars and cents
-MEASURE_SCALE = 9  # kilometres and minutes
+# Values are summed as DECIMAL(38, 12): twelve decimals hold the digits of
+# money, kilometres and minutes, and LARGEST leaves room for 10^11 addends.
+SUM_SCALE = 12
+FIXED = DecimalType(38, SUM_SCALE)
+LARGEST = 1e15
 
 
-def exact_sum(x: Column | str, scale: int, over: WindowSpec | None = None) -> Column:
+def fixed(x: Column | str, largest: float = LARGEST) -> Column:
+    """``x`` as an exact decimal; NULL stays NULL, NaN, infinities and larger values raise an error."""
+    c = col(x).cast("double")
+    problem = F.concat(F.lit("no exact decimal for "), c.cast("string"))
+    return F.when(c.isNull(), F.lit(None).cast(FIXED)).when(F.abs(c) < largest, c.cast(FIXED)).otherwise(F.raise_error(problem))
+
+
+def exact_sum(x: Column | str, over: WindowSpec | None = None) -> Column:
     """Order-independent SUM of a double, returned as a double.
 
     A double SUM depends on the order in which partial sums meet, so it can
     change between runs, partitionings and retries. Summing the value as a
     fixed-point decimal is associative: the result is the same for any plan,
     which also makes recomputed tasks after an executor loss bit-identical.
-    NULLs are skipped; an all-NULL group gives NULL, as SUM does.
+    NULLs are skipped; an all-NULL group gives NULL, as SUM does. A value
+    that the decimal cannot hold is an error, never left out.
     """
-    summed = F.sum(col(x).try_cast(DecimalType(SUM_PRECISION, scale)))
+    summed = F.sum(fixed(x))
     if over is not None:
         summed = summed.over(over)
     return summed.cast("double")
@@ -47,6 +55,7 @@ def round_dec(x: Column | str, digits: int) -> Column:
     """ROUND(x, digits) half away from zero on the decimal value of ``x``.
 
     Rounding the decimal text rather than the binary double keeps the result
-    identical across engines (``1.005`` rounds to ``1.01``).
+    identical across engines (``1.005`` rounds to ``1.01``). A value that the
+    decimal cannot hold is an error.
     """
-    return F.round(col(x).try_cast(DecimalType(38, 12)), digits).cast("double")
+    return F.round(fixed(x, 1e25), digits).cast("double")

@@ -23,11 +23,10 @@ OHARE_AREA = 76
 AIRPORT_AREAS = (56, 76)
 # Payment categories and the lower-case payment words that select them.
 # First match wins, in this order.
-CARD_SUBSTRINGS = ("card", "pcard", "prcard", "prepaid", "way2ride")
+CARD_SUBSTRINGS = ("card", "prepaid", "way2ride")
 CASH_WORDS = ("cash",)
 MOBILE_WORDS = ("mobile",)
 NO_CHARGE_WORDS = ("no charge", "dispute")
-OTHER_WORDS = ("unknown", "split")
 CARD, CASH, MOBILE, NO_CHARGE, OTHER = (
     "Card",
     "Cash",
@@ -50,12 +49,13 @@ OHARE, MIDWAY, CITY = "OHare", "Midway", "City"
 
 # Trailing dots and whitespace, with whitespace as the RE2 class \s
 # (tab, newline, form feed, carriage return, space) so that Java regex
-# matches what the source engine strips.
-TRAILING_DOTS_SPACE = r"[.\t\n\f\r ]+$"
+# matches what the source engine strips; \z, as Java's $ also matches
+# before a final line end.
+TRAILING_DOTS_SPACE = r"[.\t\n\f\r ]+\z"
 # Unicode White_Space (as a full TRIM strips it): the C0 spaces, NEL and
 # every separator (Zs, Zl, Zp). Valid in Java regex and RE2.
 UNICODE_SPACE = r"[\t\n\x0B\f\r\x{85}\p{Z}]"
-UNICODE_TRIM = rf"^{UNICODE_SPACE}+|{UNICODE_SPACE}+$"
+UNICODE_TRIM = rf"\A{UNICODE_SPACE}+|{UNICODE_SPACE}+\z"
 
 
 def unicode_trim(c: Column | str) -> Column:

@@ -1,22 +1,20 @@
 """Data-quality audits: completeness, payment words, anomalies, month status.
 
-All four audits are additive counts, so they share one pre-aggregate: the
+All audits are additive counts. From the base layer each audit groups by
+its own key (year, month or payment word), so a task sends one partial row
+per key it has seen. For the written path the counts also come from the
 *audit profile*, one row per (trip day, payment word) with every counter
-the audits need (trips, 16 NULL counts, 13 anomaly counts). Building it is
-one scan of the base layer with map-side partial aggregation; its size is
-days x payment words (~50k rows for a decade), independent of the number
-of trips. Each audit then rolls the profile up (year, month or payment
-word). The refresh writes the profile once, so the base layer is scanned
-once for all audits instead of once per audit; passing a base DataFrame
-to an audit builds the profile lazily (Catalyst prunes the counters that
-audit does not use).
+the audits need (trips, NULL counts, anomaly counts): base is scanned
+once to write it, in tasks that each hold whole days of single months, and
+the audits roll it up.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cabflow.functions import round_dec, safe_div
 from cabflow.functions import trips as T
@@ -52,30 +50,33 @@ def is_profile(df: DataFrame) -> bool:
     return "trip_date" in df.columns and PROFILE_TRIPS in df.columns
 
 
-def audit_profile(base: DataFrame) -> DataFrame:
-    """(trip_date, payment_type) -> trips, null_<col> x16, anomaly counts x13.
+def counters() -> dict[str, Column]:
+    """Every count the audits need, as aggregates over the enriched view."""
+    nulls = {f"null_{c}": F.count_if(F.col(c).isNull()) for c in NULL_AUDIT_COLUMNS}
+    flags = {name: F.count_if(condition) for name, condition in anomaly_flags().items()}
+    return {PROFILE_TRIPS: F.count(F.lit(1)), **nulls, **flags}
 
-    Accepts the base layer or the enriched view (derived columns are added
-    when missing).
-    """
+
+def _enriched(base: DataFrame) -> DataFrame:
     from cabflow.operators.layers import enrich  # layers imports nothing from here
 
-    enriched = base if "trip_km" in base.columns else enrich(base)
-    counters = [F.count(F.lit(1)).alias(PROFILE_TRIPS)]
-    counters += [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in NULL_AUDIT_COLUMNS]
-    counters += [F.count_if(cond).alias(name) for name, cond in anomaly_flags().items()]
-    return enriched.groupBy(
-        F.to_date("trip_start_timestamp").alias("trip_date"), F.col("payment_type")
-    ).agg(*counters)
+    return base if "trip_km" in base.columns else enrich(base)
+
+
+def audit_profile(base: DataFrame) -> DataFrame:
+    """(trip_date, payment_type) -> every counter, from the base layer or the enriched view."""
+    day = F.to_date("trip_start_timestamp").alias("trip_date")
+    return _enriched(base).groupBy(day, F.col("payment_type")).agg(*[c.alias(name) for name, c in counters().items()])
 
 
-def _profile(source: DataFrame, lo: str | _dt.date) -> DataFrame:
-    """The profile restricted to months from ``lo`` (month-granular bound)."""
+def _counted(source: DataFrame, lo: str | _dt.date) -> tuple[DataFrame, Column, Callable[[str], Column]]:
+    """Rows from month ``lo`` on, their trip day, and the aggregate of each counter."""
     bound = F.lit(as_date(lo))
     if is_profile(source):
-        return source.filter(F.trunc("trip_date", "month") >= bound)
+        return source.filter(F.trunc("trip_date", "month") >= bound), F.col("trip_date"), F.sum
     # From the base layer: bound the partition column, so months are pruned.
-    return audit_profile(source.filter(F.col(TRIP_PARTITION) >= bound))
+    rows = _enriched(source.filter(F.col(TRIP_PARTITION) >= bound))
+    return rows, F.to_date("trip_start_timestamp"), counters().__getitem__
 
 
 def audit_nulls(
@@ -95,14 +96,13 @@ def audit_nulls(
     monthly = by == "month"
     lo = lo or (MONTHLY_FIRST_MONTH if monthly else FIRST_MONTH)
     columns = columns or NULL_AUDIT_COLUMNS
-    day = F.col("trip_date")
+    rows, day, count = _counted(source, lo)
     keys = [F.year(day).alias("year")] + ([F.month(day).alias("month")] if monthly else [])
-    counts = [F.sum(PROFILE_TRIPS).alias("total_rows")]
-    counts += [F.sum(f"null_{c}").alias(f"null_{c}") for c in columns]
+    counts = [count(PROFILE_TRIPS).alias("total_rows")]
+    counts += [count(f"null_{c}").alias(f"null_{c}") for c in columns]
     if monthly:
-        # every profile row is a day with at least one trip
         counts.append(F.count_distinct(day).alias("distinct_days"))
-    agg = _profile(source, lo).groupBy(*keys).agg(*counts)
+    agg = rows.groupBy(*keys).agg(*counts)
     key_names = ["year", "month"] if monthly else ["year"]
     out = key_names + (["distinct_days"] if monthly else []) + ["total_rows"]
     pcts = [
@@ -113,12 +113,12 @@ def audit_nulls(
 
 def audit_payment_types(source: DataFrame, lo: str | _dt.date = FIRST_MONTH) -> DataFrame:
     """Each raw payment word: occurrences and first/last month seen."""
-    month = F.trunc("trip_date", "month")
+    rows, day, count = _counted(source, lo)
+    month = F.trunc(day, "month")
     return (
-        _profile(source, lo)
-        .groupBy("payment_type")
+        rows.groupBy("payment_type")
         .agg(
-            F.sum(PROFILE_TRIPS).alias("total_occurrences"),
+            count(PROFILE_TRIPS).alias("total_occurrences"),
             F.min(month).alias("first_seen"),
             F.max(month).alias("last_seen"),
         )
@@ -129,10 +129,9 @@ def audit_payment_types(source: DataFrame, lo: str | _dt.date = FIRST_MONTH) ->
 def audit_anomalies(source: DataFrame, lo: str | _dt.date = FIRST_MONTH) -> DataFrame:
     """Per year: rows, 13 anomaly/quality counts and three percentages (3 d.p.)."""
     names = list(anomaly_flags())
-    agg = (
-        _profile(source, lo)
-        .groupBy(F.year("trip_date").alias("trip_year"))
-        .agg(F.sum(PROFILE_TRIPS).alias("total_rows"), *[F.sum(n).alias(n) for n in names])
+    rows, day, count = _counted(source, lo)
+    agg = rows.groupBy(F.year(day).alias("trip_year")).agg(
+        count(PROFILE_TRIPS).alias("total_rows"), *[count(n).alias(n) for n in names]
     )
     pct = lambda n: round_dec(safe_div(F.col(n), F.col("total_rows")) * 100, 3)
     return agg.select(
@@ -145,19 +144,21 @@ def audit_anomalies(source: DataFrame, lo: str | _dt.date = FIRST_MONTH) -> Data
     ).orderBy(F.desc("trip_year"))
 
 
-# A month with at most this many distinct trip days is BROKEN; one with
-# fewer rows than ``low_rows`` is LOW. The source labels its 2022-2023
-# months by hand; any ``low_rows`` between 117,592 and 512,274 reproduces
-# its table.
+# A month with at most this many distinct trip days is BROKEN; one with less
+# than LOW_SHARE of the rows of the fullest month is LOW. A share keeps the
+# labels the same whatever the volume; any share between about a fifth and
+# three quarters gives the source's hand-made labels of its 2022-2023 months.
 BROKEN_MAX_DAYS = 1
-LOW_ROWS = 300_000
+LOW_SHARE = 0.4
 
 
-def audit_month_status(monthly_audit: DataFrame, low_rows: int = LOW_ROWS) -> DataFrame:
+def audit_month_status(monthly_audit: DataFrame, low_share: float = LOW_SHARE, broken_max_days: int = BROKEN_MAX_DAYS) -> DataFrame:
     """Label each month of ``audit_nulls(by="month")`` OK / LOW / BROKEN."""
+    # One row per month: the window without keys holds a few hundred rows at most.
+    fullest = F.max("total_rows").over(Window.partitionBy())
     status = (
-        F.when(F.col("distinct_days") <= BROKEN_MAX_DAYS, F.lit("BROKEN"))
-        .when(F.col("total_rows") < low_rows, F.lit("LOW"))
+        F.when(F.col("distinct_days") <= broken_max_days, F.lit("BROKEN"))
+        .when(F.col("total_rows") < low_share * fullest, F.lit("LOW"))
         .otherwise(F.lit("OK"))
     )
     return monthly_audit.select(

@@ -113,7 +113,10 @@ def dedup(validated: DataFrame) -> DataFrame:
     rows sends at most one row per map task through the shuffle. The order
     is total (``unique_key`` last), so a recomputed task picks the same row.
     """
-    w = Window.partitionBy(*DEDUP_KEYS).orderBy(*dedup_order())
+    # The month is a function of the start time: it changes no group, but as a
+    # window key it lets month bounds on the result filter the window's input.
+    month = [TRIP_PARTITION] if TRIP_PARTITION in validated.columns else []
+    w = Window.partitionBy(*DEDUP_KEYS, *month).orderBy(*dedup_order())
     return validated.withColumn("row_num", F.row_number().over(w)).filter(F.col("row_num") == 1).drop("row_num")
 
 

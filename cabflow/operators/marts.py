@@ -13,7 +13,7 @@ import datetime as _dt
 
 from pyspark.sql import DataFrame, functions as F
 
-from cabflow.functions import MEASURE_SCALE, MONEY_SCALE, exact_sum
+from cabflow.functions import exact_sum
 from cabflow.functions import trips as T
 from cabflow.sources.layers import as_date
 from cabflow.sources.schema import TRIP_PARTITION
@@ -46,11 +46,11 @@ def mart_company_performance(
         .agg(
             F.count(F.lit(1)).alias("trip_count"),
             F.count_distinct("taxi_id").alias("active_taxis"),
-            exact_sum(_zero("trip_total"), MONEY_SCALE).alias("total_revenue"),
-            exact_sum(_zero("fare"), MONEY_SCALE).alias("total_fare"),
-            exact_sum(_zero("tips"), MONEY_SCALE).alias("total_tips"),
-            exact_sum(_zero("trip_km"), MEASURE_SCALE).alias("total_trip_km"),
-            exact_sum(_zero("duration_min"), MEASURE_SCALE).alias("total_duration_min"),
+            exact_sum(_zero("trip_total")).alias("total_revenue"),
+            exact_sum(_zero("fare")).alias("total_fare"),
+            exact_sum(_zero("tips")).alias("total_tips"),
+            exact_sum(_zero("trip_km")).alias("total_trip_km"),
+            exact_sum(_zero("duration_min")).alias("total_duration_min"),
         )
     )
 
@@ -70,10 +70,10 @@ def mart_time_analysis(
         .agg(
             F.count(F.lit(1)).alias("trip_count"),
             F.count_if(_zero("tips") > 0).alias("tipped_trip_count"),
-            exact_sum(_zero("trip_total"), MONEY_SCALE).alias("total_revenue"),
-            exact_sum(_zero("tips"), MONEY_SCALE).alias("total_tips"),
-            exact_sum(_zero("trip_km"), MEASURE_SCALE).alias("total_trip_km"),
-            exact_sum(_zero("duration_min"), MEASURE_SCALE).alias("total_duration_min"),
+            exact_sum(_zero("trip_total")).alias("total_revenue"),
+            exact_sum(_zero("tips")).alias("total_tips"),
+            exact_sum(_zero("trip_km")).alias("total_trip_km"),
+            exact_sum(_zero("duration_min")).alias("total_duration_min"),
         )
     )
 
@@ -99,9 +99,9 @@ def mart_geo_flows(
         )
         .agg(
             F.count(F.lit(1)).alias("trip_count"),
-            exact_sum("trip_total", MONEY_SCALE).alias("total_revenue"),
-            exact_sum("trip_km", MEASURE_SCALE).alias("total_trip_km"),
-            exact_sum("duration_min", MEASURE_SCALE).alias("total_duration_min"),
-            exact_sum("tips", MONEY_SCALE).alias("total_tips"),
+            exact_sum("trip_total").alias("total_revenue"),
+            exact_sum("trip_km").alias("total_trip_km"),
+            exact_sum("duration_min").alias("total_duration_min"),
+            exact_sum("tips").alias("total_tips"),
         )
     )

@@ -13,7 +13,7 @@ import datetime as _dt
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cabflow.functions import MEASURE_SCALE, MONEY_SCALE, exact_sum, round_dec, safe_div
+from cabflow.functions import exact_sum, round_dec, safe_div
 from cabflow.functions import trips as T
 from cabflow.sources.layers import as_date
 
@@ -28,14 +28,6 @@ def _between(lo, hi):
     return _month().between(F.lit(as_date(lo)), F.lit(as_date(hi)))
 
 
-def _money(c: str):
-    return exact_sum(c, MONEY_SCALE)
-
-
-def _measure(c: str):
-    return exact_sum(c, MEASURE_SCALE)
-
-
 def report_company_tips(
     company_mart: DataFrame,
     min_trips: int = MIN_TRIPS,
@@ -48,10 +40,10 @@ def report_company_tips(
         .groupBy("company_clean")
         .agg(
             F.sum("trip_count").alias("trips"),
-            _money("total_revenue").alias("revenue"),
-            _money("total_tips").alias("tips"),
-            _measure("total_trip_km").alias("km"),
-            _measure("total_duration_min").alias("minutes"),
+            exact_sum("total_revenue").alias("revenue"),
+            exact_sum("total_tips").alias("tips"),
+            exact_sum("total_trip_km").alias("km"),
+            exact_sum("total_duration_min").alias("minutes"),
         )
     )
     return agg.filter(F.col("trips") >= min_trips).select(
@@ -63,13 +55,13 @@ def report_company_tips(
     )
 
 
-def company_totals(
+def firm_totals(
     company_mart: DataFrame, lo: str | _dt.date = "2013-01-01", hi: str | _dt.date = "2022-01-01"
 ) -> DataFrame:
     return (
         company_mart.filter(_between(lo, hi))
         .groupBy("company_clean")
-        .agg(F.sum("trip_count").alias("trips"), _money("total_revenue").alias("revenue"))
+        .agg(F.sum("trip_count").alias("trips"), exact_sum("total_revenue").alias("revenue"))
     )
 
 
@@ -84,9 +76,9 @@ def report_market_share(
     The market totals include the small firms: they are taken before the
     filter, as a scalar subquery over the per-firm totals.
     """
-    firms = company_totals(company_mart, lo, hi)
+    firms = firm_totals(company_mart, lo, hi)
     total_trips = firms.agg(F.sum("trips")).scalar()
-    total_revenue = firms.agg(exact_sum("revenue", MONEY_SCALE)).scalar()
+    total_revenue = firms.agg(exact_sum("revenue")).scalar()
     return (
         firms.filter(F.col("trips") >= min_trips)
         .select(
@@ -107,7 +99,7 @@ def report_payment_trend(
     base = (
         company_mart.filter((_month() >= F.lit(as_date(lo))) & (_month() < F.lit(as_date(before))))
         .groupBy(F.year(_month()).alias("year"), F.col("payment_category"))
-        .agg(F.sum("trip_count").alias("trip_count"), _money("total_revenue").alias("total_revenue"))
+        .agg(F.sum("trip_count").alias("trip_count"), exact_sum("total_revenue").alias("total_revenue"))
     )
     per_year = Window.partitionBy("year")
     return base.select(
@@ -117,7 +109,7 @@ def report_payment_trend(
         round_dec(safe_div(F.col("trip_count"), F.sum("trip_count").over(per_year)), 4).alias("share_of_trips"),
         round_dec("total_revenue", 2).alias("total_revenue"),
         round_dec(
-            safe_div(F.col("total_revenue"), exact_sum("total_revenue", MONEY_SCALE, over=per_year)), 4
+            safe_div(F.col("total_revenue"), exact_sum("total_revenue", over=per_year)), 4
         ).alias("share_of_revenue"),
     ).orderBy("year", F.desc("share_of_trips"))
 
@@ -129,9 +121,9 @@ def report_day_hour(time_mart: DataFrame, lo: str | _dt.date = "2017-01-01") ->
         .groupBy(T.day_name("day_of_week").alias("day_name"), F.col("hour_of_day"))
         .agg(
             F.sum("trip_count").alias("trip_count"),
-            _money("total_revenue").alias("revenue"),
-            _money("total_tips").alias("tips"),
-            _measure("total_duration_min").alias("minutes"),
+            exact_sum("total_revenue").alias("revenue"),
+            exact_sum("total_tips").alias("tips"),
+            exact_sum("total_duration_min").alias("minutes"),
         )
         .select(
             "day_name",
@@ -160,10 +152,10 @@ def report_seasonality(
         )
         .agg(
             F.sum("trip_count").alias("trip_count"),
-            _money("total_revenue").alias("revenue"),
-            _money("total_tips").alias("tips"),
-            _measure("total_trip_km").alias("km"),
-            _measure("total_duration_min").alias("minutes"),
+            exact_sum("total_revenue").alias("revenue"),
+            exact_sum("total_tips").alias("tips"),
+            exact_sum("total_trip_km").alias("km"),
+            exact_sum("total_duration_min").alias("minutes"),
         )
         .select(
             "month_num",
@@ -195,8 +187,8 @@ def report_top_areas(geo_mart: DataFrame, k: int = 20) -> DataFrame:
         .groupBy("area", "role")
         .agg(
             F.sum("trip_count").alias("trip_count"),
-            _money("total_revenue").alias("total_revenue"),
-            _money("total_tips").alias("total_tips"),
+            exact_sum("total_revenue").alias("total_revenue"),
+            exact_sum("total_tips").alias("total_tips"),
         )
     )
     rank = F.row_number().over(Window.partitionBy("role").orderBy(F.desc("trip_count"), F.asc("area")))
@@ -220,9 +212,9 @@ def report_airport_segments(geo_mart: DataFrame) -> DataFrame:
         geo_mart.groupBy(T.airport_segment().alias("segment"), T.airport_name().alias("airport_name"))
         .agg(
             F.sum("trip_count").alias("trip_count"),
-            _money("total_revenue").alias("revenue"),
-            _measure("total_trip_km").alias("km"),
-            _money("total_tips").alias("tips"),
+            exact_sum("total_revenue").alias("revenue"),
+            exact_sum("total_trip_km").alias("km"),
+            exact_sum("total_tips").alias("tips"),
         )
         .select(
             "segment",
@@ -268,8 +260,8 @@ def report_top5_concentration(
     ``orderBy().limit(k)`` plans as a top-k (TakeOrderedAndProject): each task
     keeps k rows, so only k x tasks rows meet in one place.
     """
-    firms = company_totals(company_mart, lo, hi)
-    total_revenue = firms.agg(exact_sum("revenue", MONEY_SCALE)).scalar()
+    firms = firm_totals(company_mart, lo, hi)
+    total_revenue = firms.agg(exact_sum("revenue")).scalar()
     top = firms.orderBy(F.desc("revenue"), F.asc("company_clean")).limit(k)
     running = Window.orderBy(F.desc("revenue"), F.asc("company_clean")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -281,6 +273,6 @@ def report_top5_concentration(
         round_dec("revenue", 2).alias("revenue"),
         round_dec(safe_div(F.col("revenue"), total_revenue) * 100, 2).alias("revenue_share_pct"),
         round_dec(
-            safe_div(exact_sum("revenue", MONEY_SCALE, over=running), total_revenue) * 100, 2
+            safe_div(exact_sum("revenue", over=running), total_revenue) * 100, 2
         ).alias("cumulative_revenue_share_pct"),
     ).orderBy("rank")

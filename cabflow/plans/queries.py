@@ -2,9 +2,13 @@
 
 Every query starts from the test folder's ``lineitem`` (through the raw
 trip adapter) and runs the whole chain lazily, so its work grows with the
-table and Catalyst optimises across layers (the month bounds of a mart,
-for instance, are pushed below the deduplication). The materialised path
-— each layer written once and read back — is ``cabflow.plans.refresh``.
+table and Catalyst optimises across layers (the month is one of the dedup's
+keys, so the month bounds of a mart filter the rows below the dedup). The
+materialised path — each layer written once and read back — is
+``cabflow.plans.refresh``.
+
+Building a query sets the session's ``RUNTIME_CONF`` (``cabflow.session``):
+UTC, adaptive execution and the codegen method limit.
 """
 
 from __future__ import annotations

@@ -21,6 +21,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cabflow.functions import trips
 from cabflow.operators import audits, layers, marts, reports
 from cabflow.sources import read_raw
 from cabflow.sources.layers import as_date, read_layer, write_layer
@@ -58,10 +59,10 @@ def build_layers(
 
     ``months=(lo, hi)`` (first days of months, inclusive) rebuilds only those
     month partitions of every layer (whole years of the yearly audit profile)
-    and leaves the others in place. This is exact, not an approximation: a
-    silver row depends only on trips with the same start time (the dedup
-    key), hence of the same month, and every mart
-    row is an aggregate within one month.
+    and leaves the others in place; a month that has no rows any more goes.
+    This is exact, not an approximation: a silver row depends only on trips
+    with the same start time (the dedup key), hence of the same month, and
+    every mart row is an aggregate within one month.
     """
     paths = layer_paths(root)
     timings = timings if timings is not None else {}
@@ -73,14 +74,14 @@ def build_layers(
         timings[name] = round(time.perf_counter() - start, 3)
 
     def write(df: DataFrame, name: str, **kw) -> None:
-        write_layer(df, paths[name], name, only_written_months=partial, **kw)
+        write_layer(df, paths[name], name, **kw)
 
     def base() -> None:
-        trips = layers.build_base(raw)
+        rows = layers.build_base(raw)
         if partial:
             month = F.col(TRIP_PARTITION)
-            trips = trips.filter(month.between(F.lit(as_date(months[0])), F.lit(as_date(months[1]))))
-        write(trips, "trips_base")
+            rows = rows.filter(month.between(F.lit(as_date(months[0])), F.lit(as_date(months[1]))))
+        write(rows, "trips_base", months=months)
 
     step("trips_base", base)
 
@@ -92,14 +93,16 @@ def build_layers(
             lo, hi = max(FIRST_MONTH, f"{lo[:4]}-01-01"), f"{hi[:4]}-12-01"
         base_df = read_layer(spark, paths["trips_base"], "trips_base", lo=lo, hi=hi)
         prof = audits.audit_profile(base_df).withColumn(PROFILE_PARTITION, F.year("trip_date"))
-        write_layer(prof, paths["audit_profile"], "audit_profile", only_written_months=partial)
+        write(prof, "audit_profile", months=(lo, hi) if partial else None)
 
     def silver() -> None:
         lo, hi = _clip(FIRST_MONTH, "9999-12-01", months)
         base_df = read_layer(spark, paths["trips_base"], "trips_base", lo=lo, hi=hi)
         # Shuffle base columns only; the derived ones are added after the
-        # rebalance, right before the clustering sort and the write.
-        write(layers.deduped_base(layers.enrich(base_df)), "trips_silver", derive=layers.enrich)
+        # exchange, right before the clustering sort and the write.
+        cluster = {"company_clean": trips.company_clean(), "payment_category": trips.payment_category()}
+        deduped = layers.deduped_base(layers.enrich(base_df))
+        write(deduped, "trips_silver", derive=layers.enrich, cluster=cluster, months=months)
 
     # Both read only the base layer: submit their jobs together.
     def profile_and_silver() -> None:
@@ -114,7 +117,7 @@ def build_layers(
         if lo > hi:
             return
         silver_df = read_layer(spark, paths["trips_silver"], "trips_silver", lo=lo, hi=hi)
-        write(build(silver_df), name)
+        write(build(silver_df), name, months=(lo, hi) if partial else None)
 
     # Each mart reads only the silver months it aggregates. The three are
     # independent, so their jobs are submitted together and share the cores.
@@ -180,17 +183,20 @@ def layer_reports(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataF
     }
 
 
-def register_views(spark: SparkSession, paths: dict[str, str]) -> list[str]:
+def register_views(
+    spark: SparkSession, paths: dict[str, str], lo: str | None = None, hi: str | None = None
+) -> list[str]:
     """Expose the written layers to Spark SQL under the analysis' table names.
 
     ``trips_base``, ``v_trips_enriched`` (the lazy enriched view),
     ``trips_silver`` and the three marts become temporary views, so SQL
-    written against those names runs unchanged in dialect-neutral parts; a
-    ``WHERE partition_month …`` / ``month_start …`` bound prunes partitions
-    as the guarded reader does.
+    written against those names runs unchanged in dialect-neutral parts. The
+    guarded layers are exposed over the months ``[lo, hi]`` only; without a
+    bound this raises, as ``read_layer`` does. A ``WHERE partition_month …`` /
+    ``month_start …`` bound prunes further.
     """
     for name, path in paths.items():
-        spark.read.parquet(path).createOrReplaceTempView(name)
+        read_layer(spark, path, name, lo=lo, hi=hi).createOrReplaceTempView(name)
     layers.enrich(spark.table("trips_base")).createOrReplaceTempView("v_trips_enriched")
     return [*paths, "v_trips_enriched"]
 

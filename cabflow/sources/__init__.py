@@ -1,5 +1,8 @@
 """Sources and sinks: raw schema, test-table adapter, layered Parquet I/O."""
 
+from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType, TimestampType
+
 from cabflow.sources.fixture import raw_trips, trips_from_lineitem
 from cabflow.sources.layers import PartitionFilterRequired, read_layer, write_layer
 from cabflow.sources.schema import RAW_SCHEMA
@@ -16,5 +19,22 @@ __all__ = [
 
 
 def read_raw(spark, path: str):
-    """Scan raw trip files with the declared schema (no inference pass)."""
-    return spark.read.schema(RAW_SCHEMA).parquet(path)
+    """Scan raw trip files: the declared columns, then any others the files hold.
+
+    A declared column that the files lack is NULL; one of another type is an
+    error (timestamps may be with or without a time zone).
+    """
+    raw = spark.read.parquet(path)
+    held = {f.name: f.dataType for f in raw.schema.fields}
+    wrong = [
+        f"{f.name} is {held[f.name].simpleString()}, not {f.dataType.simpleString()}"
+        for f in RAW_SCHEMA.fields
+        if f.name in held
+        and held[f.name] != f.dataType
+        and not (isinstance(f.dataType, TimestampType) and isinstance(held[f.name], TimestampNTZType))
+    ]
+    if wrong:
+        raise TypeError(f"{path}: {'; '.join(wrong)}")
+    declared = [F.col(f.name) if f.name in held else F.lit(None).cast(f.dataType).alias(f.name) for f in RAW_SCHEMA.fields]
+    others = [F.col(f"`{name}`") for name in held if name not in RAW_SCHEMA.names]
+    return raw.select(*declared, *others)

@@ -4,7 +4,10 @@ The test tables carry no taxi data, so trips are derived row by row from
 ``lineitem`` with (almost only) integer arithmetic; the same derivation is
 written as DuckDB SQL in ``cabflow.plans.oracle``. Each line item is a
 trip; every 50th order is posted twice (``cp = 1``, ten cents dearer) so
-that deduplication has work. The result grows linearly with ``lineitem``
+that deduplication has work. Two small firms, one with odd white space,
+trips without a taxi id, fractions of a cent and negative amounts give the
+filters of every layer rows to drop, and the last month has trips on one
+day only. The result grows linearly with ``lineitem``
 and is one narrow, codegen'd projection (plus a generator for the
 copies): no shuffle, no join.
 """
@@ -72,11 +75,14 @@ def trips_from_lineitem(lineitem: DataFrame) -> DataFrame:
         .when(ok % 10 == 6, F.lit(56).cast("long"))
         .otherwise(1 + ((ok - ok % 10) / 10).cast("long") % 77)
     )
-    st = (
+    posted = (
         F.col("l_shipdate")
         + _days(6575 + (ok % 5) * 365)
         + _minutes(((pk * 7 + ln * 3) % 24) * 60 + (sk % 4) * 15)
     )
+    # The last month's feed breaks off: all its trips carry the first day.
+    broken = (F.year(posted) == 2023) & (F.month(posted) == 11)
+    st = F.when(broken, posted - _days(F.dayofmonth(posted) - 1)).otherwise(posted)
     a = lineitem.select(
         ok.alias("ok"),
         pk.alias("pk"),
@@ -127,11 +133,14 @@ def trips_from_lineitem(lineitem: DataFrame) -> DataFrame:
             F.when(pk % 233 == 0, F.lit(None).cast("double"))
             .when(ok % 31 == 0, F.lit(0.0))
             .when(ok % 1013 == 0, F.lit(650.0))
+            .when(ok % 503 == 0, F.lit(-5.0))
             .otherwise(_dollars(cents))
         )
 
     company = (
-        F.when(sk % 10 <= 2, "Alpha Cab")
+        F.when(ok % 97 == 0, "Epsilon Cab")
+        .when(ok % 193 == 0, "\tZeta\u00a0Taxi\u00a0. ")
+        .when(sk % 10 <= 2, "Alpha Cab")
         .when(sk % 10 == 3, "Alpha Cab.")
         .when(sk % 10 == 4, "Beta Taxi. . ")
         .when(sk % 10 == 5, "Beta Taxi")
@@ -139,7 +148,7 @@ def trips_from_lineitem(lineitem: DataFrame) -> DataFrame:
         .when(sk % 10 <= 8, "Delta Service")
     )
     fields = {
-        "taxi_id": F.concat(F.lit("T"), sk.cast("string")),
+        "taxi_id": F.when(ok % 53 != 0, F.concat(F.lit("T"), sk.cast("string"))),
         "trip_start_timestamp": F.when(ok % 1499 == 0, null_ts).otherwise(st),
         "trip_end_timestamp": F.when(ok % 401 == 0, null_ts)
         .when(ok % 307 == 0, st - F.make_dt_interval(hours=F.lit(1)))
@@ -152,12 +161,17 @@ def trips_from_lineitem(lineitem: DataFrame) -> DataFrame:
         "dropoff_community_area": da,
         "fare": F.when(pk % 227 == 0, F.lit(None).cast("double"))
         .when(ok % 1009 == 0, -fc.cast("double") / 100)
+        .when(pk % 41 == 0, (fc * 10 + 4).cast("double") / 1000)
         .otherwise(_dollars(fc)),
-        "tips": F.when(pk % 229 == 0, F.lit(None).cast("double")).otherwise(_dollars(tc)),
+        "tips": F.when(pk % 229 == 0, F.lit(None).cast("double")).when(ok % 499 == 0, _dollars(-tc - 1)).otherwise(_dollars(tc)),
         "tolls": F.when(ln == 7, F.lit(1.5)).otherwise(F.lit(0.0)),
         "extras": (ln % 4).cast("double"),
         "payment_type": F.col("pt"),
         "company": company,
+        "pickup_latitude": 41 + pa.cast("double") / 100,
+        "pickup_longitude": -87 - pa.cast("double") / 100,
+        "dropoff_latitude": 41 + da.cast("double") / 100,
+        "dropoff_longitude": -87 - da.cast("double") / 100,
         "pickup_location": F.when(pa.isNull(), F.lit(None).cast("string")).otherwise(
             F.concat(F.lit("POINT ("), pa.cast("string"), F.lit(" 41)"))
         ),
@@ -187,28 +201,10 @@ def trips_from_lineitem(lineitem: DataFrame) -> DataFrame:
     return c.select(F.inline(copies))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan that yields fewer splits than the cluster has cores.
-
-    The test tables are single files with one row group, i.e. one task.
-    Hash-repartitioning the narrow input on ``key`` lets the expression-heavy
-    derivation use every core (a hash exchange is deterministic on retry and,
-    unlike a round-robin one, needs no local sort). Large inputs already have
-    at least as many splits as cores and are left alone: no shuffle is added
-    at scale.
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. Spark Connect): leave the plan as it is
-        return df
-    return df.repartition(cores, key) if splits < cores else df
-
-
 def raw_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw trips for a test-data folder (reads only the six columns it needs)."""
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*LINEITEM_COLUMNS)
-    return trips_from_lineitem(spread(lineitem, "l_orderkey"))
+    return trips_from_lineitem(lineitem)
 
 
 def land_raw(spark: SparkSession, sf_dir: str, path: str) -> None:

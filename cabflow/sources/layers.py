@@ -1,11 +1,12 @@
 """Layered Parquet storage: month partitions, clustered files, guarded reads.
 
 * ``write_layer`` — ``CREATE OR REPLACE TABLE … PARTITION BY month CLUSTER BY …``:
-  a REBALANCE on the month column lets adaptive execution cut each month
-  into evenly sized tasks (a huge month is split, small months are merged),
-  so every task writes files of one month only; rows are then sorted by the
-  clustering keys inside each task, which gives tight Parquet min/max
-  statistics for pushed filters.
+  rows are range-partitioned and sorted by (month, clustering keys), so the
+  files of a month hold disjoint key ranges and pushed filters skip files
+  and row groups by their statistics; a month too large for one task is
+  split by its keys. The new data are written beside the layer and take the
+  place of the old months only when complete: a job that fails while
+  writing leaves the layer as it was.
 * ``read_layer`` — ``require_partition_filter``: reading a guarded layer
   without a month range raises; with one, the range becomes a
   ``PartitionFilters`` entry and whole months are never listed or read.
@@ -14,9 +15,10 @@
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cabflow.sources.schema import (
     CLUSTER_KEYS,
@@ -42,30 +44,67 @@ class PartitionFilterRequired(ValueError):
     """A guarded layer was read without a month range."""
 
 
+def _replace_partitions(spark: SparkSession, path: str, staged: str, column: str, stale: Callable[[str], bool]) -> None:
+    """Put the staged partitions in place; old ones they replace, and other ``stale`` ones, go."""
+    jvm = spark._jvm
+    new, old = jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(path)
+    retired = jvm.org.apache.hadoop.fs.Path(f"{staged}-retired")
+    fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def partitions(folder) -> dict:
+        found = fs.listStatus(folder) if fs.exists(folder) else []
+        return {f.getPath().getName(): f.getPath() for f in found if f.getPath().getName().startswith(f"{column}=")}
+
+    def move(what, to) -> None:
+        if not fs.rename(what, to):
+            raise OSError(f"cannot move {what} to {to}")
+
+    fresh, present = partitions(new), partitions(old)
+    fs.mkdirs(retired)
+    for name, folder in present.items():
+        if name in fresh or stale(name.split("=", 1)[1]):
+            move(folder, jvm.org.apache.hadoop.fs.Path(retired, name))
+    for name, folder in fresh.items():
+        move(folder, jvm.org.apache.hadoop.fs.Path(old, name))
+    fs.delete(retired, True)
+    fs.delete(new, True)
+
+
 def write_layer(
     df: DataFrame,
     path: str,
     layer: str,
-    mode: str = "overwrite",
     derive: Callable[[DataFrame], DataFrame] | None = None,
-    only_written_months: bool = False,
+    cluster: dict[str, Column] | None = None,
+    months: tuple[str, str] | None = None,
 ) -> None:
-    """Write ``df`` as layer ``layer`` under ``path`` (full rebuild by default).
-
-    ``derive`` adds columns after the rebalance exchange, so columns that are
-    functions of others are computed where they are written instead of
-    being shuffled. With ``only_written_months`` the overwrite replaces just
-    the month partitions present in ``df`` (dynamic partition overwrite).
+    """Write ``df`` as layer ``layer`` under ``path``, replacing it, or its ``months`` (lo, hi) only.
+
+    The layer then holds exactly the rows of ``df`` in those months: a month
+    without rows in ``df`` goes. ``derive`` adds columns after the exchange,
+    so columns that are functions of others are computed where they are
+    written instead of being shuffled; ``cluster`` gives the expressions of
+    clustering keys that only ``derive`` adds. The number of range
+    partitions is ``spark.sql.shuffle.partitions`` (adaptive execution merges
+    small neighbours).
     """
+    spark = df.sparkSession
     month = partition_column(layer)
-    laid_out = df.hint("rebalance", month)
+    wanted = CLUSTER_KEYS.get(layer, [])
+    ranges = [(cluster or {}).get(k, F.col(k)) for k in wanted if k in df.columns or k in (cluster or {})]
+    laid_out = df.repartitionByRange(F.col(month), *ranges)
     if derive is not None:
         laid_out = derive(laid_out)
-    keys = [k for k in CLUSTER_KEYS.get(layer, []) if k in laid_out.columns]
-    writer = laid_out.sortWithinPartitions(month, *keys).write.mode(mode).partitionBy(month)
-    if only_written_months:
-        writer = writer.option("partitionOverwriteMode", "dynamic")
-    writer.parquet(path)
+    keys = [k for k in wanted if k in laid_out.columns]
+    staged = f"{path.rstrip('/')}/.staged-{uuid.uuid4().hex}"
+    laid_out.sortWithinPartitions(month, *keys).write.partitionBy(month).parquet(staged)
+    bounds = None if months is None else [str(_bound(layer)(m)) for m in months]
+    _replace_partitions(spark, path, staged, month, lambda value: bounds is None or bounds[0] <= value <= bounds[1])
+
+
+def _bound(layer: str) -> Callable[[str | _dt.date], object]:
+    """A yearly partitioned layer is bounded by the years of the months."""
+    return (lambda d: as_date(d).year) if partition_column(layer) == PROFILE_PARTITION else as_date
 
 
 def read_layer(
@@ -84,8 +123,7 @@ def read_layer(
     if GUARDED_LAYERS.get(layer, False) and lo is None and hi is None:
         raise PartitionFilterRequired(f"{layer}: pass lo/hi to bound {month}")
     df = spark.read.parquet(path)
-    # a yearly partitioned layer is bounded by the years of the months
-    bound = (lambda d: as_date(d).year) if month == PROFILE_PARTITION else as_date
+    bound = _bound(layer)
     if lo is not None:
         df = df.filter(F.col(month) >= F.lit(bound(lo)))
     if hi is not None:

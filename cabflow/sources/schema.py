@@ -32,7 +32,11 @@ RAW_FIELDS = [
     ("trip_total", DoubleType()),
     ("payment_type", StringType()),
     ("company", StringType()),
+    ("pickup_latitude", DoubleType()),
+    ("pickup_longitude", DoubleType()),
     ("pickup_location", StringType()),
+    ("dropoff_latitude", DoubleType()),
+    ("dropoff_longitude", DoubleType()),
     ("dropoff_location", StringType()),
 ]
 RAW_SCHEMA = StructType([StructField(name, dtype, True) for name, dtype in RAW_FIELDS])

@@ -65,7 +65,7 @@ def main() -> None:
     company = read_layer(spark, paths["mart_company_performance"], "mart_company_performance", lo="2013-01-01")
     geo = read_layer(spark, paths["mart_geo_flows"], "mart_geo_flows")
     silver_write = (
-        layers.enrich(layers.deduped_base(layers.enrich(base)).hint("rebalance", "partition_month"))
+        layers.enrich(layers.deduped_base(layers.enrich(base)).repartitionByRange("partition_month", "taxi_id"))
         .sortWithinPartitions("partition_month", "company_clean", "taxi_id")
     )
     stages = {

@@ -5,6 +5,8 @@ import uuid
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from cabflow.plans.check import plan_text
 from cabflow.plans.queries import QUERIES
 from cabflow.plans.refresh import build_layers, layer_reports
@@ -100,21 +102,97 @@ def test_month_range_refresh_equals_full_rebuild(spark, scratch, paths, lo, hi):
         assert incremental.exceptAll(full.select(incremental.columns)).count() == 0, name
 
 
+def test_refresh_removes_a_month_that_became_empty(spark, scratch):
+    from pyspark.sql import functions as F
+
+    root, whole = (os.path.join(scratch, f"gone-{uuid.uuid4().hex[:8]}") for _ in range(2))
+    raw = raw_trips(spark, SF_SMALL)
+    corrected = raw.filter(F.trunc("trip_start_timestamp", "month") != "2018-03-01")
+    build_layers(spark, raw, root)
+    build_layers(spark, corrected, root, months=("2018-03-01", "2018-03-01"))
+    build_layers(spark, corrected, whole)
+    for name in ("trips_base", "audit_profile", "trips_silver", "mart_company_performance", "mart_time_analysis", "mart_geo_flows"):
+        lo = None if name == "mart_geo_flows" else "2013-01-01"
+        got, want = (read_layer(spark, f"{r}/{name}", name, lo=lo) for r in (root, whole))
+        assert got.count() == want.count(), name
+        assert got.exceptAll(want.select(got.columns)).count() == 0, name
+
+
+def test_failed_write_leaves_the_old_layer(spark, paths):
+    from pyspark.sql import functions as F
+
+    from cabflow.sources.layers import write_layer
+
+    before = read_layer(spark, paths["mart_geo_flows"], "mart_geo_flows")
+    rows = before.count()
+    failing = before.withColumn("trip_count", F.when(F.col("trip_count") > 0, F.raise_error(F.lit("stop")).cast("long")))
+    with pytest.raises(Exception, match="stop"):
+        write_layer(failing, paths["mart_geo_flows"], "mart_geo_flows")
+    assert read_layer(spark, paths["mart_geo_flows"], "mart_geo_flows").count() == rows
+
+
+def test_files_of_a_split_month_hold_disjoint_keys(spark, scratch):
+    """A month over several range partitions: no two files' company ranges overlap."""
+    import glob
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from cabflow.operators.layers import build_base
+    from cabflow.sources.layers import write_layer
+
+    path = os.path.join(scratch, f"clustered-{uuid.uuid4().hex[:8]}")
+    month = build_base(raw_trips(spark, SF_SMALL)).withColumn("partition_month", F.lit("2018-03-01").cast("date"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_layer(month, path, "trips_base")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    ranges = []
+    for file in glob.glob(f"{path}/partition_month=*/*.parquet"):
+        keys = pq.read_table(file, columns=["company", "taxi_id"]).to_pylist()
+        ordered = [(r["company"] or "", r["taxi_id"] or "") for r in keys]
+        ranges.append((min(ordered), max(ordered)))
+    ranges.sort()
+    assert len(ranges) > 2
+    assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))
+
+
+def test_raw_columns_are_all_carried(spark, scratch):
+    from pyspark.sql import functions as F
+
+    from cabflow.sources import read_raw
+    from cabflow.sources.fixture import land_raw
+
+    path = os.path.join(scratch, f"raw-{uuid.uuid4().hex[:8]}")
+    land_raw(spark, SF_SMALL, f"{path}/plain")
+    wide = spark.read.parquet(f"{path}/plain").withColumn("shift", F.lit("night"))
+    wide.drop("tolls").write.parquet(f"{path}/wide")
+    got = read_raw(spark, f"{path}/wide")
+    assert {"shift", "pickup_latitude", "dropoff_longitude", "tolls"} <= set(got.columns)
+    assert got.where("tolls IS NOT NULL").count() == 0
+    wide.withColumn("fare", F.col("fare").cast("string")).write.parquet(f"{path}/wrong")
+    with pytest.raises(TypeError, match="fare"):
+        read_raw(spark, f"{path}/wrong")
+
+
+def test_views_of_guarded_layers_need_a_bound(spark, paths):
+    from cabflow.plans.refresh import register_views
+
+    with pytest.raises(PartitionFilterRequired):
+        register_views(spark, paths)
+
+
 def test_layers_as_sql_views(spark, paths):
     from cabflow.plans.refresh import register_views
 
-    register_views(spark, paths)
+    register_views(spark, paths, lo="2013-01-01")
     sql = spark.sql(
         """
-        SELECT CASE WHEN pickup_community_area IN (76, 56) THEN 'Airport Pickup'
-                    WHEN dropoff_community_area IN (76, 56) THEN 'Airport Dropoff'
-                    ELSE 'Non-Airport' END AS segment,
-               SUM(trip_count) AS trip_count
-        FROM mart_geo_flows
-        GROUP BY 1
+        SELECT is_airport_trip, SUM(trip_count) AS trip_count FROM mart_geo_flows GROUP BY 1
         """
     )
-    report = QUERIES["report_airport_segments"](spark, SF_SMALL).groupBy("segment").sum("trip_count")
+    report = QUERIES["report_airport_segments"](spark, SF_SMALL).groupBy(F.col("segment") != "Non-Airport").sum("trip_count")
     assert sorted(map(tuple, sql.collect())) == sorted(map(tuple, report.collect()))
     pruned = spark.sql("SELECT COUNT(*) FROM v_trips_enriched WHERE partition_month >= DATE'2020-01-01' AND NOT has_geo")
     assert "PartitionFilters: [isnotnull(partition_month" in plan_text(pruned)

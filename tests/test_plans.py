@@ -70,14 +70,50 @@ def test_audit_is_one_pruned_scan(spark, paths):
     assert "unique_key" not in read_schema and "taxi_id" not in read_schema
 
 
-def test_layer_write_plan_rebalances_by_month(spark, paths):
-    from cabflow.operators import layers
-
-    base = read_layer(spark, paths["trips_base"], "trips_base", lo="2013-01-01")
-    silver = layers.build_silver(layers.enrich(base))
-    laid_out = silver.hint("rebalance", "partition_month").sortWithinPartitions("partition_month")
-    plan = plan_text(laid_out)
-    assert "REBALANCE_PARTITIONS_BY_COL" in plan
+def test_month_bound_is_below_the_dedup(spark):
+    tree = _tree(plan_text(QUERIES["mart_geo_flows"](spark, SF_SMALL)))
+    details = plan_text(QUERIES["mart_geo_flows"](spark, SF_SMALL)).split("\n\n")
+    assert "Window" in tree
+    # Every filter over the scan side names both bounds of the mart before any exchange.
+    filters = [d for d in details if d.lstrip("(0123456789) ").startswith("Filter")]
+    assert any("2017-01-01" in f and "2021-12-01" in f for f in filters[:1])
+
+
+def test_month_bound_reduces_dedup_rows(spark):
+    """The dedup exchange of a bounded mart carries fewer rows than that of silver."""
+
+    def dedup_rows(df):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        found = []
+
+        def walk(node):
+            name = node.nodeName()
+            if name.startswith("AdaptiveSparkPlan"):
+                walk(node.executedPlan())
+            elif "QueryStage" in name:
+                walk(node.plan())
+            else:
+                if name == "Exchange" and "taxi_id" in node.simpleString(200):
+                    found.append(node.metrics().apply("shuffleRecordsWritten").value())
+                for i in range(node.children().size()):
+                    walk(node.children().apply(i))
+
+        walk(plan)
+        return found[0]
+
+    bounded = dedup_rows(QUERIES["mart_geo_flows"](spark, SF_SMALL))
+    everything = dedup_rows(QUERIES["trips_silver"](spark, SF_SMALL))
+    assert 0 < bounded < 0.8 * everything
+
+
+def test_audits_shuffle_one_row_per_key_and_task(spark):
+    df = QUERIES["audit_nulls_yearly"](spark, SF_SMALL)
+    years = df.count()
+    tree = _tree(plan_text(df))
+    assert tree.count("HashAggregate") == 2  # partial and final, by year alone
+    assert "trip_date" not in plan_text(df)
+    assert years <= 20
 
 
 def test_silver_shuffles_only_base_columns(spark):
@@ -88,4 +124,4 @@ def test_silver_shuffles_only_base_columns(spark):
     for block in exchanges:
         inputs = next(line for line in block.split("\n") if line.startswith("Input"))
         assert "company_clean" not in inputs and "dollars_per_km" not in inputs
-        assert inputs.startswith("Input [20]")
+        assert inputs.startswith("Input [24]")
