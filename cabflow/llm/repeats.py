@@ -16,7 +16,8 @@ Digits are strings of bytes, told apart by 64-bit hashes:
 2. the whole stretch of the windows that share the anchor. Inside copies
    such stretches are equal, and one key settles them all.
 3. the window itself, for stretches that meet others only in part (the ends
-   of copies).
+   of copies). The block of a stretch's smallest id sends its bytes, the
+   others its key; the task that compares them sorts their windows.
 
 Texts are dealt by hash into blocks of about ``block_bytes``. A pass sends,
 for each block, its distinct keys (a passage that a third of all documents
@@ -73,7 +74,7 @@ class Windows:
         raw = np.frombuffer(b"".join(texts), np.uint8)
         n = len(raw)
         empty = np.zeros(0, np.int64)
-        self.low = self.high = self.doc = empty
+        self.low = self.high = self.doc = self.anchor = empty
         self.key = np.zeros(0, np.uint64)
         if n < depth:
             return
@@ -99,18 +100,12 @@ class Windows:
         last[:-1] &= first[1:] | ~inside[1:]
         self.high = np.flatnonzero(last)
         self.doc = doc[self.low]
-        self.key = strings[anchor[self.low]]
+        self.anchor = anchor[self.low]
+        self.key = strings[self.anchor]
 
     def stretch_keys(self, which: np.ndarray) -> np.ndarray:
         return spans_hash(self.prefix, self.inverse, self.low[which], self.high[which] + self.depth)
 
-    def single(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(stretch, start, key) of each window in the stretches ``which``."""
-        count = self.high[which] - self.low[which] + 1
-        stretch = np.repeat(which, count)
-        start = np.repeat(self.low[which] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-        return stretch, start, spans_hash(self.prefix, self.inverse, start, start + self.depth)
-
 
 def windows_of(table: pa.Table, depth: int, kmer: int) -> Iterator[tuple[slice, np.ndarray, list[bytes], Windows]]:
     """A block's texts in parcels: (rows, ids, texts, windows)."""
@@ -234,41 +229,87 @@ def _settled_stretches(table: pa.Table) -> pa.Table:
     return _answers(block, np.ones(len(key), bool), {"keys": stretch, "lows": least, "mixed": mixed})
 
 
-def _single_windows(ranges: int, depth: int, kmer: int):
+def _mixed_stretches(ranges: int, depth: int, kmer: int):
+    names = ("stretches", "counts", "lows", "contexts")
+
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        """Digit 3: distinct windows of the block's mixed stretches with their smallest and largest id."""
-        none = {"keys": np.zeros(0, np.uint64), "lows": np.zeros(0, np.int64), "highs": np.zeros(0, np.int64)}
+        """Digit 3: the block's mixed stretches; with their bytes from the block of the smallest id."""
+        none = pa.table({"part": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), **{n: pa.array([], pa.binary()) for n in names}})
         if not table.num_rows or not answers.num_rows:
-            return _packed(0, ranges, none["keys"], none)
-        known, _, mixed = _known_stretches(answers)
-        shared = np.sort(known[mixed])
-        keys, docs = [none["keys"]], [none["lows"]]
-        for _, ids, _, w in windows_of(table, depth, kmer):
-            if len(w.low):
-                which = np.flatnonzero(_found(w.stretch_keys(np.arange(len(w.low))), shared)[1])
-                stretch, _, key = w.single(which)
-                keys.append(key)
-                docs.append(ids[w.doc[stretch]])
-        key, doc = np.concatenate(keys), np.concatenate(docs)
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        last = np.append(first[1:], len(key)) - 1
-        return _packed(_block(table), ranges, key[first], {"keys": key[first], "lows": doc[first], "highs": doc[last]})
+            return none
+        known, lows, mixed = _known_stretches(answers)
+        known, lows = known[mixed], lows[mixed]
+        seen: dict[int, tuple[int, int, bytes]] = {}  # stretch -> windows if it is sent whole, anchor key, bytes
+        for _, ids, texts, w in windows_of(table, depth, kmer):
+            if not len(w.low):
+                continue
+            keys = w.stretch_keys(np.arange(len(w.low)))
+            at, found = _found(keys, known)
+            which = np.flatnonzero(found)
+            own = ids[w.doc[which]] == lows[at[which]]
+            buffer = b"".join(texts)
+            for i, key, anchor, whole in zip(which.tolist(), keys[which].tolist(), w.key[which].tolist(), own.tolist()):
+                if whole:
+                    if not seen.get(key, (0,))[0]:
+                        low, high = int(w.low[i]), int(w.high[i])
+                        seen[key] = (high - low + 1, anchor, buffer[low : high + depth])
+                elif key not in seen:
+                    seen[key] = (0, anchor, b"")
+        if not seen:
+            return none
+        stretch = np.fromiter(seen.keys(), np.uint64, len(seen))
+        entries = list(seen.values())
+        anchor = np.fromiter((e[1] for e in entries), np.uint64, len(entries))
+        part = ((anchor >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+        order = np.lexsort((stretch, part))
+        ends = np.searchsorted(part[order], np.arange(ranges + 1))
+        rows: dict[str, list] = {"part": [], **{n: [] for n in names}}
+        for r in np.flatnonzero(np.diff(ends)).tolist():
+            mine = order[ends[r] : ends[r + 1]]
+            sent = [entries[i] for i in mine]
+            whole = mine[[e[0] > 0 for e in sent]]
+            rows["part"].append(r)
+            rows["stretches"].append(stretch[mine].tobytes())
+            rows["counts"].append(np.array([e[0] for e in sent], np.uint16).tobytes())
+            rows["lows"].append(lows[np.searchsorted(known, stretch[whole])].tobytes())
+            rows["contexts"].append(b"".join([e[2] for e in sent]))
+        block = pa.array(np.full(len(rows["part"]), _block(table)), pa.int32())
+        return pa.table({"part": pa.array(rows["part"], pa.int32()), "block": block, **{n: pa.array(rows[n], pa.binary()) for n in names}})
 
     return run
 
 
-def _settled_windows(table: pa.Table) -> pa.Table:
-    """Smallest id of each window, to the blocks that hold it in a document with a larger id."""
-    key, block = _column(table, "keys", np.uint64), _by_block(table, "keys", 8)
-    low, high = _column(table, "lows", np.int64), _column(table, "highs", np.int64)
-    order = np.lexsort((low, key))
-    k = key[order]
-    new = np.append(True, k[1:] != k[:-1])
-    least = np.empty(len(key), np.int64)
-    least[order] = low[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
-    return _answers(block, least < high, {"keys": key, "lows": least})
+def _settled_windows(depth: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Windows that a document with a smaller id has in another stretch, to each block with the stretch."""
+        stretch, count, block = _column(table, "stretches", np.uint64), _column(table, "counts", np.uint16), _by_block(table, "stretches", 8)
+        low = _column(table, "lows", np.int64)
+        whole = np.flatnonzero(count)
+        n = count[whole].astype(np.int64)
+        buffer = np.frombuffer(b"".join(table.column("contexts").to_pylist()), np.uint8)
+        start = np.cumsum(n + depth - 1) - (n + depth - 1)
+        owner = np.repeat(np.arange(len(whole)), n)
+        offset = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        at = start[owner] + offset
+        key = spans_hash(prefix_hash(BYTE_VALUES[buffer]), inverse_powers(len(buffer)), at, at + depth)
+        order = np.lexsort((low[owner], key))
+        k = key[order]
+        new = np.append(True, k[1:] != k[:-1])[: len(k)]
+        least = np.empty(len(key), np.int64)
+        least[order] = low[owner[order]][np.flatnonzero(new)[np.cumsum(new) - 1]]
+        better = np.flatnonzero(least < low[owner])
+        of = stretch[whole][owner[better]]
+        order = np.argsort(of, kind="stable")
+        of, better = of[order], better[order]
+        # Every block that named the stretch gets its windows.
+        first, last = np.searchsorted(of, stretch, side="left"), np.searchsorted(of, stretch, side="right")
+        times = last - first
+        entry = np.repeat(first - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        to = np.repeat(block, times)
+        columns = {"keys": of[entry], "offsets": offset[better][entry].astype(np.uint16), "lows": least[better][entry]}
+        return _answers(to, np.ones(len(to), bool), columns)
+
+    return run
 
 
 def _known_stretches(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -278,23 +319,28 @@ def _known_stretches(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndar
     return keys[order], lows[order], mixed[order]
 
 
-def covered(w: Windows, ids: np.ndarray, stretches: tuple, windows: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def covered(w: Windows, ids: np.ndarray, stretches: tuple, windows: tuple) -> np.ndarray:
     """Sorted (start, end) of the bytes that windows of documents with smaller ids cover."""
     if not len(w.low):
         return np.zeros((0, 2), np.int64)
     known, lows, mixed = stretches
-    at, found = _found(w.stretch_keys(np.arange(len(w.low))), known)
+    keys = w.stretch_keys(np.arange(len(w.low)))
+    at, found = _found(keys, known)
     which = np.flatnonzero(found)
     at = at[which]
     own = ids[w.doc[which]]
     whole = lows[at] < own
     starts, ends = [w.low[which[whole]]], [w.high[which[whole]] + w.depth]
     part = which[~whole & mixed[at]]
-    stretch, start, key = w.single(part)
-    place, hit = _found(key, windows[0])
-    hit[hit] = windows[1][place[hit]] < ids[w.doc[stretch[hit]]]
-    starts.append(start[hit])
-    ends.append(start[hit] + w.depth)
+    of, offset, low = windows
+    first, last = np.searchsorted(of, keys[part], side="left"), np.searchsorted(of, keys[part], side="right")
+    times = last - first
+    entry = np.repeat(first - (np.cumsum(times) - times), times) + np.arange(times.sum())
+    place = np.repeat(part, times)
+    hit = low[entry] < ids[w.doc[place]]
+    start = w.low[place[hit]] + offset[entry[hit]]
+    starts.append(start)
+    ends.append(start + w.depth)
     start, end = np.concatenate(starts), np.concatenate(ends)
     order = np.argsort(start, kind="stable")
     return np.stack((start[order], end[order]), axis=1)
@@ -307,9 +353,9 @@ def _remove(depth: int, kmer: int, schema: pa.Schema):
         kind = np.asarray(answers.column("kind").combine_chunks() if answers.num_rows else pa.array([], pa.int32()))
         stretches = _known_stretches(answers.filter(pa.array(kind == 2)))
         single = answers.filter(pa.array(kind == 3))
-        keys, lows = _column(single, "keys", np.uint64), _column(single, "lows", np.int64)
+        keys, lows, offsets = _column(single, "keys", np.uint64), _column(single, "lows", np.int64), _column(single, "offsets", np.uint16)
         order = np.argsort(keys, kind="stable")
-        windows = keys[order], lows[order]
+        windows = keys[order], offsets[order].astype(np.int64), lows[order]
         sizes, spans, kept = [], [], []
         for _, ids, texts, w in windows_of(table, depth, kmer):
             cover = covered(w, ids, stretches, windows)
@@ -366,11 +412,12 @@ def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", de
     stretches = pair(anchors).applyInArrow(_stretches(ranges, depth, kmer), packed + "keys binary, stretches binary, lows binary")
     stretches = answered(stretches, _settled_stretches, "block int, keys binary, lows binary, mixed binary", "stretch")
     release(anchors)
-    single = pair(stretches).applyInArrow(_single_windows(ranges, depth, kmer), packed + "keys binary, lows binary, highs binary")
-    single = answered(single, _settled_windows, "block int, keys binary, lows binary", "window")
+    mixed = pair(stretches).applyInArrow(_mixed_stretches(ranges, depth, kmer), packed + "stretches binary, counts binary, lows binary, contexts binary")
+    single = answered(mixed, _settled_windows(depth), "block int, keys binary, offsets binary, lows binary", "window")
 
     answers = stretches.withColumn("kind", F.lit(2)).unionByName(single.withColumn("kind", F.lit(3)), allowMissingColumns=True)
-    answers = answers.withColumn("mixed", F.coalesce("mixed", F.lit(b"")))
+    for packed_column in ("mixed", "offsets"):
+        answers = answers.withColumn(packed_column, F.coalesce(packed_column, F.lit(b"")))
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
     schema = T.StructType([docs.schema[c] for c in others] + [T.StructField("n_bytes", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType())])
     return keyed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_remove(depth, kmer, to_arrow_schema(schema)), schema)
