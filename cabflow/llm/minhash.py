@@ -13,11 +13,12 @@ banded; texts that share a band are candidates, and J_P itself decides
    become one node.
 2. Buckets (band values shared by two nodes or more) are counted with
    partial aggregates. Candidate pairs are tested in three rounds, each over
-   the pairs that the links found before leave in different components:
-   node and smallest bucket centre; node and every bucket centre; then all
-   members of a bucket that are still apart, so no link that could join two
-   components goes untested. A group of thousands of copies is joined in the
-   first rounds by one pair a member, not by all its pairs.
+   what the links found before leave in different components: node and
+   smallest bucket centre; node and every bucket centre; then the members of
+   buckets that are still divided, in cells of bounded size. There a task
+   tests every pair from different components until links found join them, and
+   passes on only those links, so no link that could join two components
+   goes untested and a group of thousands yields no list of pairs.
 3. Components of the verified links are the classes.
 
 Rows are numbered in a written table; shingle sets are made for candidates
@@ -42,6 +43,8 @@ from cabflow.llm.common import Words, cut, mix, prepare, slices, text_bytes
 from cabflow.llm.components import components
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 25, 5, 0.8
+#: Members of a bucket that one task compares with as many others, and room for rounding in comparisons.
+CELL, SLACK = 500, 1e-9
 _STEP, _ALL = 0xD1B54A32D192ED03, (1 << 64) - 1
 RESULTS = ("class_id", "class_size", "kept")
 
@@ -165,12 +168,60 @@ def _verify(threshold: float):
             for s in "ab":
                 pairs = zip(batch.column(f"elements_{s}").to_pylist(), batch.column(f"weights_{s}").to_pylist())
                 sides.append([(np.frombuffer(e, np.uint64), np.frombuffer(w, np.uint32)) for e, w in pairs])
-            linked = pa.array([similarity(x, y) >= threshold for x, y in zip(*sides)], pa.bool_())
+            linked = pa.array([similarity(x, y) >= threshold - SLACK for x, y in zip(*sides)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), linked], names=["a", "b", "linked"])
 
     return run
 
 
+def _join_cell(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        """Links that join components in one pair of parts of a bucket.
+
+        Each pair from different components is tested, in the first band
+        where the two meet; pairs that links found here have joined need not be.
+        """
+        table = table.combine_chunks()
+        table = table.take(pa.array(np.argsort(np.asarray(table.column("node")), kind="stable")))
+        node, part = np.asarray(table.column("node")), np.asarray(table.column("part"))
+        label = np.unique(np.asarray(table.column("component")), return_inverse=True)[1]
+        band, first, second = (table.column(c)[0].as_py() for c in ("band", "first", "second"))
+        bands = np.asarray(table.column("bands").combine_chunks().flatten()).reshape(len(node), -1)
+        sets = [(np.frombuffer(e, np.uint64), np.frombuffer(w, np.uint32)) for e, w in zip(table.column("elements").to_pylist(), table.column("weights").to_pylist())]
+        sizes = np.array([len(e) for e, _ in sets])
+        start = np.cumsum(sizes) - sizes
+        known, flat = np.unique(np.concatenate([e for e, _ in sets]), return_inverse=True)
+        weight = np.concatenate([w for _, w in sets]).astype(np.float64)
+        total = np.add.reduceat(weight, start)
+        plain = total == sizes  # no shingle twice
+        mark = np.zeros(len(known))
+        links = []
+        right = np.flatnonzero(part == second)
+        for i in np.flatnonzero(part == first).tolist():
+            others = right[right > i] if first == second else right
+            others = others[label[others] != label[i]]
+            others = others[~(bands[others, :band] == bands[i, :band]).any(axis=1)]
+            if not len(others):
+                continue
+            own = flat[start[i] : start[i] + sizes[i]]
+            mark[own] = 1.0
+            held = mark[flat]
+            common = np.add.reduceat(held, start)[others]
+            # J_P is at most the share of either text's weight in common shingles.
+            near = np.add.reduceat(held * weight, start)[others] >= (threshold - SLACK) * total[others]
+            mark[own] = 0.0
+            for j, n in zip(others[near].tolist(), common[near].tolist()):
+                if label[j] != label[i]:
+                    same = n / (sizes[i] + sizes[j] - n) if plain[i] and plain[j] else similarity(sets[i], sets[j])
+                    if same >= threshold - SLACK:
+                        links.append((node[i], node[j]))
+                        label[label == label[j]] = label[i]
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def near_duplicate_nodes(rows: DataFrame, bands: int, rows_per_band: int, threshold: float) -> DataFrame:
     """(row, node, component) of every row with a word; ``rows`` is a written table (row, text)."""
     signed = cut(rows.mapInArrow(_sign(bands, rows_per_band), "row long, k1 long, k2 long, bands array<long>"), "signatures")
@@ -204,14 +255,15 @@ def near_duplicate_nodes(rows: DataFrame, bands: int, rows_per_band: int, thresh
     known = cut(components(tested.where("linked")), "components-2")
 
     at = cut(apart(known).select("band", "value", "node", "component"), "bands-components")
-    parts = at.groupBy("band", "value", "component").agg(F.count("*").alias("n"))
-    major = parts.groupBy("band", "value").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    minor = at.join(major, ["band", "value"]).where("component != major").select("band", "value", F.col("node").alias("x"), F.col("component").alias("cx"))
-    others = at.select("band", "value", F.col("node").alias("y"), F.col("component").alias("cy"))
-    third = minor.join(others, (minor.band == others.band) & (minor.value == others.value) & (F.col("cx") != F.col("cy")))
-    third = third.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    tested = tested.unionByName(test(third, "tested-3"))
-    known = components(tested.where("linked"))
+    sizes = at.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    divided = sizes.where("low < high").select("band", "value", F.ceil(F.col("n") / F.lit(CELL)).cast("int").alias("parts"))
+    cells = at.join(divided, ["band", "value"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = cells.withColumn("first", F.least("part", "other")).withColumn("second", F.greatest("part", "other")).drop("parts", "other")
+    cells = cells.join(sets, "node").join(nodes.select("node", "bands"), "node")
+    links = cells.groupBy("band", "value", "first", "second").applyInArrow(_join_cell(threshold), "a long, b long")
+    links = cut(links, "cell-links").unionByName(tested.where("linked").select("a", "b"))
+    known = components(links)
 
     member = signed.select("row", "k1", "k2").join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).select("row", "node")
     return member.join(known, "node", "left").select("row", "node", F.coalesce("component", "node").alias("component"))
