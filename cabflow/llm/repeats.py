@@ -101,7 +101,8 @@ class Windows:
         self.high = np.flatnonzero(last)
         self.doc = doc[self.low]
         self.anchor = anchor[self.low]
-        self.key = strings[self.anchor]
+        # Hashed again: the smallest hashes of windows lie close together, key ranges must not.
+        self.key = mix(strings[self.anchor])
 
     def stretch_keys(self, which: np.ndarray) -> np.ndarray:
         return spans_hash(self.prefix, self.inverse, self.low[which], self.high[which] + self.depth)
