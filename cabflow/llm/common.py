@@ -27,6 +27,15 @@ BATCH_CONF = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
 
+#: Python workers live on between tasks; so that memory which one task needed
+#: goes back to the system, large blocks are mapped and freed ones trimmed.
+WORKER_ENV = {
+    "MALLOC_ARENA_MAX": "2",
+    "MALLOC_MMAP_THRESHOLD_": str(4 << 20),
+    "MALLOC_TRIM_THRESHOLD_": str(4 << 20),
+    "ARROW_DEFAULT_MEMORY_POOL": "system",
+}
+
 #: Words are maximal runs of bytes other than these.
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -41,6 +50,8 @@ def prepare(spark: SparkSession) -> None:
     for key, value in BATCH_CONF.items():
         spark.conf.set(key, value)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    for key, value in WORKER_ENV.items():
+        spark.sparkContext.environment.setdefault(key, value)
     paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
