@@ -20,7 +20,8 @@ components link with nothing and are components of their own; vectors of
 different lengths link with nothing; a row whose id is null counts as a
 vector, its component is the smallest id reachable (null if none); repeated
 rows are vectors each; an empty table gives an empty result; columns named
-like a result are replaced.
+like a result are replaced, one named
+``row`` is left out.
 """
 
 from __future__ import annotations

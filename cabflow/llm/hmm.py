@@ -24,7 +24,8 @@ fixed size while the counts behind them cover all training words.
 Defined cases: a null or empty text is one end token; a null document id
 counts as the empty id; repeated rows are trained on and scored once per
 row; with no training texts at all the model is uniform; columns named like
-a result are replaced.
+a result are replaced, one named
+``block``, ``symbols`` or ``fixed`` is left out.
 """
 
 from __future__ import annotations

@@ -23,7 +23,8 @@ stays. Words are ``[^\x20\x09-\x0D]+``; a line is compared as it stands.
 Defined cases: null, empty and blank texts have no lines and stay as they
 are; a document without copies keeps its text unchanged; one with copies
 keeps its other lines that hold a word, joined by newlines (an empty text if
-none is left); columns named like a result are replaced.
+none is left); columns named like a result are replaced, one named
+``row`` is left out.
 """
 
 from __future__ import annotations

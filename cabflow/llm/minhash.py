@@ -27,7 +27,8 @@ words has one shingle, all its words; null, empty and blank texts are linked
 with nothing, each a class of its own; a row's ``class_id`` is the smallest
 document id of its class (null if all are null); ``kept`` marks the first
 row of a class by (doc_id with nulls last, row), so of repeated rows one
-stays; columns named like a result are replaced.
+stays; columns named like a result are replaced, one named
+``row`` is left out.
 """
 
 from __future__ import annotations

@@ -29,7 +29,8 @@ to the shared folder, so a lost executor costs its tasks only.
 Defined cases: null and empty texts have no bytes; a text shorter than
 ``depth`` keeps all; equal ids are not smaller than each other, so repeated
 rows with one id do not remove each other; a null id counts as larger than
-all ids; columns named like a result are replaced. Cuts go by bytes and may
+all ids; columns named like a result are replaced, one named
+``block`` is left out. Cuts go by bytes and may
 split a character, so the kept bytes are binary.
 """
 

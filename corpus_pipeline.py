@@ -2,8 +2,9 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir)
 and returns a DataFrame that is written as Parquet and read again as the
-next one's ``docs``. All but the last return the columns of ``docs``; where a
-stage changes a text, ``n_chars`` follows.
+next one's ``docs``. All but the last return the columns of ``docs``, where
+``n_chars`` is that of the present text; in the last, results replace columns
+of their names.
 
 1. quality rules: lines above the document-frequency limits go, and so do
    documents that fail the rules or are depleted;
@@ -22,6 +23,8 @@ ends at stage 1, which rejects texts of fewer than ten words.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,27 +37,40 @@ from cabflow.llm.mixing import mix_sources
 from cabflow.llm.quality import quality_rules
 
 
-def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of ``docs``, with ``n_chars`` of the present text."""
-    if "n_chars" in columns:
-        docs = docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return docs.select(*columns)
+#: Columns that operators read; all others ride along in one, so their names cannot clash.
+READ = ("doc_id", "text", "source")
+
+
+def _applied(operator: Callable[[DataFrame], DataFrame], docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` after ``operator``, with ``n_chars`` of the present text."""
+    others = [c for c in docs.columns if c not in READ]
+    carried = [F.struct(*[F.col(f"`{c}`") for c in others]).alias("carried")] if others else []
+    out = operator(docs.select(*[c for c in docs.columns if c in READ], *carried))
+
+    def column(c: str) -> F.Column:
+        if c in READ:
+            return F.col(c)
+        if c == "n_chars":
+            return F.length("text").cast(docs.schema[c].dataType).alias(c)
+        return F.col(f"carried.`{c}`").alias(c)
+
+    return out.select(*map(column, docs.columns))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(quality_rules(docs, clean=True).where("kept"), docs.columns)
+    return _applied(lambda d: quality_rules(d, clean=True).where("kept"), docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(line_dedup(docs).where("n_lines = 0 or n_removed < n_lines"), docs.columns)
+    return _applied(lambda d: line_dedup(d).where("n_lines = 0 or n_removed < n_lines"), docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_duplicates(docs).where("kept").select(*docs.columns)
+    return _applied(lambda d: near_duplicates(d).where("kept"), docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix_sources(docs).select(*docs.columns)
+    return _applied(mix_sources, docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
