@@ -183,3 +183,28 @@ def op1_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     """Links and components of all ``embeddings``."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return embedding_dedup(vectors).drop("embedding")
+
+
+#: All pairs, and all links followed; the hashing finds a pair at the threshold with probability RECALL.
+OP1_SQL = """
+WITH RECURSIVE vec AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), usable AS (
+  SELECT vec_id, e FROM vec
+  WHERE len(e) > 0 AND list_bool_and(list_transform(e, lambda x: x IS NOT NULL AND isfinite(x)))
+    AND list_bool_or(list_transform(e, lambda x: x <> 0))
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), reach AS (
+  SELECT vec_id, vec_id AS other FROM vec
+  UNION
+  SELECT reach.vec_id, link.b FROM reach JOIN link ON link.a = reach.other
+), component AS (
+  SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id
+), degree AS (
+  SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM component LEFT JOIN degree USING (vec_id)
+"""

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from cabflow.llm.bpe_codec import op9_bpe_codec
-from cabflow.llm.embedding_dedup import op1_embedding_dedup
+from cabflow.llm.embedding_dedup import OP1_SQL, op1_embedding_dedup
 from cabflow.llm.hmm import op7_hmm_scores
 from cabflow.llm.line_dedup import OP5_SQL, op5_line_dedup
 from cabflow.llm.minhash import op4_near_duplicates
 from cabflow.llm.mixing import op3_mix_sources
 from cabflow.llm.quality import OP2_SQL, op2_quality_rules
 from cabflow.llm.records import op8_token_records
-from cabflow.llm.repeats import op6_suffix_dedup
+from cabflow.llm.repeats import OP6_SQL, op6_suffix_dedup
 from cabflow.llm.token_counts import op10_token_counts
 
 QUERIES = {
@@ -29,4 +29,9 @@ QUERIES = {
     )
 }
 #: The others have no plain SQL form; their tests hold them against brute force.
-ORACLE_SQL = {"op2_quality_rules": OP2_SQL, "op5_line_dedup": OP5_SQL}
+ORACLE_SQL = {
+    "op1_embedding_dedup": OP1_SQL,
+    "op2_quality_rules": OP2_SQL,
+    "op5_line_dedup": OP5_SQL,
+    "op6_suffix_dedup": OP6_SQL,
+}

@@ -436,3 +436,31 @@ def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+#: Every window of 50 bytes (100 hex digits, cut from pieces of 249 bytes) with the smallest id that holds it.
+OP6_SQL = """
+WITH docs AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), piece AS (
+  SELECT doc_id, o, substr(h, 2 * o + 1, 498) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2, 200)) AS o FROM docs)
+), byte AS (
+  SELECT doc_id, o + q AS p, substr(s, 2 * q + 1, 100) AS w
+  FROM (SELECT doc_id, o, s, unnest(range(0, least(200, length(s) // 2))) AS q FROM piece)
+), earliest AS (
+  SELECT w, min(doc_id) AS lo FROM byte WHERE length(w) = 100 GROUP BY w
+), start AS (
+  SELECT doc_id, p, substr(w, 1, 2) AS b, coalesce(lo < doc_id, FALSE) AS s FROM byte LEFT JOIN earliest USING (w)
+), cover AS (
+  SELECT doc_id, p, b, bool_or(s) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS c FROM start
+), run AS (
+  SELECT doc_id, p, b, c, c AND NOT coalesce(lag(c) OVER (PARTITION BY doc_id ORDER BY p), FALSE) AS opens FROM cover
+), summed AS (
+  SELECT doc_id, count(*) FILTER (c) AS n_removed, count(*) FILTER (opens) AS n_spans,
+         coalesce(string_agg(b, '' ORDER BY p) FILTER (NOT c), '') AS kept
+  FROM run GROUP BY doc_id
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM docs LEFT JOIN summed USING (doc_id)
+"""
