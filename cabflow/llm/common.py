@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import functools
 import os
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -58,8 +60,19 @@ def prepare(spark: SparkSession) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared folder that ``spark.checkpoint.dir`` names."""
-    return f"{shared_dir(spark).rstrip('/')}/cabflow-llm/{name}-{uuid.uuid4().hex}"
+    """A fresh folder under the shared folder that ``spark.checkpoint.dir`` names.
+
+    Where the setting is missing, a session in one process gets a temporary
+    folder of its own; on a cluster that is an error.
+    """
+    try:
+        root = shared_dir(spark)
+    except RuntimeError:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise
+        root = tempfile.mkdtemp(prefix="cabflow-llm-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/cabflow-llm/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
