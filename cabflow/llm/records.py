@@ -33,6 +33,8 @@ table gives an empty index. Other columns are not stored.
 from __future__ import annotations
 
 import functools
+import itertools
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -43,12 +45,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cabflow.llm.bpe_vocab import Memo, spaced_pieces
-from cabflow.llm.common import cut, n_blocks, prepare, scratch_path
-from cabflow.llm.files import locate, put_bytes
+from cabflow.llm.bpe_vocab import spaced_pieces, vocabulary
+from cabflow.llm.common import cut, parcels, prepare, scratch_path
+from cabflow.llm.files import locate, writing
 
-#: Text bytes a shard is meant to hold, and pieces whose ids a worker remembers.
-SHARD_BYTES, REMEMBERED = 16 << 20, 300_000
+#: Documents a shard is meant to hold, and pieces and words whose ids a worker remembers.
+SHARD_ROWS, REMEMBERED = 8192, 300_000
 
 _HEAD, _BODY = "<Q", "<qB"
 
@@ -73,50 +75,80 @@ def unframe(record: bytes) -> bytes:
     return record[12 : 12 + n]
 
 
-@functools.lru_cache(maxsize=2)
-def _encoder(tokenizer: str):
-    from tokenizers import Tokenizer
+class Encoder:
+    """Ids by the ``tokenizers`` library, remembered by piece and word.
 
-    library = Tokenizer.from_file(tokenizer)
-    width = 2 if library.get_vocab_size() <= 1 << 16 else 4
-    dtype = np.dtype(f"<u{width}")
+    A piece is cut into its pre-tokens, each of which the library encodes
+    alone as it does inside a text; unknown ones go to it many at a time.
+    """
 
-    def ids(piece: str) -> bytes:
-        return np.array(library.encode(piece, add_special_tokens=False).ids, dtype).tobytes()
+    def __init__(self, tokenizer: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallelism
+        self.vocab = vocabulary(tokenizer)
+        self.library = self.vocab.library
+        self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        self.dtype = np.dtype(f"<u{self.width}")
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _learn(self, pieces: set[str]) -> None:
+        if len(self.words) >= REMEMBERED:
+            self.words = {}
+        cut = {piece: self.vocab.plain_words(piece) for piece in pieces}
+        new = list({w for ws in cut.values() for w in ws} - self.words.keys())
+        found = self.library.encode_batch_fast(new, add_special_tokens=False)
+        self.words.update((w, np.array(x.ids, self.dtype).tobytes()) for w, x in zip(new, found))
+        words = self.words
+        self.pieces.update((piece, words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])) for piece, ws in cut.items())
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text."""
+        cut = [spaced_pieces(t) for t in texts]
+        out = []
+        for some in parcels([len(c) for c in cut], 300_000):
+            if len(self.pieces) >= REMEMBERED:
+                self.pieces = {}
+            self._learn(set().union(*cut[some]) - self.pieces.keys())
+            out += [b"".join(map(self.pieces.__getitem__, c)) for c in cut[some]]
+        return out
 
-    return width, dtype, Memo(ids, REMEMBERED)
 
+@functools.lru_cache(maxsize=2)
+def _encoder(tokenizer: str) -> Encoder:
+    return Encoder(tokenizer)
 
-def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int, text: str = "text", key: str = "doc_id", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+
+def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int, text: str = "text", key: str = "doc_id", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Encode ``text``, write record files under ``path`` in ascending ``key`` order; returns the index."""
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    shards = n_blocks(docs, "text", shard_bytes)
+    shards = max(1, -(-docs.count() // shard_rows))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width, dtype, encode = _encoder(tokenizer)
-        end = np.array([end_id], dtype).tobytes()
+        encoder = _encoder(tokenizer)
+        end = np.array([end_id], encoder.dtype).tobytes()
         shard = f"shard-{TaskContext.get().partitionId():06d}.rec"
-        chunks: list[bytes] = []
         rows: list[tuple[int, int, int, int]] = []
         at = 0
-        for batch in batches:
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if doc is None:
-                    raise ValueError(f"{key} is null")
-                ids = b"".join(map(encode.__getitem__, spaced_pieces(value or ""))) + end
-                record = frame(struct.pack(_BODY, doc, width) + ids)
-                rows.append((doc, at, len(record), len(ids) // width))
-                chunks.append(record)
-                at += len(record)
-        if rows:
-            put_bytes(f"{path}/{shard}", b"".join(chunks))
-            doc, offset, size, n = zip(*rows)
-            arrays = [pa.array(doc, pa.int64()), pa.array([shard] * len(doc)), pa.array(offset, pa.int64()), pa.array(size, pa.int64()), pa.array(n, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "shard", "offset", "n_bytes", "n_tokens"])
-
-    ordered = docs.repartitionByRange(shards, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+        first = next(batches, None)
+        if first is None:
+            return
+        with writing(f"{path}/{shard}") as out:
+            for batch in itertools.chain([first], batches):
+                found = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
+                for doc, ids in zip(batch.column(0).to_pylist(), found):
+                    if doc is None:
+                        raise ValueError(f"{key} is null")
+                    record = frame(struct.pack(_BODY, doc, encoder.width) + ids + end)
+                    rows.append((doc, at, len(record), len(ids) // encoder.width + 1))
+                    out.write(record)
+                    at += len(record)
+        doc, offset, size, n = zip(*rows)
+        arrays = [pa.array(doc, pa.int64()), pa.array([shard] * len(doc)), pa.array(offset, pa.int64()), pa.array(size, pa.int64()), pa.array(n, pa.int64())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "shard", "offset", "n_bytes", "n_tokens"])
+
+    ordered = docs.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     index = cut(ordered.mapInArrow(write, "doc_id long, shard string, offset long, n_bytes long, n_tokens long"), "record-index")
     # One row per shard: the ids before it.
     before = index.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
