@@ -25,6 +25,7 @@ import hashlib
 import os
 from collections import Counter
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark import SparkFiles
@@ -38,8 +39,11 @@ from cabflow.llm.files import put_bytes
 from cabflow.llm.lexicon import build, lexicon
 
 LEXICON_SIZE = 65_536
+_FIRST, _SECOND, _THIRD = itemgetter(0), itemgetter(1), itemgetter(2)
 #: Pieces whose ids a worker remembers, and pieces a task counts before it passes the counts on.
-REMEMBERED, COUNTED = 200_000, 400_000
+REMEMBERED, COUNTED = 120_000, 200_000
+#: Text bytes encoded together.
+SLICE_BYTES = 2 << 20
 
 
 def frequent_pieces(docs: DataFrame, text: str, size: int) -> list[str]:
@@ -72,42 +76,57 @@ def compile_lexicon(pieces: list[str], tokenizer: str) -> bytes:
 
 
 class Codec:
-    """Encoder and decoder of one Python worker."""
+    """Encoder and decoder of one Python worker.
 
-    def __init__(self, tokenizer: str, lexicon_file: str):
+    Of a word it remembers the ids, and the ids as decimals and the decoded
+    text as they appear in a digest; a piece is its words in a row.
+    """
+
+    def __init__(self, tokenizer: str, lexicon_file: str, want_ids: bool = True):
         self.vocab = vocabulary(tokenizer)
         self.lexicon = lexicon(lexicon_file)
-        self.known: dict[bytes, tuple[int, bytes, bytes]] = {}
-        self.ids_of: dict[bytes, list[int]] = {}
+        self.want_ids = want_ids  # else a piece remembers only what its digests need
+        self.decimal = {i: str(i).encode() for i in self.vocab.token}
+        self.token = {i: t.encode() for i, t in self.vocab.token.items()}
+        self.words: dict[bytes | int, tuple[list[int], bytes, bytes]] = {}
+        self.pieces: dict[bytes, tuple[list[int], bytes, bytes]] = {}
+
+    def _entry(self, ids: list[int]) -> tuple[list[int], bytes, bytes]:
+        return ids, b" ".join(map(self.decimal.__getitem__, ids)), b" ".join(map(self.token.__getitem__, ids))
 
     def learn(self, texts: list[bytes]) -> None:
-        """Encode the pieces of ``texts`` not known yet, looking their words up together."""
-        if len(self.known) >= REMEMBERED:
-            self.known, self.ids_of = {}, {}
-        new = set().union(*(set(t.split()) for t in texts)) - self.known.keys() if texts else set()
+        """Encode the pieces of ``texts`` not known yet, looking their unknown words up together."""
+        if len(self.pieces) >= REMEMBERED:
+            self.pieces = {}
+        if len(self.words) >= REMEMBERED:
+            self.words = {}
+        new = set().union(*map(bytes.split, texts)) - self.pieces.keys()
         cut = {piece: self.vocab.words(piece.decode()) for piece in new}
-        words = list({w for ws in cut.values() for w in ws if isinstance(w, bytes)})
+        unknown = {w for ws in cut.values() for w in ws} - self.words.keys()
+        words = [w for w in unknown if isinstance(w, bytes)]
         index = self.lexicon.find(words).tolist()
-        ids = {w: self.lexicon.ids(i) for w, i in zip(words, index) if i >= 0}
         unseen = [w for w, i in zip(words, index) if i < 0]
-        ids |= zip(unseen, self.vocab.merge_words(unseen))
-        token = self.vocab.token
+        self.words.update((w, self._entry(self.lexicon.ids(i))) for w, i in zip(words, index) if i >= 0)
+        self.words.update(zip(unseen, map(self._entry, self.vocab.merge_words(unseen))))
+        self.words.update((w, self._entry([w])) for w in unknown if isinstance(w, int))
+        known = self.words
         for piece, ws in cut.items():
-            out = [i for w in ws for i in ([w] if isinstance(w, int) else ids[w])]
-            self.ids_of[piece] = out
-            self.known[piece] = (len(out), " ".join(map(str, out)).encode(), " ".join([token[i] for i in out]).encode())
+            if len(ws) == 1:
+                self.pieces[piece] = known[ws[0]]
+            else:
+                parts = list(map(known.__getitem__, ws))
+                ids = [i for p in parts for i in p[0]] if self.want_ids else [0] * bool(parts)
+                self.pieces[piece] = (ids, b" ".join(map(_SECOND, parts)), b" ".join(map(_THIRD, parts)))
 
     def encode(self, text: bytes) -> list[int]:
-        return [i for piece in text.split() for i in self.ids_of[piece]]
+        return [i for piece in text.split() for i in self.pieces[piece][0]]
 
     def digests(self, text: bytes) -> tuple[int, str, str]:
         """Number of ids, sha256 of the ids as decimals, sha256 of the decoded text."""
-        found = [x for x in map(self.known.__getitem__, text.split()) if x[0]]
-        return (
-            sum(x[0] for x in found),
-            hashlib.sha256(b" ".join([x[1] for x in found])).hexdigest(),
-            hashlib.sha256(b" ".join([x[2] for x in found])).hexdigest(),
-        )
+        found = list(filter(_FIRST, map(self.pieces.__getitem__, text.split())))
+        decimals = b" ".join(map(_SECOND, found))
+        decoded = b" ".join(map(_THIRD, found))
+        return decimals.count(b" ") + bool(decimals), hashlib.sha256(decimals).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
 def decode(ids: list[int], tokenizer: str) -> str:
@@ -117,8 +136,8 @@ def decode(ids: list[int], tokenizer: str) -> str:
 
 
 @functools.lru_cache(maxsize=2)
-def _codec(tokenizer: str, lexicon_file: str) -> Codec:
-    return Codec(tokenizer, lexicon_file)
+def _codec(tokenizer: str, lexicon_file: str, want_ids: bool) -> Codec:
+    return Codec(tokenizer, lexicon_file, want_ids)
 
 
 def ship_lexicon(docs: DataFrame, tokenizer: str, text: str, size: int) -> str:
@@ -146,18 +165,19 @@ def bpe_codec(docs: DataFrame, tokenizer: str, text: str = "text", results: tupl
     schema = T.StructType(docs.schema.fields + [T.StructField(c, types[c]) for c in results])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(tokenizer, SparkFiles.get(name))
+        want_ids = "ids" in results or "decoded" in results
+        codec = _codec(tokenizer, SparkFiles.get(name), want_ids)
         for whole in batches:
-            for batch in slices(whole, text):
+            for batch in slices(whole, text, SLICE_BYTES):
                 texts = text_bytes(batch.column(text))
                 codec.learn(texts)
                 out: dict[str, pa.Array] = {}
-                if "ids" in results or "decoded" in results:
+                if want_ids:
                     ids = [codec.encode(t) for t in texts]
                     out["ids"] = pa.array(ids, pa.list_(pa.int32()))
                     if "decoded" in results:
                         out["decoded"] = pa.array([" ".join(codec.vocab.token[i] for i in x) for x in ids], pa.string())
-                n, of_ids, of_text = zip(*map(codec.digests, texts)) if texts else ((), (), ())
+                n, of_ids, of_text = zip(*map(codec.digests, texts))
                 out |= {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_text, pa.string())}
                 yield pa.RecordBatch.from_arrays([*batch.columns, *(out[c] for c in results)], names=[*batch.schema.names, *results])
 

@@ -19,6 +19,7 @@ from tokenizers import Tokenizer
 
 #: The public pattern of byte-level pre-tokenisers that bring no pattern of their own.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_SPACE_PAIR = re.compile(r" \s|\s ")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _LATIN = re.compile("[\t\n\r -~¡-ÿ]+")
 #: Words of more symbols are merged one by one with a heap, others many at a time.
@@ -84,10 +85,16 @@ class Vocabulary:
 
     def words(self, text: str) -> list[bytes | int]:
         """Pre-tokens in order; a special string is its id."""
-        if self._special and any(s in text for s in self.special):
+        if self._special and self._special.search(text):
             return [w for part in self._special.split(text) if part for w in ([self.special[part]] if part in self.special else self._words(part))]
         return self._words(text)
 
+    def plain_words(self, piece: str) -> list[str]:
+        """Pre-tokens as text where no special string is in the piece, else the piece itself."""
+        if piece[1:].isalpha() or self._pattern is None or not _LATIN.fullmatch(piece) or self._special and self._special.search(piece):
+            return [piece]
+        return self._pattern.findall(piece)
+
     def _words(self, part: str) -> list[bytes]:
         if self._pattern is not None and _LATIN.fullmatch(part):
             return [w.encode() for w in self._pattern.findall(part.lower() if self._lower else part)]
@@ -235,10 +242,8 @@ def spaced_pieces(text: str) -> list[str]:
     """
     if not text:
         return []
-    parts = text.split(" ")
-    if all(parts) and not any(p[0].isspace() or p[-1].isspace() for p in parts):
-        head = parts[0]
-        parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [head, *(" " + p for p in parts[1:])]
-        return parts
+    if "\0" not in text and _SPACE_PAIR.search(text) is None:  # every space is a lone one
+        parts = text.replace(" ", "\0 ").split("\0")
+        return parts if parts[0] else parts[1:]
     parts = _LONE_SPACE.split(text)
     return [parts[0], *(" " + p for p in parts[1:])]
