@@ -103,11 +103,13 @@ def mix_sources(
     resolution: int = RESOLUTION,
     seed: int = 0,
     bucket_rows: int = BUCKET_ROWS,
+    ordered: bool = False,
 ) -> DataFrame:
     """The mix: ``docs`` (some several times) with ``copy``, ``block``, ``slot``, ``release``, ``deadline``.
 
-    Reading it in the order of ``slot`` gives the mix. ``weights`` names the
-    share of each source in bytes; by default the share is that of its bytes
+    Reading it in the order of ``slot`` gives the mix; with ``ordered`` the
+    rows are range-sorted that way, and by their place in the source within
+    the block. ``weights`` names the share of each source in bytes; by default the share is that of its bytes
     to the power ``exponent``.
     """
     spark = docs.sparkSession
@@ -153,7 +155,10 @@ def mix_sources(
         (F.col("_base") + F.col("_release")).alias("release"),
         (F.col("_base") + F.col("_due")).alias("deadline"),
     ).where(F.col("slot") < end)
-    return rows.select("_row", "_doc").join(timed, "_row").select("_doc.*", *RESULTS)
+    out = rows.select("_row", "_order", "_doc").join(timed, "_row")
+    if ordered:
+        out = out.orderBy("slot", "_order", "_row")
+    return out.select("_doc.*", *RESULTS)
 
 
 def op3_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -12,8 +12,12 @@ of their names.
    which nothing is left;
 3. MinHash near-dedup: one document of each class stays;
 4. mixing: sources reach their target weights, those poor in data for their
-   weight start again, so documents may come several times;
-5. BPE encoding and decoding: ids, and the digest of what they decode to.
+   weight start again, so documents may come several times; the rows are
+   written in the order of the schedule (part files by number, rows in them);
+5. BPE encoding and decoding: ids, and the digest of what they decode to;
+   ``mix_part`` and ``mix_row`` are the row's place in the mix, as Spark reads
+   files in no fixed order: sorted by them the rows are in the order of the
+   schedule.
 
 Every stage works on all rows its predecessor kept. Null, empty and very
 long texts, nulls in other columns, repeated rows, extra columns and empty
@@ -26,6 +30,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +44,8 @@ from cabflow.llm.quality import quality_rules
 
 #: Columns that operators read; all others ride along in one, so their names cannot clash.
 READ = ("doc_id", "text", "source")
+#: Columns of the last stage that give the order of the mix.
+PLACE = ("mix_part", "mix_row")
 
 
 def _applied(operator: Callable[[DataFrame], DataFrame], docs: DataFrame) -> DataFrame:
@@ -70,12 +77,23 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _applied(mix_sources, docs)
+    return _applied(lambda d: mix_sources(d, ordered=True), docs)
+
+
+def _with_places(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``mix_part`` (number of the row's part file) and ``mix_row`` (place in it)."""
+    docs = docs.drop(*PLACE)
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("long")
+    try:
+        return docs.select("*", part.alias("mix_part"), F.col("_metadata.row_index").alias("mix_row"))
+    except AnalysisException:  # not read from files: the order of the rows as they come
+        each = F.monotonically_increasing_id()
+        return docs.select("*", F.shiftright(each, 33).alias("mix_part"), each.bitwiseAND(F.lit((1 << 33) - 1)).alias("mix_row"))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    return bpe_codec(docs, tokenizer, results=("n_tokens", "ids", "decoded_sha256")).drop("text")
+    return bpe_codec(_with_places(docs), tokenizer, results=("n_tokens", "ids", "decoded_sha256")).drop("text")
 
 
 STAGES = [
