@@ -1,31 +1,31 @@
 r"""Hidden Markov language model (operator 7).
 
 Tokens are the words ``[^\x20\x09-\x0D]+`` with A-Z lowered, then one end.
-Latent states emit *symbols*: the end, each of the ``OWN`` most frequent
-words, a hash class for every other word seen twice or more, and one symbol
-for words seen once or never. Given a class symbol the word has its share of
-the class's training count; of the rare symbol half the mass is spread over
-the words seen once, half is for unseen ones. So the emission tables have a
-fixed size while the counts behind them cover all training words.
+Latent states emit the end and words: every word of the training texts has
+an emission of its own, and all words that training has not seen are one
+more. Words seen once give half of their mass to the unseen one.
 
 1. Count the words of the training texts: tasks add up their own, one
    shuffle of distinct words.
 2. Texts are dealt by hash into blocks; each block's distinct words are
-   joined with the counts, and the block turns its texts into symbols and
-   adds up what does not depend on the states (one written table).
-3. Baum-Welch: in each round every task runs forward-backward over its
-   training texts under the present model and passes on its expected counts;
-   one aggregate adds them up per symbol, and the driver, which gets a table
-   of fixed size, makes the next model. Learning cuts long texts into
-   stretches of ``STRETCH`` tokens. Counts are summed as integers (2**-20),
-   so their order does not matter.
+   joined with the counts, and the block turns its texts into symbols: the
+   end, the unseen word, the ``OWN`` most frequent words (the same in all
+   blocks), then the block's other training words in the order of their
+   hashes (one written table). The first model, which only has to tell the
+   states apart, takes these others by hash class.
+3. Baum-Welch: in each round every block runs forward-backward over its whole
+   training texts under the present model. Expected counts of the frequent
+   words, starts and moves (a table of fixed size) are added up for the
+   driver. Those of the other words are a distributed table: each block sends
+   its own, packed by range of word hashes; a range adds up what it gets per
+   word and sends each block the sums of its words for the next round. Counts
+   are summed as integers (2**-20), so their order does not matter.
 4. The scaled forward recursion over each whole text gives its likelihood.
 
 Defined cases: a null or empty text is one end token; a null document id
 counts as the empty id; repeated rows are trained on and scored once per
 row; with no training texts at all the model is uniform; columns named like
-a result are replaced, one named
-``block``, ``symbols`` or ``fixed`` is left out.
+a result are replaced, one named ``block`` or ``symbols`` is left out.
 """
 
 from __future__ import annotations
@@ -38,13 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cabflow.llm.common import Words, cut, n_blocks, parcels, prepare, text_bytes, with_blocks
+from cabflow.llm.common import Words, cut, n_blocks, parcels, prepare, release, text_bytes, with_blocks
 
-STATES, OWN, CLASSES, ROUNDS, STRETCH = 6, 16_384, 2_048, 6, 256
-#: Symbols: end, rare, the words of their own, the classes.
+STATES, OWN, CLASSES, ROUNDS = 6, 16_384, 2_048, 6
+#: Symbols of the first model: end, rare, the frequent words, the classes. In a block, its other words stand from FIRST_CLASS on.
 END, RARE, FIRST_OWN, FIRST_CLASS = 0, 1, 2, 2 + OWN
 SYMBOLS = FIRST_CLASS + CLASSES
-BLOCK_BYTES, SLICE_BYTES = 8 << 20, 2 << 20
+BLOCK_BYTES, SLICE_BYTES, RANGE_BYTES = 8 << 20, 2 << 20, 16 << 20
+#: Tokens whose forward probabilities are held at a time, and weight of a word's overall frequency in its emissions.
+CELLS, PRIOR = 1 << 19, 10.0
 UNIT = 1 << 20
 RESULTS = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
@@ -78,7 +80,7 @@ def block_words(table: pa.Table) -> pa.Table:
 
 
 class Counts:
-    """What all tasks need of the training counts: totals and the symbol table, of fixed size."""
+    """What all tasks need of the training counts: totals and the first model's symbol table, of fixed size."""
 
     def __init__(self, tokens: int, distinct: int, texts: int, once: int, own: list[tuple[int, int]], classes: dict[int, int]):
         self.tokens, self.distinct, self.texts, self.once = tokens, distinct, texts, once
@@ -112,6 +114,11 @@ class Counts:
         return symbol, share
 
 
+    def prior(self, n: np.ndarray | float) -> np.ndarray | float:
+        """Overall frequency of a word seen ``n`` times; the training words, the end and the unseen word add up to one."""
+        return (n + 0.1) / (self.tokens + 0.1 * (max(1, self.distinct) + 1))
+
+
 def training_counts(counts: DataFrame, texts: int) -> Counts:
     """Totals, the most frequent words and the class totals; nothing here grows with the corpus."""
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).first()
@@ -122,7 +129,7 @@ def training_counts(counts: DataFrame, texts: int) -> Counts:
 
 
 def to_symbols(known: Counts, schema: pa.Schema):
-    """Texts of a block with its words' counts -> symbols, base score, and the states' free part of the score."""
+    """Texts of a block with its words' counts -> symbols and base score; the block's own words on its first row."""
     unseen = np.log10(0.1 / (known.tokens + 0.1 * (known.distinct + 1)))
 
     def run(table: pa.Table, counted: pa.Table) -> pa.Table:
@@ -132,23 +139,26 @@ def to_symbols(known: Counts, schema: pa.Schema):
         n = np.asarray(counted.column("n").combine_chunks(), np.int64) if counted.num_rows else np.zeros(0, np.int64)
         order = np.argsort(word)
         word, n = word[order], n[order]
-        symbol, share = known.symbols(word, n)
+        symbol, _ = known.symbols(word, n)
+        local = (n > 0) & ((symbol < FIRST_OWN) | (symbol >= FIRST_CLASS))
+        symbol = np.where(local, FIRST_CLASS + np.cumsum(local) - 1, symbol).astype(np.uint32)
         base = unseen + np.log10((n + 0.1) / 0.1)
         end_base = unseen + np.log10((known.texts + 0.1) / 0.1)
-        out: dict[str, list] = {c: [] for c in ("symbols", "n_tokens", "n_known", "base_score", "fixed")}
+        out: dict[str, list] = {c: [] for c in ("symbols", "n_tokens", "n_known", "base_score")}
         texts = _texts(table)
         for _, w in _words(texts):
             at = np.searchsorted(word, w.hash.view(np.int64))
-            of_text = symbol[at].astype(np.uint16)
-            sums = [np.bincount(w.doc, weights=v[at], minlength=len(w.per_doc)) for v in ((n > 0).astype(float), base, share)]
+            of_text = symbol[at]
+            sums = [np.bincount(w.doc, weights=v[at], minlength=len(w.per_doc)) for v in ((n > 0).astype(float), base)]
             for i, size in enumerate(w.per_doc.tolist()):
                 first = w.first_word[i]
-                out["symbols"].append(np.append(of_text[first : first + size], np.uint16(END)).tobytes())
+                out["symbols"].append(planes(np.append(of_text[first : first + size], np.uint32(END))))
             out["n_tokens"] += (w.per_doc + 1).tolist()
             out["n_known"] += (sums[0].astype(np.int64) + int(known.texts > 0)).tolist()
             out["base_score"] += (sums[1] + end_base).tolist()
-            out["fixed"] += sums[2].tolist()
-        kept = table.drop_columns(["block", "_text"])
+        rest = [None] * (table.num_rows - 1)
+        out |= {"_words": [word[local].tobytes(), *rest], "_seen": [n[local].tobytes(), *rest]}
+        kept = table.drop_columns(["_text"])
         return pa.table([*kept.columns, *(pa.array(out[c], schema.field(c).type) for c in out)], schema=schema)
 
     return run
@@ -170,46 +180,99 @@ class Model:
         move = np.full((states, states), 0.1 / states) + np.eye(states) * 0.9
         return Model(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
 
+
+class Emissions:
+    """Emission of every training word: the frequent ones here, the others from their expected counts."""
+
+    def __init__(self, known: Counts, model: Model, norm: np.ndarray | None):
+        self.known, self.model, self.norm = known, model, norm  # norm: expected tokens of each state, None before the first round
+
+    @staticmethod
+    def first(known: Counts, states: int) -> Emissions:
+        return Emissions(known, Model.first(known.symbol_total, states), None)
+
     @staticmethod
-    def estimated(start: np.ndarray, move: np.ndarray, emit: np.ndarray, total: np.ndarray) -> Model:
-        """From expected counts; every symbol keeps a little of its overall frequency."""
-        states = len(start)
-        prior = (total + 0.1) / (total + 0.1).sum()
-        emit = emit + 10.0 * prior[:, None]
+    def estimated(known: Counts, start: np.ndarray, move: np.ndarray, head: np.ndarray, others: np.ndarray, once: np.ndarray) -> Emissions:
+        """From expected counts (of ``head`` by symbol, of all other words and of those seen once by state)."""
+        norm = head.sum(axis=0) + others + PRIOR
+        total = known.symbol_total[:FIRST_CLASS]
+        emit = np.where((total > 0)[:, None], head + PRIOR * known.prior(total)[:, None], 0.0)
+        emit[END] = head[END] + PRIOR * known.prior(known.texts)
+        emit[RARE] = 0.5 * (once + PRIOR * known.once * known.prior(1)) + PRIOR * known.prior(0)
         move, start = move + 0.1, start + 0.1
-        return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0).reshape(1, states))
+        return Emissions(known, Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / norm), norm)
+
+    def of_block(self, words: np.ndarray, seen: np.ndarray, expected: np.ndarray) -> Model:
+        """The model with the rows of a block's other ``words``, seen so often, with these expected counts."""
+        head = self.model.emit[:FIRST_CLASS]
+        if self.norm is None:
+            symbol, share = self.known.symbols(np.append(words, 0), np.append(seen, 0))
+            rows = self.model.emit[symbol] * 10 ** share[:, None]
+            head = np.vstack((head[:RARE], rows[-1:], head[RARE + 1 :]))
+            rows = rows[:-1]
+        else:
+            rows = (expected + PRIOR * self.known.prior(seen)[:, None]) / self.norm
+            rows[seen == 1] *= 0.5
+        return Model(self.model.start, self.model.move, np.vstack((head, rows)))
 
 
 def forward_backward(model: Model, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, counts: list[np.ndarray]) -> None:
-    """Add the expected (start, move, emit) counts of stretches of at most ``STRETCH`` tokens."""
+    """Add the expected (start, move, emit) counts of whole sequences.
+
+    Time is cut into segments of about ``CELLS`` tokens; of all but the last
+    only the entry is kept, and they run forward again on the way back.
+    """
     order = np.argsort(-sizes, kind="stable")
     starts, sizes = starts[order], sizes[order]
     n, length, states = len(sizes), int(sizes[0]), len(model.start)
-    alive = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(length)]  # stretches longer than t
-    alpha = np.zeros((length, n, states))
-    scale = np.ones((length, n))
-    emitted: list[np.ndarray] = []
-    for t in range(length):
-        k = alive[t]
-        e = model.emit[symbols[starts[:k] + t]]
-        emitted.append(e)
-        a = (model.start if t == 0 else alpha[t - 1, :k] @ model.move) * e
-        scale[t, :k] = a.sum(axis=1)
-        alpha[t, :k] = a / scale[t, :k, None]
+    alive = np.searchsorted(-sizes, -np.arange(length), side="left").tolist()  # sequences longer than t
+    edges, held = [0], 0
+    for t, k in enumerate(alive):
+        if held and held + k > CELLS:
+            edges.append(t)
+            held = 0
+        held += k
+    edges.append(length)
+
+    def forward(first: int, end: int, a: np.ndarray | None):
+        alphas, scales, emitted = [], [], []
+        for t in range(first, end):
+            k = alive[t]
+            e = model.emit[symbols[starts[:k] + t]]
+            a = (model.start if t == 0 else a[:k] @ model.move) * e
+            c = a.sum(axis=1)
+            a = a / c[:, None]
+            alphas.append(a)
+            scales.append(c)
+            emitted.append(e)
+        return alphas, scales, emitted
+
+    entries: list[np.ndarray | None] = [None]
+    for first, end in zip(edges[:-1], edges[1:]):
+        found = forward(first, end, entries[-1])
+        entries.append(found[0][-1])
     beta = np.ones((n, states))
-    gammas, places = [], []
-    for t in range(length - 1, -1, -1):
-        k = alive[t]
-        if t + 1 < length and (m := alive[t + 1]):
-            ahead = emitted[t + 1] * beta[:m] / scale[t + 1, :m, None]
-            counts[1] += alpha[t, :m].T @ ahead * model.move
-            beta[:m] = ahead @ model.move.T
-        gammas.append(alpha[t, :k] * beta[:k])
-        places.append(symbols[starts[:k] + t])
-    counts[0] += gammas[-1].sum(axis=0)
-    place, gamma = np.concatenate(places), np.concatenate(gammas)
-    for z in range(states):
-        counts[2][:, z] += np.bincount(place, weights=gamma[:, z], minlength=SYMBOLS)
+    following = None  # what the next step emitted, by its scale
+    for s in range(len(edges) - 2, -1, -1):
+        if s < len(edges) - 2:
+            found = forward(edges[s], edges[s + 1], entries[s])
+        alphas, scales, emitted = found
+        gammas, places = [], []
+        for t in range(edges[s + 1] - 1, edges[s] - 1, -1):
+            k, alpha = alive[t], alphas[t - edges[s]]
+            if following is not None:
+                m = len(following)
+                ahead = following * beta[:m]
+                counts[1] += alpha[:m].T @ ahead * model.move
+                beta[:m] = ahead @ model.move.T
+            gammas.append(alpha * beta[:k])
+            places.append(symbols[starts[:k] + t])
+            following = emitted[t - edges[s]] / scales[t - edges[s]][:, None]
+        if s == 0:
+            counts[0] += gammas[-1].sum(axis=0)
+        place, gamma = np.concatenate(places), np.concatenate(gammas)
+        for z in range(states):
+            counts[2][:, z] += np.bincount(place, weights=gamma[:, z], minlength=len(model.emit))
 
 
 def log_likelihood(model: Model, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -229,60 +292,130 @@ def log_likelihood(model: Model, symbols: np.ndarray, starts: np.ndarray, sizes:
     return out
 
 
+def planes(symbols: np.ndarray) -> bytes:
+    """32-bit symbols byte by byte, all lowest ones first: the upper bytes are mostly zero and compress well."""
+    return symbols.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
 def _flat(column: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    symbols = np.frombuffer(b"".join(column), np.uint16).astype(np.int64)
-    sizes = np.fromiter((len(x) // 2 for x in column), np.int64, len(column))
+    found = [np.frombuffer(x, np.uint8).reshape(4, -1).T for x in column]
+    symbols = np.ascontiguousarray(np.concatenate(found)).view("<u4").ravel().astype(np.int64) if found else np.zeros(0, np.int64)
+    sizes = np.fromiter((len(x) // 4 for x in column), np.int64, len(column))
     return symbols, np.cumsum(sizes) - sizes, sizes
 
 
-def expected_counts(model):
-    states = len(model.value.start)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [np.zeros(states), np.zeros((states, states)), np.zeros((SYMBOLS, states))]
-        for batch in batches:
-            symbols, starts, sizes = _flat(batch.column(0).to_pylist())
-            pieces = -(-sizes // STRETCH)
-            which = np.repeat(np.arange(len(sizes)), pieces)
-            nth = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            first = starts[which] + nth * STRETCH
-            size = np.minimum(STRETCH, starts[which] + sizes[which] - first)
-            for at in range(0, len(first), 4096):
-                forward_backward(model.value, symbols, first[at : at + 4096], size[at : at + 4096], counts)
-        # Rows: symbols from 0, then one row for each state's moves (-2, -3, ...), starts at -1.
-        rows = np.vstack((counts[2], counts[0][None], counts[1]))
-        keys = np.concatenate((np.arange(SYMBOLS), [-1], -2 - np.arange(states)))
-        units = np.rint(rows * UNIT).astype(np.int64)
-        used = units.any(axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[used], pa.int32()), *(pa.array(units[used, z], pa.int64()) for z in range(states))], names=["symbol", *(f"s{z}" for z in range(states))])
+def _own_words(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The other words of a block and how often training saw them, from the block's rows."""
+    words, seen = (next(x for x in table.column(c).to_pylist() if x is not None) for c in ("_words", "_seen"))
+    return np.frombuffer(words, np.int64), np.frombuffer(seen, np.int64)
+
+
+def _received(messages: pa.Table | None, words: int, states: int) -> np.ndarray:
+    """Expected counts of a block's words from the ranges; words are sorted as ranges are."""
+    if messages is None or not messages.num_rows:
+        return np.zeros((words, states))
+    rows = sorted(zip(messages.column("range").to_pylist(), messages.column("units").to_pylist()))
+    return np.frombuffer(b"".join(u for _, u in rows), np.float32).reshape(words, states).astype(float)
+
+
+def _packed(units: np.ndarray) -> bytes:
+    """Counts in units, as 32-bit integers where they fit."""
+    return units.astype(np.int32 if units.max(initial=0) < 1 << 31 else np.int64).tobytes()
+
+
+def _counts_schema(states: int) -> str:
+    return "block int, range int, words binary, units binary, key int, " + ", ".join(f"s{z} long" for z in range(states))
+
+
+def expected_counts(shared, states: int, ranges: int, schema: pa.Schema):
+    """A block's training texts -> rows by ``key`` for the driver, and rows by ``range`` with the other words."""
+    bounds = np.array([-(1 << 63) + (k << 64) // ranges for k in range(1, ranges)], np.int64)
+
+    def run(table: pa.Table, messages: pa.Table | None = None) -> pa.Table:
+        if not table.num_rows:
+            return schema.empty_table()
+        words, seen = _own_words(table)
+        model = shared.value.of_block(words, seen, _received(messages, len(words), states))
+        counts = [np.zeros(states), np.zeros((states, states)), np.zeros((len(model.emit), states))]
+        texts = sorted((x for x in table.column("symbols").to_pylist() if x is not None), key=lambda x: (-len(x), x))
+        for at in range(0, len(texts), 4096):
+            forward_backward(model, *_flat(texts[at : at + 4096]), counts)
+        units = np.rint(counts[2] * UNIT).astype(np.int64)
+        head, others = units[:FIRST_CLASS], units[FIRST_CLASS:]
+        # Rows by key: symbols from 0, then starts, other words, words seen once, and each state's moves.
+        sums = np.rint(np.vstack((counts[0][None], counts[1])) * UNIT).astype(np.int64)
+        rows = np.vstack((head, sums[:1], others.sum(axis=0)[None], others[seen == 1].sum(axis=0)[None], sums[1:]))
+        keys = np.concatenate((np.arange(FIRST_CLASS), [-1, -2, -3], -4 - np.arange(states)))
+        used = rows.any(axis=1)
+        edges = [0, *np.searchsorted(words, bounds).tolist(), len(words)]
+        cuts = [(r, a, b) for r, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
+        n, m = len(cuts), int(used.sum())
+        block = table.column("block")[0].as_py()
+        columns = [
+            [block] * (n + m),
+            [r for r, *_ in cuts] + [None] * m,
+            [words[a:b].tobytes() for _, a, b in cuts] + [None] * m,
+            [_packed(others[a:b]) for _, a, b in cuts] + [None] * m,
+            [None] * n + keys[used].tolist(),
+            *([None] * n + rows[used, z].tolist() for z in range(states)),
+        ]
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return run
 
 
-def train(coded: DataFrame, known: Counts, states: int, rounds: int) -> Model:
-    """Baum-Welch over the training rows of ``coded``."""
+def add_range(table: pa.Table) -> pa.Table:
+    """What the blocks sent to one range -> for each of them the sums of its words."""
+    words = [np.frombuffer(x, np.int64) for x in table.column("words").to_pylist()]
+    states = table.column("states")[0].as_py()
+    units = np.concatenate([np.frombuffer(x, np.int32 if len(x) == 4 * states * len(w) else np.int64).reshape(-1, states).astype(np.int64) for x, w in zip(table.column("units").to_pylist(), words)])
+    word = np.concatenate(words)
+    order = np.argsort(word, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], np.diff(word[order]) != 0)))
+    sums = np.add.reduceat(units[order], first, axis=0)
+    back = np.empty(units.shape, np.float32)
+    back[order] = np.repeat(sums / UNIT, np.diff(np.append(first, len(word))), axis=0)
+    ends = np.cumsum([len(w) for w in words])
+    sent = [back[e - len(w) : e].tobytes() for w, e in zip(words, ends)]
+    return pa.table([table.column("block"), table.column("range"), pa.array(sent, pa.binary())], names=["block", "range", "units"])
+
+
+def messages_of(expected: DataFrame, states: int) -> DataFrame:
+    """(block, range, units): the sums of each block's words."""
+    sent = expected.where("range is not null").select("block", "range", "words", "units", F.lit(states).alias("states"))
+    return sent.groupBy("range").applyInArrow(add_range, "block int, range int, units binary")
+
+
+def train(coded: DataFrame, known: Counts, states: int, rounds: int, ranges: int) -> tuple[Emissions, DataFrame | None]:
+    """Baum-Welch over the training rows of ``coded``: the model, and the table of the other words' expected counts."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     spark = coded.sparkSession
-    model = Model.first(known.symbol_total, states)
+    model, expected = Emissions.first(known, states), None
     columns = [f"s{z}" for z in range(states)]
-    schema = "symbol int, " + ", ".join(f"{c} long" for c in columns)
-    symbols = coded.where("not held_out").select("symbols")
+    schema = _counts_schema(states)
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+    texts = coded.select("block", F.when(~F.col("held_out"), F.col("symbols")).alias("symbols"), "_words", "_seen")
+    texts = texts.where("symbols is not null or _words is not null")
     for _ in range(rounds):
-        # The model's size is fixed: SYMBOLS rows of ``states`` numbers.
+        # Of fixed size: FIRST_CLASS rows of ``states`` numbers (SYMBOLS rows in the first round).
         shared = spark.sparkContext.broadcast(model)
-        added = symbols.mapInArrow(expected_counts(shared), schema).groupBy("symbol").agg(*(F.sum(c).alias(c) for c in columns)).collect()
-        start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((SYMBOLS, states))
-        for row in added:
-            values = np.array(row[1:], float) / UNIT
-            key = row["symbol"]
-            if key >= 0:
-                emit[key] = values
-            elif key == -1:
-                start = values
-            else:
-                move[-2 - key] = values
-        model = Model.estimated(start, move, emit, known.symbol_total)
+        run = expected_counts(shared, states, ranges, arrow)
+        if expected is None:
+            found = texts.groupBy("block").applyInArrow(lambda t: run(t), schema)
+        else:
+            found = texts.groupBy("block").cogroup(messages_of(expected, states).groupBy("block")).applyInArrow(run, schema)
+        found = cut(found, "expected-counts")
+        if expected is not None:
+            release(expected)
+        expected = found
+        added = {r[0]: np.array(r[1:], float) / UNIT for r in expected.where("key is not null").groupBy("key").agg(*(F.sum(c).alias(c) for c in columns)).collect()}
+        zero = np.zeros(states)
+        head = np.array([added.get(k, zero) for k in range(FIRST_CLASS)])
+        move = np.array([added.get(-4 - z, zero) for z in range(states)])
+        model = Emissions.estimated(known, added.get(-1, zero), move, head, added.get(-2, zero), added.get(-3, zero))
         shared.unpersist()
-    return model
+    return model, expected
 
 
 def hmm_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", states: int = STATES, rounds: int = ROUNDS, folds: int = 10) -> DataFrame:
@@ -295,7 +428,7 @@ def hmm_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", stat
 
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.drop(*[c for c in (*RESULTS, "block", "_text", "symbols", "fixed") if c not in (text, doc_id)])
+    docs = docs.drop(*[c for c in (*RESULTS, "block", "_text", "symbols", "_words", "_seen") if c not in (text, doc_id)])
     others = [c for c in docs.columns if c != text]
     held_out = F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % folds == 0
     docs = docs.withColumn("held_out", held_out).withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
@@ -310,22 +443,36 @@ def hmm_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", stat
     counted = cut(words.join(counts, "word", "left").select("block", "word", F.coalesce("n", F.lit(0)).alias("n")), "block-words")
     schema = T.StructType(
         [docs.schema[c] for c in [*others, "held_out"]]
+        + [T.StructField("block", T.IntegerType())]
         + [T.StructField("symbols", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType())]
-        + [T.StructField("base_score", T.DoubleType()), T.StructField("fixed", T.DoubleType())]
+        + [T.StructField("base_score", T.DoubleType()), T.StructField("_words", T.BinaryType()), T.StructField("_seen", T.BinaryType())]
     )
     coded = dealt.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(to_symbols(known, to_arrow_schema(schema)), schema)
     coded = cut(coded, "symbols")
 
-    model = spark.sparkContext.broadcast(train(coded, known, states, rounds))
+    ranges = max(1, -(-counted.where("n > 0").count() * 8 * (states + 1) // RANGE_BYTES))
+    release(counted)
+    release(counts)
+    model, expected = train(coded, known, states, rounds, ranges)
+    shared = spark.sparkContext.broadcast(model)
+    fields = [f for f in schema.fields if f.name not in ("block", "symbols", "_words", "_seen")] + [T.StructField("score", T.DoubleType())]
+    scored_schema = to_arrow_schema(T.StructType(fields))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = log_likelihood(model.value, *_flat(batch.column("symbols").to_pylist())) + np.asarray(batch.column("fixed"))
-            keep = [batch.column(c) for c in [*others, "held_out", "n_tokens", "n_known", "base_score"]]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(scores, pa.float64())], names=[*others, "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    fields = [f for f in schema.fields if f.name not in ("symbols", "fixed")] + [T.StructField("score", T.DoubleType())]
-    scored = coded.mapInArrow(score, T.StructType(fields)).withColumn("train_tokens", F.lit(known.tokens).cast("long"))
+    def score(table: pa.Table, messages: pa.Table | None = None) -> pa.Table:
+        if not table.num_rows:
+            return scored_schema.empty_table()
+        words, seen = _own_words(table)
+        of_block = shared.value.of_block(words, seen, _received(messages, len(words), states))
+        scores = log_likelihood(of_block, *_flat(table.column("symbols").to_pylist()))
+        kept = [table.column(f.name) for f in fields[:-1]]
+        return pa.table([*kept, pa.array(scores, pa.float64())], schema=scored_schema)
+
+    blocks = coded.groupBy("block")
+    if expected is None:
+        scored = blocks.applyInArrow(lambda t: score(t), T.StructType(fields))
+    else:
+        scored = blocks.cogroup(messages_of(expected, states).groupBy("block")).applyInArrow(score, T.StructType(fields))
+    scored = scored.withColumn("train_tokens", F.lit(known.tokens).cast("long"))
     return scored.select(*others, *RESULTS)
 
 
