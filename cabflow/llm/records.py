@@ -10,8 +10,8 @@ records; a record is
 
 and a payload is
 
-    8 bytes  document id (signed)
-    1 byte   width of an id in bytes (2 or 4)
+    8 bytes  document id (signed; 0 if it is null)
+    1 byte   width of an id in bytes (2 or 4), plus 128 if the id is null
     the ids, each of that width
 
 The mask rotates the checksum right by 15 bits and adds 0xA282EAD8, so that
@@ -26,7 +26,8 @@ bytes. ``start`` adds up the shards' totals, one small row each.
 
 Defined cases: a null or empty text is a record of the end id alone;
 repeated document ids are all written, in the order of their texts; a null
-document id is refused by an error (a record must be addressable); an empty
+document id is refused by an error unless ``null_ids`` asks for records of
+such rows, which come last and are addressed by their index row; an empty
 table gives an empty index. Other columns are not stored.
 """
 
@@ -52,7 +53,7 @@ from cabflow.llm.files import locate, writing
 #: Documents a shard is meant to hold, and pieces and words whose ids a worker remembers.
 SHARD_ROWS, REMEMBERED = 8192, 300_000
 
-_HEAD, _BODY = "<Q", "<qB"
+_HEAD, _BODY, _NULL_ID = "<Q", "<qB", 128
 
 
 def masked(data: bytes) -> bytes:
@@ -118,7 +119,7 @@ def _encoder(tokenizer: str) -> Encoder:
     return Encoder(tokenizer)
 
 
-def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int, text: str = "text", key: str = "doc_id", shard_rows: int = SHARD_ROWS) -> DataFrame:
+def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int, text: str = "text", key: str = "doc_id", shard_rows: int = SHARD_ROWS, null_ids: bool = False) -> DataFrame:
     """Encode ``text``, write record files under ``path`` in ascending ``key`` order; returns the index."""
     spark = docs.sparkSession
     prepare(spark)
@@ -138,9 +139,10 @@ def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int, text:
             for batch in itertools.chain([first], batches):
                 found = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
                 for doc, ids in zip(batch.column(0).to_pylist(), found):
-                    if doc is None:
+                    if doc is None and not null_ids:
                         raise ValueError(f"{key} is null")
-                    record = frame(struct.pack(_BODY, doc, encoder.width) + ids + end)
+                    head = struct.pack(_BODY, doc or 0, encoder.width | (_NULL_ID if doc is None else 0))
+                    record = frame(head + ids + end)
                     rows.append((doc, at, len(record), len(ids) // encoder.width + 1))
                     out.write(record)
                     at += len(record)
@@ -148,7 +150,9 @@ def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int, text:
         arrays = [pa.array(doc, pa.int64()), pa.array([shard] * len(doc)), pa.array(offset, pa.int64()), pa.array(size, pa.int64()), pa.array(n, pa.int64())]
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "shard", "offset", "n_bytes", "n_tokens"])
 
-    ordered = docs.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Null ids last; there may be many, so their texts take part in the ranges.
+    place = [F.col("doc_id").asc_nulls_last(), F.when(F.col("doc_id").isNull(), F.xxhash64("text"))]
+    ordered = docs.repartitionByRange(shards, *place).sortWithinPartitions(*place, "text")
     index = cut(ordered.mapInArrow(write, "doc_id long, shard string, offset long, n_bytes long, n_tokens long"), "record-index")
     # One row per shard: the ids before it.
     before = index.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
@@ -187,6 +191,8 @@ def read_records(index: DataFrame, path: str, results: tuple[str, ...] = ("ids",
                     name, file = shard, where.open_input_file(f"{root}/{shard}")
                 payload = unframe(file.read_at(size, offset))
                 stored, width = struct.unpack_from(_BODY, payload)
+                if width & _NULL_ID:
+                    stored, width = None, width ^ _NULL_ID
                 if stored != doc:
                     raise ValueError(f"{shard} at {offset} holds document {stored}, not {doc}")
                 found = np.frombuffer(payload, np.dtype(f"<u{width}"), offset=struct.calcsize(_BODY))
@@ -210,6 +216,6 @@ def op8_token_records(spark, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     path = scratch_path(spark, "token-records")
-    index = write_records(docs, public_tokenizers.path("byte_bpe_50k.json"), path, end_id=2)
+    index = write_records(docs, public_tokenizers.path("byte_bpe_50k.json"), path, end_id=2, null_ids=True)
     read = read_records(index, path, results=("ids_crc32",))
     return read.select("doc_id", "start", F.col("n_ids").alias("n_tokens"), "ids_crc32")
