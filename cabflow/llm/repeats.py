@@ -1,13 +1,14 @@
-"""Suffix-array dedup by a depth-limited radix sort (operator 6).
+"""Dedup of repeated byte windows by minimizer hashing (operator 6).
 
-Suffixes of all texts (as bytes) are sorted only through their first
-``depth`` bytes, most significant digit first; suffixes that share no digit
-group with another document leave the sort, and the groups left after the
-last digit are exactly the windows of ``depth`` bytes that repeat across
-documents. A byte is removed if such a window covers it and also starts in
-a document with a smaller id.
+The windows of ``depth`` bytes of all texts (as bytes) are grouped in three
+passes, from coarse keys to the windows themselves; what shares no key with
+another document leaves, and the groups left after the last pass are exactly
+the windows that repeat across documents (apart from collisions of 64-bit
+hashes: bytes are not compared). A byte is removed if such a window covers it
+and also starts in a document with a smaller id. No suffix is sorted by its
+leading bytes, as a radix sort would.
 
-Digits are strings of bytes, told apart by 64-bit hashes:
+Keys are 64-bit hashes of strings of bytes:
 
 1. the ``KMER`` bytes at a window's anchor. The anchor is the place of the
    smallest hash of all ``KMER``-byte strings in the window: equal windows
