@@ -101,6 +101,7 @@ def test_stages_on_messy_and_no_rows(spark, messy, empty):
 def test_queries_equal_their_sql(spark, name):
     out = QUERIES[name](spark, SF)
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = con.execute(f"SELECT {', '.join(out.columns)} FROM ({ORACLE_SQL[name]})").fetchall()
     assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
