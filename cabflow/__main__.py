@@ -16,7 +16,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
-from cabflow.plans.refresh import layer_reports, refresh_from_files
+from cabflow.plans.refresh import layer_reports, refresh_from_files, set_aside_trips
 from cabflow.session import shared_dir, tune_session
 
 
@@ -30,11 +30,12 @@ def main(argv: list[str] | None = None) -> None:
         "--months", nargs=2, metavar=("FIRST", "LAST"),
         help="rebuild only these months (YYYY-MM-01, inclusive); other months stay as written",
     )
+    refresh.add_argument("--break-lock", action="store_true", help="take over from a refresh whose driver died")
     args = parser.parse_args(argv)
 
     spark = tune_session(SparkSession.builder.appName("cabflow-refresh").getOrCreate())
     root = args.root or f"{shared_dir(spark).rstrip('/')}/cabflow-{int(time.time())}"
-    paths = refresh_from_files(spark, args.raw, root, months=tuple(args.months) if args.months else None)
+    paths = refresh_from_files(spark, args.raw, root, months=tuple(args.months) if args.months else None, break_lock=args.break_lock)
     reports = layer_reports(spark, paths)
 
     def write(name: str) -> None:
@@ -43,7 +44,7 @@ def main(argv: list[str] | None = None) -> None:
     # Independent small outputs: submit their jobs together.
     with ThreadPoolExecutor(max_workers=4) as pool:
         list(pool.map(write, reports))
-    print(json.dumps({"root": root, "layers": paths}))
+    print(json.dumps({"root": root, "layers": paths, "set_aside": set_aside_trips(spark, paths)}))
 
 
 if __name__ == "__main__":

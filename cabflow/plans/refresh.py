@@ -3,9 +3,12 @@
 This is the production path (``CREATE OR REPLACE TABLE`` per layer):
 
     raw files -> trips_base -> audit_profile  -> 5 audits
-                          -> trips_silver   -> 3 marts -> 9 reports
+                          -> trips_silver   -> trips_set_aside
+                                            -> 3 marts -> 9 reports
 
-Each layer is a full rebuild (or an exact month-range rebuild) written as
+Each layer is put in place as a whole by one commit, and a refresh holds the
+lock of its root, so a second one there raises ``RefreshInProgress``. Each
+layer is a full rebuild (or an exact month-range rebuild) written as
 month-partitioned Parquet (the small audit profile: yearly) under a root in
 the cluster's shared folder. Writing cuts the lineage: a lost
 executor only costs the tasks of the layer being built, and later layers
@@ -16,7 +19,8 @@ reader, so every scan names its months and prunes whole partitions.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+import warnings
+from collections.abc import Callable, Collection
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -24,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cabflow.functions import trips
 from cabflow.operators import audits, layers, marts, reports
 from cabflow.sources import read_raw
+from cabflow.sources import versions
 from cabflow.sources.layers import as_date, read_layer, write_layer
 from cabflow.sources.schema import PROFILE_PARTITION, TRIP_PARTITION
 
@@ -32,10 +37,13 @@ LAYERS = [
     "trips_base",
     "audit_profile",
     "trips_silver",
+    "trips_set_aside",
     "mart_company_performance",
     "mart_time_analysis",
     "mart_geo_flows",
 ]
+# Trips that a refresh names when it sets any aside; the layer holds all of them.
+NAMED = 20
 
 
 def layer_paths(root: str) -> dict[str, str]:
@@ -54,6 +62,8 @@ def build_layers(
     root: str,
     timings: dict[str, float] | None = None,
     months: tuple[str, str] | None = None,
+    only: Collection[str] | None = None,
+    break_lock: bool = False,
 ) -> dict[str, str]:
     """Rebuild base, the audit profile, silver and the marts under ``root``; return their paths.
 
@@ -63,7 +73,26 @@ def build_layers(
     This is exact, not an approximation: a silver row depends only on trips
     with the same start time (the dedup key), hence of the same month, and
     every mart row is an aggregate within one month.
+
+    Silver trips with a measure that no exact sum can hold (an infinite fare)
+    are left out of the marts; the layer ``trips_set_aside`` holds them with
+    measure and value, and a warning names the first.
+
+    ``only`` rebuilds some layers alone; what they read must be there.
+    ``break_lock`` takes over from a driver that died in a refresh.
     """
+    with versions.refresh_lock(spark, root, break_lock):
+        return _build(spark, raw, root, timings, months, set(LAYERS if only is None else only))
+
+
+def _build(
+    spark: SparkSession,
+    raw: DataFrame,
+    root: str,
+    timings: dict[str, float] | None,
+    months: tuple[str, str] | None,
+    wanted: set[str],
+) -> dict[str, str]:
     paths = layer_paths(root)
     timings = timings if timings is not None else {}
     partial = months is not None
@@ -83,7 +112,8 @@ def build_layers(
             rows = rows.filter(month.between(F.lit(as_date(months[0])), F.lit(as_date(months[1]))))
         write(rows, "trips_base", months=months)
 
-    step("trips_base", base)
+    if "trips_base" in wanted:
+        step("trips_base", base)
 
     def profile() -> None:
         # One scan of base for all audits (small: days x payment words), in
@@ -107,7 +137,8 @@ def build_layers(
     # Both read only the base layer: submit their jobs together.
     def profile_and_silver() -> None:
         with ThreadPoolExecutor(max_workers=2) as pool:
-            for future in [pool.submit(step, "audit_profile", profile), pool.submit(step, "trips_silver", silver)]:
+            steps = {"audit_profile": profile, "trips_silver": silver}
+            for future in [pool.submit(step, name, fn) for name, fn in steps.items() if name in wanted]:
                 future.result()
 
     step("profile_and_silver", profile_and_silver)
@@ -117,7 +148,11 @@ def build_layers(
         if lo > hi:
             return
         silver_df = read_layer(spark, paths["trips_silver"], "trips_silver", lo=lo, hi=hi)
-        write(build(silver_df), name, months=(lo, hi) if partial else None)
+        write(build(layers.summable(silver_df)), name, months=(lo, hi) if partial else None)
+
+    def set_aside() -> None:
+        lo, hi = _clip(FIRST_MONTH, "9999-12-01", months)
+        write(layers.set_aside(read_layer(spark, paths["trips_silver"], "trips_silver", lo=lo, hi=hi)), "trips_set_aside", months=months)
 
     # Each mart reads only the silver months it aggregates. The three are
     # independent, so their jobs are submitted together and share the cores.
@@ -128,14 +163,26 @@ def build_layers(
     ]
 
     def all_marts() -> None:
-        with ThreadPoolExecutor(max_workers=len(mart_specs)) as pool:
-            for future in [pool.submit(step, spec[0], lambda spec=spec: mart(*spec)) for spec in mart_specs]:
+        with ThreadPoolExecutor(max_workers=len(mart_specs) + 1) as pool:
+            steps = {spec[0]: lambda spec=spec: mart(*spec) for spec in mart_specs} | {"trips_set_aside": set_aside}
+            for future in [pool.submit(step, name, fn) for name, fn in steps.items() if name in wanted]:
                 future.result()
 
     step("marts", all_marts)
+    if "trips_set_aside" in wanted and (named := set_aside_trips(spark, paths)):
+        warnings.warn(f"left out of the marts (all in {paths['trips_set_aside']}): {'; '.join(named)}", stacklevel=3)
     return paths
 
 
+def set_aside_trips(spark: SparkSession, paths: dict[str, str], limit: int = NAMED) -> list[str]:
+    """The first ``limit`` trips that the marts leave out, in words; no job where there are none."""
+    held = versions.manifest(spark, paths["trips_set_aside"])
+    if held is None or not held.months:
+        return []
+    rows = read_layer(spark, paths["trips_set_aside"], "trips_set_aside").orderBy(TRIP_PARTITION, "unique_key", "measure").limit(limit)
+    return [f"trip {r.unique_key} of {r.partition_month}: {r.measure} is {r.value}" for r in rows.collect()]
+
+
 def collect_all(frames: dict[str, DataFrame], timings: dict[str, float] | None = None, workers: int = 4):
     """Run independent small result sets as concurrent jobs; return their rows."""
     timings = timings if timings is not None else {}
@@ -202,7 +249,7 @@ def register_views(
 
 
 def refresh_from_files(
-    spark: SparkSession, raw_path: str, root: str, months: tuple[str, str] | None = None
+    spark: SparkSession, raw_path: str, root: str, months: tuple[str, str] | None = None, break_lock: bool = False
 ) -> dict[str, str]:
-    """Rebuild from raw trip files (declared schema, no inference)."""
-    return build_layers(spark, read_raw(spark, raw_path), root, months=months)
+    """Rebuild from raw trip files."""
+    return build_layers(spark, read_raw(spark, raw_path), root, months=months, break_lock=break_lock)

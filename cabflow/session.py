@@ -9,6 +9,8 @@ runs (tests, bench).
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -75,6 +77,17 @@ def build_session(
     return spark
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """``shared_dir``, or for a session in one process that names none a temporary folder of its own."""
+    try:
+        return shared_dir(spark)
+    except RuntimeError:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="cabflow-"))
+        return shared_dir(spark)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide shared folder named by ``spark.checkpoint.dir``.
 

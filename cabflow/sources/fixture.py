@@ -6,8 +6,8 @@ written as DuckDB SQL in ``cabflow.plans.oracle``. Each line item is a
 trip; every 50th order is posted twice (``cp = 1``, ten cents dearer) so
 that deduplication has work. Two small firms, one with odd white space,
 trips without a taxi id, fractions of a cent and negative amounts give the
-filters of every layer rows to drop, and the last month has trips on one
-day only. The result grows linearly with ``lineitem``
+filters of every layer rows to drop, some measures are NaN, and the last
+month has trips on one day only. The result grows linearly with ``lineitem``
 and is one narrow, codegen'd projection (plus a generator for the
 copies): no shuffle, no join.
 """
@@ -41,6 +41,7 @@ def trips_from_lineitem(lineitem: DataFrame) -> DataFrame:
     """Map ``lineitem`` rows to raw trip rows (see the module docstring)."""
     ok, pk, sk = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
     ln = F.col("l_linenumber").cast("long")
+    nan = F.lit(float("nan"))
     card_words = ("Credit Card", "Mobile", "Prcard")
     other_pt = (
         F.when(ok % 7 == 0, "No Charge")
@@ -102,6 +103,7 @@ def trips_from_lineitem(lineitem: DataFrame) -> DataFrame:
         (325 + 22 * m10).alias("fc"),
         F.when(F.col("pt").isin(*card_words), (ok * 13 + pk) % 700).otherwise(F.lit(0).cast("long")).alias("tc"),
         F.when(pk % 223 == 0, F.lit(None).cast("double"))
+        .when(pk % 251 == 0, nan)
         .when(ok % 17 == 0, F.lit(0.0))
         .when(ok % 997 == 0, F.lit(250.0))
         .otherwise(m10.cast("double") / 10)
@@ -131,6 +133,7 @@ def trips_from_lineitem(lineitem: DataFrame) -> DataFrame:
         )
         return (
             F.when(pk % 233 == 0, F.lit(None).cast("double"))
+            .when(ok % 509 == 0, nan)
             .when(ok % 31 == 0, F.lit(0.0))
             .when(ok % 1013 == 0, F.lit(650.0))
             .when(ok % 503 == 0, F.lit(-5.0))
@@ -160,11 +163,15 @@ def trips_from_lineitem(lineitem: DataFrame) -> DataFrame:
         "pickup_community_area": pa,
         "dropoff_community_area": da,
         "fare": F.when(pk % 227 == 0, F.lit(None).cast("double"))
+        .when(pk % 239 == 0, nan)
         .when(ok % 1009 == 0, -fc.cast("double") / 100)
         .when(pk % 41 == 0, (fc * 10 + 4).cast("double") / 1000)
         .otherwise(_dollars(fc)),
-        "tips": F.when(pk % 229 == 0, F.lit(None).cast("double")).when(ok % 499 == 0, _dollars(-tc - 1)).otherwise(_dollars(tc)),
-        "tolls": F.when(ln == 7, F.lit(1.5)).otherwise(F.lit(0.0)),
+        "tips": F.when(pk % 229 == 0, F.lit(None).cast("double"))
+        .when(pk % 241 == 0, nan)
+        .when(ok % 499 == 0, _dollars(-tc - 1))
+        .otherwise(_dollars(tc)),
+        "tolls": F.when(pk % 257 == 0, nan).when(ln == 7, F.lit(1.5)).otherwise(F.lit(0.0)),
         "extras": (ln % 4).cast("double"),
         "payment_type": F.col("pt"),
         "company": company,

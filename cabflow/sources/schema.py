@@ -97,11 +97,15 @@ CLUSTER_KEYS = {
     "mart_geo_flows": ["pickup_community_area", "dropoff_community_area", "is_airport_trip"],
 }
 
+# Layers large enough that a month may need several files: laid out by ranges of the keys.
+RANGED_LAYERS = ("trips_base", "trips_silver")
+
 # Layers whose reads must name a month range (the geo mart may be scanned whole).
 GUARDED_LAYERS = {
     "trips_base": True,
     "audit_profile": True,
     "trips_silver": True,
+    "trips_set_aside": False,
     "mart_company_performance": True,
     "mart_time_analysis": True,
     "mart_geo_flows": False,

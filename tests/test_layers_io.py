@@ -1,5 +1,6 @@
 """Layer round trip: partitioned writes, the scan guard, pruning, refresh = lazy."""
 
+import glob
 import os
 import uuid
 
@@ -23,9 +24,10 @@ def paths(spark, scratch):
 
 
 def test_layers_are_month_partitioned(paths):
-    months = [d for d in os.listdir(paths["trips_base"]) if d.startswith("partition_month=")]
-    assert len(months) > 100
-    assert all(d.startswith("month_start=") for d in os.listdir(paths["mart_geo_flows"]) if "=" in d)
+    for layer, column in (("trips_base", "partition_month"), ("mart_geo_flows", "month_start")):
+        (write,) = glob.glob(f"{paths[layer]}/layer_write_id=*")
+        folders = [d for d in os.listdir(write) if "=" in d]
+        assert len(folders) > 50 and all(d.startswith(f"{column}=") for d in folders)
 
 
 def test_guard_requires_month_bound(spark, paths):
@@ -70,7 +72,8 @@ def test_command_line_refresh(spark, scratch, capsys):
     land_raw(spark, SF_SMALL, f"{root}/raw")
     main(["refresh", "--raw", f"{root}/raw", "--root", f"{root}/out"])
     out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
-    assert set(out["layers"]) == {"trips_base", "audit_profile", "trips_silver", "mart_company_performance", "mart_time_analysis", "mart_geo_flows"}
+    assert out["set_aside"] == []
+    assert set(out["layers"]) == {"trips_base", "audit_profile", "trips_silver", "trips_set_aside", "mart_company_performance", "mart_time_analysis", "mart_geo_flows"}
     airport = spark.read.parquet(f"{root}/out/reports/report_airport_segments")
     assert airport.count() == 5
     lazy = QUERIES["report_airport_segments"](spark, SF_SMALL)
@@ -133,8 +136,6 @@ def test_failed_write_leaves_the_old_layer(spark, paths):
 
 def test_files_of_a_split_month_hold_disjoint_keys(spark, scratch):
     """A month over several range partitions: no two files' company ranges overlap."""
-    import glob
-
     import pyarrow.parquet as pq
     from pyspark.sql import functions as F
 
@@ -143,13 +144,9 @@ def test_files_of_a_split_month_hold_disjoint_keys(spark, scratch):
 
     path = os.path.join(scratch, f"clustered-{uuid.uuid4().hex[:8]}")
     month = build_base(raw_trips(spark, SF_SMALL)).withColumn("partition_month", F.lit("2018-03-01").cast("date"))
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        write_layer(month, path, "trips_base")
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    write_layer(month, path, "trips_base", range_bytes=50_000)
     ranges = []
-    for file in glob.glob(f"{path}/partition_month=*/*.parquet"):
+    for file in glob.glob(f"{path}/layer_write_id=*/partition_month=*/*.parquet"):
         keys = pq.read_table(file, columns=["company", "taxi_id"]).to_pylist()
         ordered = [(r["company"] or "", r["taxi_id"] or "") for r in keys]
         ranges.append((min(ordered), max(ordered)))
@@ -158,6 +155,68 @@ def test_files_of_a_split_month_hold_disjoint_keys(spark, scratch):
     assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))
 
 
+def test_one_firm_with_all_rows_of_a_month_is_split(spark, scratch):
+    """Equal clustering keys do not keep rows together; the session's shuffle partitions do not matter."""
+    import pyarrow.parquet as pq
+
+    from cabflow.operators.layers import build_base
+    from cabflow.sources.layers import range_count, write_layer
+
+    path = os.path.join(scratch, f"hot-{uuid.uuid4().hex[:8]}")
+    base = build_base(raw_trips(spark, SF_SMALL))
+    same = {"partition_month": F.lit("2018-03-01").cast("date"), "company": F.lit("Alpha"), "taxi_id": F.lit("T1"), "payment_type": F.lit("Cash"), "pickup_community_area": F.lit(8)}
+    hot = base.withColumns(same)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    counts = set()
+    for partitions in ("1", "8", "64"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        counts.add(range_count(hot, 40_000))
+        if partitions == "1":
+            write_layer(hot, path, "trips_base", range_bytes=40_000)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    rows = [pq.read_metadata(f).num_rows for f in glob.glob(f"{path}/layer_write_id=*/partition_month=*/*.parquet")]
+    assert len(counts) == 1 and len(rows) == counts.pop() >= 5
+    assert sum(rows) == hot.count() and max(rows) < 1.7 * sum(rows) / len(rows)
+
+
+def test_range_count_follows_the_bytes(spark, paths):
+    from cabflow.sources.layers import range_count
+
+    base = read_layer(spark, paths["trips_base"], "trips_base", lo="2013-01-01")
+    one = read_layer(spark, paths["trips_base"], "trips_base", lo="2018-03-01", hi="2018-03-01")
+    assert range_count(base) == 1 and 50 < range_count(base, 5_000) < 10_000
+    assert range_count(one, 5_000) < range_count(base, 5_000) / 20
+
+
+def test_raw_files_of_unequal_schema(spark, scratch):
+    """A column that only some files hold is carried, whichever file Spark looks at first."""
+    from cabflow.sources import read_raw
+    from cabflow.sources.fixture import land_raw
+
+    path = os.path.join(scratch, f"unequal-{uuid.uuid4().hex[:8]}")
+    land_raw(spark, SF_SMALL, f"{path}/plain")
+    plain = spark.read.parquet(f"{path}/plain").coalesce(2)
+    n = plain.count()
+    for name, first, second in (
+        ("a", plain, plain.withColumn("shift", F.lit("night"))),
+        ("b", plain.withColumn("shift", F.lit("night")), plain.drop("tolls")),
+    ):
+        first.write.parquet(f"{path}/{name}")
+        second.write.mode("append").parquet(f"{path}/{name}")
+        got = read_raw(spark, f"{path}/{name}")
+        assert got.count() == 2 * n and got.where("shift = 'night'").count() == n
+        assert {"shift", *plain.columns} == set(got.columns)
+    assert read_raw(spark, f"{path}/b").where("tolls IS NULL").count() >= n
+    # Timestamps without a time zone are read as well; another type in any file is an error.
+    local = plain.withColumn("trip_start_timestamp", F.col("trip_start_timestamp").cast("timestamp_ntz"))
+    local.write.parquet(f"{path}/times")
+    assert read_raw(spark, f"{path}/times").exceptAll(local.select(read_raw(spark, f"{path}/times").columns)).count() == 0
+    plain.write.parquet(f"{path}/types")
+    plain.withColumn("fare", F.col("fare").cast("string")).write.mode("append").parquet(f"{path}/types")
+    with pytest.raises(TypeError, match="different types"):
+        read_raw(spark, f"{path}/types")
+
+
 def test_raw_columns_are_all_carried(spark, scratch):
     from pyspark.sql import functions as F
 
