@@ -1,6 +1,6 @@
 """Column -> Column helpers and named trip derivations."""
 
-from cabflow.functions.core import exact_sum, round_dec, safe_div
+from cabflow.functions.core import above, at_least, exact_sum, round_dec, safe_div
 from cabflow.functions import trips
 
-__all__ = ["exact_sum", "round_dec", "safe_div", "trips"]
+__all__ = ["above", "at_least", "exact_sum", "round_dec", "safe_div", "trips"]

@@ -21,6 +21,16 @@ def safe_div(num: Column | str, den: Column | str) -> Column:
     return F.try_divide(col(num), col(den))
 
 
+def above(x: Column | str, bound: Column | float) -> Column:
+    """``x > bound`` as in the source dialect: FALSE for NaN (Spark takes NaN for the largest value)."""
+    return (col(x) > bound) & ~F.isnan(col(x))
+
+
+def at_least(x: Column | str, bound: Column | float) -> Column:
+    """``x >= bound``; FALSE for NaN."""
+    return (col(x) >= bound) & ~F.isnan(col(x))
+
+
 # Values are summed as DECIMAL(38, 12): twelve decimals hold the digits of
 # money, kilometres and minutes, and LARGEST leaves room for 10^11 addends.
 SUM_SCALE = 12

@@ -16,7 +16,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cabflow.functions import round_dec, safe_div
+from cabflow.functions import above, round_dec, safe_div
 from cabflow.functions import trips as T
 from cabflow.sources.layers import as_date
 from cabflow.sources.schema import NULL_AUDIT_COLUMNS, TRIP_PARTITION
@@ -27,17 +27,17 @@ PROFILE_TRIPS = "trips"
 
 
 def anomaly_flags() -> dict[str, Column]:
-    """The anomaly and quality conditions counted per year, in report order."""
+    """The anomaly and quality conditions counted per year, in report order; comparisons with NaN are FALSE."""
     sec, km, total = F.col("trip_seconds"), F.col("trip_km"), F.col("trip_total")
     return {
         "ghost_trips": (F.coalesce(sec, F.lit(0)) == 0) & (F.coalesce(km, F.lit(0.0)) == 0),
         "end_before_start": F.col("trip_end_timestamp") < F.col("trip_start_timestamp"),
-        "nonzero_trip_zero_pay": (sec > 0) & (km > 0) & (total == 0),
-        "impossible_speed": F.col("avg_speed_kmh") > 130,
+        "nonzero_trip_zero_pay": (sec > 0) & above(km, 0) & (total == 0),
+        "impossible_speed": above("avg_speed_kmh", 130),
         "extreme_duration": F.col("duration_hr") > 6,
-        "extreme_total": total > 500,
-        "extreme_cost_min": (F.col("dollars_per_min") > 10) & (F.col("duration_min") > 1),
-        "extreme_distance": km > 300,
+        "extreme_total": above(total, 500),
+        "extreme_cost_min": above("dollars_per_min", 10) & (F.col("duration_min") > 1),
+        "extreme_distance": above(km, 300),
         "total_mismatch": ~F.col("is_total_consistent"),
         "missing_geo": ~F.col("has_geo"),
         "airport_trips": F.col("is_airport_trip"),

@@ -12,7 +12,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cabflow.functions import above, at_least
 from cabflow.functions import trips as T
+from cabflow.functions.core import LARGEST
 from cabflow.sources.layers import as_date
 from cabflow.sources.schema import ENRICHED_COLUMNS, TRIP_PARTITION
 
@@ -64,22 +66,23 @@ def quality_rules(
 
     They are SQL three-valued predicates: a row is kept only where every one
     is TRUE, so a NULL result drops the row (e.g. a NULL ``trip_miles`` fails
-    the price-per-km rule). Do not simplify them.
+    the price-per-km rule). A comparison with NaN is FALSE, as in the source
+    dialect. Do not simplify them.
     """
     fare, tips, total = F.col("fare"), F.col("tips"), F.col("trip_total")
     sec, km = F.col("trip_seconds"), F.col("trip_km")
     zero_sec, zero_km = F.coalesce(sec, F.lit(0)) == 0, F.coalesce(km, F.lit(0.0)) == 0
     return {
         "month_bound": F.col(TRIP_PARTITION) >= F.lit(as_date(lo)),
-        "fare_not_negative": fare.isNull() | (fare >= 0),
-        "tips_not_negative": tips.isNull() | (tips >= 0),
-        "total_not_negative": total.isNull() | (total >= 0),
+        "fare_not_negative": fare.isNull() | at_least(fare, 0),
+        "tips_not_negative": tips.isNull() | at_least(tips, 0),
+        "total_not_negative": total.isNull() | at_least(total, 0),
         "total_capped": total.isNull() | (total <= max_total),
-        "price_per_km": ~((F.col("dollars_per_km") > max_usd_per_km) & (km > min_km_for_price)),
+        "price_per_km": ~(above("dollars_per_km", max_usd_per_km) & above(km, min_km_for_price)),
         "end_after_start": F.col("trip_end_timestamp") >= F.col("trip_start_timestamp"),
         "not_ghost": ~(zero_sec & zero_km),
         "duration_capped": sec.isNull() | (sec <= max_seconds),
-        "paid_if_moved": ~((F.coalesce(total, F.lit(0.0)) == 0) & ((sec > 0) | (km > 0))),
+        "paid_if_moved": ~((F.coalesce(total, F.lit(0.0)) == 0) & ((sec > 0) | above(km, 0))),
         "distance_capped": km.isNull() | (km <= max_km),
         "speed_capped": F.col("avg_speed_kmh").isNull() | (F.col("avg_speed_kmh") <= max_kmh),
     }
@@ -136,3 +139,25 @@ def deduped_base(enriched: DataFrame, **rules) -> DataFrame:
 def build_silver(enriched: DataFrame, **rules) -> DataFrame:
     """``trips_silver``: validated and deduplicated (columns as enriched)."""
     return enrich(deduped_base(enriched, **rules))
+
+
+# Measures of silver that the marts add up.
+SUMMED = ["trip_total", "fare", "tips", "trip_km", "duration_min"]
+
+
+def _unsummable(c: str) -> Column:
+    """Values that no exact sum can hold; NaN is the largest value to Spark. Row groups without any are skipped."""
+    return (F.col(c) >= LARGEST) | (F.col(c) <= -LARGEST)
+
+
+def summable(silver: DataFrame) -> DataFrame:
+    """Trips all of whose summed measures fit an exact sum (NULL does)."""
+    return silver.filter(~F.coalesce(reduce(lambda a, b: a | b, map(_unsummable, SUMMED)), F.lit(False)))
+
+
+def set_aside(silver: DataFrame) -> DataFrame:
+    """Trips that ``summable`` leaves out, one row for each measure that does not fit."""
+    names = [F.when(_unsummable(c), F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value"))) for c in SUMMED]
+    return silver.filter(reduce(lambda a, b: a | b, map(_unsummable, SUMMED))).select(
+        TRIP_PARTITION, "unique_key", "taxi_id", "trip_start_timestamp", F.inline(F.array_compact(F.array(*names)))
+    )

@@ -13,7 +13,7 @@ import datetime as _dt
 
 from pyspark.sql import DataFrame, functions as F
 
-from cabflow.functions import exact_sum
+from cabflow.functions import above, exact_sum
 from cabflow.functions import trips as T
 from cabflow.sources.layers import as_date
 from cabflow.sources.schema import TRIP_PARTITION
@@ -69,7 +69,7 @@ def mart_time_analysis(
         )
         .agg(
             F.count(F.lit(1)).alias("trip_count"),
-            F.count_if(_zero("tips") > 0).alias("tipped_trip_count"),
+            F.count_if(above(_zero("tips"), 0)).alias("tipped_trip_count"),
             exact_sum(_zero("trip_total")).alias("total_revenue"),
             exact_sum(_zero("tips")).alias("total_tips"),
             exact_sum(_zero("trip_km")).alias("total_trip_km"),

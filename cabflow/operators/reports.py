@@ -65,6 +65,16 @@ def firm_totals(
     )
 
 
+def market_totals(firms: DataFrame) -> "F.Column":
+    """Trips and revenue of all firms: a scalar subquery over ``firm_totals``.
+
+    Both totals are one value, so the subquery needs the same columns of the
+    firms as the report around it: its plan is the same up to the firms'
+    exchange, which is computed once and reused.
+    """
+    return firms.agg(F.struct(F.sum("trips").alias("trips"), exact_sum("revenue").alias("revenue")).alias("market")).scalar()
+
+
 def report_market_share(
     company_mart: DataFrame,
     min_trips: int = MIN_TRIPS,
@@ -77,8 +87,8 @@ def report_market_share(
     filter, as a scalar subquery over the per-firm totals.
     """
     firms = firm_totals(company_mart, lo, hi)
-    total_trips = firms.agg(F.sum("trips")).scalar()
-    total_revenue = firms.agg(exact_sum("revenue")).scalar()
+    market = market_totals(firms)
+    total_trips, total_revenue = market["trips"], market["revenue"]
     return (
         firms.filter(F.col("trips") >= min_trips)
         .select(
@@ -261,7 +271,7 @@ def report_top5_concentration(
     keeps k rows, so only k x tasks rows meet in one place.
     """
     firms = firm_totals(company_mart, lo, hi)
-    total_revenue = firms.agg(exact_sum("revenue")).scalar()
+    total_revenue = market_totals(firms)["revenue"]
     top = firms.orderBy(F.desc("revenue"), F.asc("company_clean")).limit(k)
     running = Window.orderBy(F.desc("revenue"), F.asc("company_clean")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow

@@ -103,6 +103,33 @@ def _plan_nodes(node):
         yield from _plan_nodes(children.apply(i))
 
 
+def scans(df: DataFrame) -> list[int]:
+    """Rows that each file scan read which ``df`` executed, those of scalar subqueries included.
+
+    What is reused counts once, where it was computed. Call after an action on ``df``.
+    """
+    found: dict[int, int] = {}
+
+    def walk(node) -> None:
+        name = node.getClass().getSimpleName()
+        if name.startswith("Reused"):
+            return
+        if name == "FileSourceScanExec":
+            found[node.hashCode() if node.metrics().isEmpty() else node.metrics().get("numOutputRows").get().id()] = int(
+                node.metrics().get("numOutputRows").get().value()
+            )
+        if name == "AdaptiveSparkPlanExec":
+            walk(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            walk(node.plan())
+        for children in (node.children(), node.subqueries()):
+            for i in range(children.size()):
+                walk(children.apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return list(found.values())
+
+
 def shuffle_records(df: DataFrame) -> list[tuple[str, int]]:
     """(partitioning, records written) of every shuffle ``df`` executed.
 

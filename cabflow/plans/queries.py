@@ -5,7 +5,8 @@ trip adapter) and runs the whole chain lazily, so its work grows with the
 table and Catalyst optimises across layers (the month is one of the dedup's
 keys, so the month bounds of a mart filter the rows below the dedup). The
 materialised path — each layer written once and read back — is
-``cabflow.plans.refresh``.
+``cabflow.plans.refresh``; the ``written_…`` queries run it and give what
+the guarded reader finds.
 
 Building a query sets the session's ``RUNTIME_CONF`` (``cabflow.session``):
 UTC, adaptive execution and the codegen method limit.
@@ -13,13 +14,16 @@ UTC, adaptive execution and the codegen method limit.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from cabflow.operators import audits, layers, marts, reports
-from cabflow.session import tune_session
+from cabflow.plans.refresh import FIRST_MONTH, build_layers
+from cabflow.session import scratch_dir, tune_session
 from cabflow.sources.fixture import raw_trips
+from cabflow.sources.layers import read_layer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +52,22 @@ def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts.mart_geo_flows(_silver(spark, sf_dir))
 
 
+def _written(layer: str, *needs: str, months: tuple[tuple[str, str], ...] = (), lo: str | None = FIRST_MONTH) -> Query:
+    """Write ``needs`` and ``layer`` under the shared folder, then read the layer through the guard.
+
+    With ``months`` the layers are first written whole and then once more,
+    those months only, so that the result mixes two versions.
+    """
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root = f"{scratch_dir(spark).rstrip('/')}/cabflow-written/{layer}-{uuid.uuid4().hex}"
+        for part in (None, *months):
+            paths = build_layers(spark, raw_trips(spark, sf_dir), root, months=part, only={*needs, layer})
+        return read_layer(spark, paths[layer], layer, lo=lo)
+
+    return build
+
+
 QUERIES: dict[str, Query] = {
     # raw and base
     "trips_raw": raw_trips,
@@ -77,6 +97,11 @@ QUERIES: dict[str, Query] = {
         reports.report_company_tips(_company(s, d))
     ),
     "report_top5_concentration": lambda s, d: reports.report_top5_concentration(_company(s, d)),
+    # the written path: layers in versions under the shared folder, read through the guard
+    "written_trips_base": _written("trips_base", months=(("2016-03-01", "2018-06-01"),)),
+    "written_trips_silver": _written("trips_silver", "trips_base", months=(("2019-01-01", "2019-12-01"),)),
+    "written_mart_company_performance": _written("mart_company_performance", "trips_base", "trips_silver"),
+    "written_mart_geo_flows": _written("mart_geo_flows", "trips_base", "trips_silver", lo=None),
 }
 
 

@@ -26,5 +26,5 @@ def test_queries_and_oracle_keys_match():
     queries, oracle = module.queries(), module.oracle_sql()
     from cabflow.plans.queries import QUERIES
 
-    assert len(QUERIES) == 22 and set(QUERIES) <= set(oracle) <= set(queries)
+    assert len(QUERIES) == 26 and set(QUERIES) <= set(oracle) <= set(queries)
     assert all(callable(fn) for fn in queries.values())

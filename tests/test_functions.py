@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from cabflow.functions import exact_sum, round_dec, safe_div
+from cabflow.functions import above, at_least, exact_sum, round_dec, safe_div
 from cabflow.functions import trips as D
 
 
@@ -231,3 +231,52 @@ def test_company_end_anchor(spark):
     df = one_col(spark, ["abc.\u0085", "abc. .", "\tZeta\u00a0Cab\u00a0. "], T.StringType())
     got = [r.c for r in df.select(D.company_clean("v").alias("c")).collect()]
     assert got == ["abc.", "abc", "Zeta\u00a0Cab"]
+
+
+def test_comparisons_with_nan_are_false(spark):
+    nan = float("nan")
+    df = one_col(spark, [None, nan, -1.0, 0.0, 1.0, float("inf")], T.DoubleType())
+    rows = df.select(above("v", 0), at_least("v", 0), ~above("v", 0)).collect()
+    assert [r[0] for r in rows] == [None, False, False, False, True, True]
+    assert [r[1] for r in rows] == [None, False, False, True, True, True]
+    assert [r[2] for r in rows] == [None, True, True, True, False, False]
+
+
+def test_silver_rules_reject_nan_and_audits_do_not_count_it(spark):
+    """fare, tips, total and distance: each alone NaN."""
+    from cabflow.operators import audits, layers
+
+    nan, start = float("nan"), dt.datetime(2019, 3, 1, 8, 0)
+    good = {"fare": 10.0, "tips": 1.0, "trip_total": 11.0, "trip_miles": 2.0}
+    rows = [{**good, **odd} for odd in ({}, *({c: nan} for c in good), {"tolls": nan})]
+    base = spark.createDataFrame(
+        [
+            (str(i), "T", start, start + dt.timedelta(minutes=10), 600, r["trip_miles"], r["fare"], r["tips"], r.get("tolls"), None, r["trip_total"], "Cash", None, 8, 8, start.date().replace(day=1))
+            for i, r in enumerate(rows)
+        ],
+        "unique_key string, taxi_id string, trip_start_timestamp timestamp, trip_end_timestamp timestamp, trip_seconds long,"
+        " trip_miles double, fare double, tips double, tolls double, extras double, trip_total double, payment_type string,"
+        " company string, pickup_community_area long, dropoff_community_area long, partition_month date",
+    )
+    enriched = layers.enrich(base)
+    assert [r.unique_key for r in layers.validate(enriched).orderBy("unique_key").collect()] == ["0", "5"]
+    counts = enriched.agg(*[F.count_if(c).alias(n) for n, c in audits.anomaly_flags().items()]).first()
+    assert counts.extreme_total == counts.impossible_speed == counts.extreme_distance == counts.extreme_cost_min == counts.ghost_trips == 0
+    assert counts.total_mismatch == 4  # NaN fare, tips, total and tolls
+
+
+def test_unsummable_measures(spark):
+    from cabflow.operators import layers
+
+    inf = float("inf")
+    rows = [("a", 1.0, None), ("b", inf, 2.0), ("c", -1e15, float("nan")), ("d", 9.99e14, None), ("e", None, None)]
+    silver = spark.createDataFrame(rows, "unique_key string, fare double, tips double").select(
+        "*",
+        F.lit("T").alias("taxi_id"),
+        F.lit(dt.datetime(2019, 3, 1)).alias("trip_start_timestamp"),
+        F.lit(dt.date(2019, 3, 1)).alias("partition_month"),
+        *[F.lit(1.0).alias(c) for c in ("trip_total", "trip_km", "duration_min")],
+    )
+    assert [r.unique_key for r in layers.summable(silver).collect()] == ["a", "d", "e"]
+    found = {(r.unique_key, r.measure, repr(r.value)) for r in layers.set_aside(silver).collect()}
+    assert found == {("b", "fare", "inf"), ("c", "fare", "-1000000000000000.0"), ("c", "tips", "nan")}

@@ -15,8 +15,8 @@ from conftest import SF_MEDIUM, SF_SMALL
 
 # FIXTURES.md §3: trips, base, validated, silver, company mart, time mart, geo mart
 EXPECTED_COUNTS = {
-    SF_SMALL: (6116, 6106, 5717, 5585, 1335, 4427, 1981),
-    SF_MEDIUM: (61176, 61133, 56737, 55423, 2629, 16131, 12979),
+    SF_SMALL: (6116, 6106, 5708, 5576, 1334, 4419, 1975),
+    SF_MEDIUM: (61176, 61133, 55969, 54671, 2622, 16088, 12821),
 }
 
 
@@ -57,17 +57,17 @@ def test_rejects_per_rule(spark):
     ).first()
     assert counts.asDict() == {
         "month_bound": 0,
-        "fare_not_negative": 59,
-        "tips_not_negative": 117,
-        "total_not_negative": 115,
-        "total_capped": 53,
+        "fare_not_negative": 304,
+        "tips_not_negative": 356,
+        "total_not_negative": 229,
+        "total_capped": 167,
         "price_per_km": 528,
         "end_after_start": 335,
         "not_ghost": 323,
         "duration_capped": 112,
         "paid_if_moved": 2253,
-        "distance_capped": 62,
-        "speed_capped": 883,
+        "distance_capped": 279,
+        "speed_capped": 1100,
     }
 
 
@@ -128,11 +128,11 @@ def test_airport_report_at_sf001(medium):
     _, out = medium
     got = {(r.segment, r.airport_name): r.trip_count for r in out["report_airport_segments"]}
     assert got == {
-        ("Airport Dropoff", "Midway"): 2084,
-        ("Airport Dropoff", "OHare"): 1550,
-        ("Airport Pickup", "Midway"): 2683,
-        ("Airport Pickup", "OHare"): 3082,
-        ("Non-Airport", "City"): 18602,
+        ("Airport Dropoff", "Midway"): 2063,
+        ("Airport Dropoff", "OHare"): 1524,
+        ("Airport Pickup", "Midway"): 2635,
+        ("Airport Pickup", "OHare"): 3025,
+        ("Non-Airport", "City"): 18337,
     }
     for r in out["report_airport_segments"]:
         assert r.avg_trip_value == round(r.total_revenue / r.trip_count, 2)

@@ -43,6 +43,17 @@ def test_market_share_total_is_a_scalar_subquery(spark):
     assert "Join" not in _tree(plan)
 
 
+@pytest.mark.parametrize("name", ["report_market_share", "report_top5_concentration"])
+def test_market_totals_share_the_firms_exchange(spark, name):
+    """On the executed plan, subqueries included, the table is read once."""
+    from cabflow.plans.check import scans
+
+    df = QUERIES[name](spark, SF_SMALL)
+    df.collect()
+    read = scans(df)
+    assert len(read) == 1 and read[0] == spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").count()
+
+
 def test_top_areas_uses_group_limit(spark):
     assert "WindowGroupLimit" in plan_text(QUERIES["report_top_areas"](spark, SF_SMALL))
 
