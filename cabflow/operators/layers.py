@@ -150,14 +150,19 @@ def _unsummable(c: str) -> Column:
     return (F.col(c) >= LARGEST) | (F.col(c) <= -LARGEST)
 
 
+def unsummable() -> Column:
+    """Whether a silver trip has a measure that no exact sum can hold (NULL or FALSE if not)."""
+    return reduce(lambda a, b: a | b, map(_unsummable, SUMMED))
+
+
 def summable(silver: DataFrame) -> DataFrame:
     """Trips all of whose summed measures fit an exact sum (NULL does)."""
-    return silver.filter(~F.coalesce(reduce(lambda a, b: a | b, map(_unsummable, SUMMED)), F.lit(False)))
+    return silver.filter(~F.coalesce(unsummable(), F.lit(False)))
 
 
 def set_aside(silver: DataFrame) -> DataFrame:
     """Trips that ``summable`` leaves out, one row for each measure that does not fit."""
     names = [F.when(_unsummable(c), F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value"))) for c in SUMMED]
-    return silver.filter(reduce(lambda a, b: a | b, map(_unsummable, SUMMED))).select(
+    return silver.filter(unsummable()).select(
         TRIP_PARTITION, "unique_key", "taxi_id", "trip_start_timestamp", F.inline(F.array_compact(F.array(*names)))
     )

@@ -23,7 +23,7 @@ import warnings
 from collections.abc import Callable, Collection
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from cabflow.functions import trips
 from cabflow.operators import audits, layers, marts, reports
@@ -125,6 +125,8 @@ def _build(
         prof = audits.audit_profile(base_df).withColumn(PROFILE_PARTITION, F.year("trip_date"))
         write(prof, "audit_profile", months=(lo, hi) if partial else None)
 
+    unsummable: list[Observation] = []
+
     def silver() -> None:
         lo, hi = _clip(FIRST_MONTH, "9999-12-01", months)
         base_df = read_layer(spark, paths["trips_base"], "trips_base", lo=lo, hi=hi)
@@ -132,7 +134,13 @@ def _build(
         # exchange, right before the clustering sort and the write.
         cluster = {"company_clean": trips.company_clean(), "payment_category": trips.payment_category()}
         deduped = layers.deduped_base(layers.enrich(base_df))
-        write(deduped, "trips_silver", derive=layers.enrich, cluster=cluster, months=months)
+        # Counted while the layer is written: silver is searched for such trips only if it has any.
+        unsummable.append(Observation())
+
+        def derive(rows: DataFrame) -> DataFrame:
+            return layers.enrich(rows).observe(unsummable[0], F.count_if(layers.unsummable()).alias("trips"))
+
+        write(deduped, "trips_silver", derive=derive, cluster=cluster, months=months)
 
     # Both read only the base layer: submit their jobs together.
     def profile_and_silver() -> None:
@@ -152,7 +160,10 @@ def _build(
 
     def set_aside() -> None:
         lo, hi = _clip(FIRST_MONTH, "9999-12-01", months)
-        write(layers.set_aside(read_layer(spark, paths["trips_silver"], "trips_silver", lo=lo, hi=hi)), "trips_set_aside", months=months)
+        rows = layers.set_aside(read_layer(spark, paths["trips_silver"], "trips_silver", lo=lo, hi=hi))
+        if unsummable and unsummable[0].get["trips"] == 0:
+            rows = rows.limit(0)
+        write(rows, "trips_set_aside", months=months)
 
     # Each mart reads only the silver months it aggregates. The three are
     # independent, so their jobs are submitted together and share the cores.

@@ -9,7 +9,7 @@ from conftest import ROOT, SF_SMALL
 
 
 def test_bench_prints_one_json_line():
-    env = {**os.environ, "BENCH_SF_DIR": SF_SMALL, "BENCH_CPUS": "4"}
+    env = {**os.environ, "BENCH_SF_DIR": SF_SMALL, "BENCH_CPUS": "4", "BENCH_REGISTERED": "0"}
     proc = subprocess.run(
         [sys.executable, os.path.join(ROOT, "bench.py")],
         capture_output=True, text=True, env=env, timeout=900, check=True,
