@@ -3,14 +3,21 @@ r"""Line dedup by a suffix array over line sequences (operator 5, DataFrame func
 Each document is the sequence of its lines that hold a word. All suffixes of
 all sequences are sorted by distributed prefix doubling: suffixes get the
 rank of their first line; a round joins each suffix's rank with the rank of
-the suffix ``step`` lines further and sorts the pairs, which ranks the
-suffixes by twice as many lines. A suffix whose prefix is unique cannot
-start a repeated run and leaves the sort. The rounds end at ``min_lines``
-lines: equal ranks are then exactly the intervals of the suffix array whose
-longest common prefix has ``min_lines`` lines or more, ``[lb, lb + n)``. In
-each interval the first suffix in document order is the original and the
-others start copies; consecutive copies join to maximal repeated runs, and
-those are deleted. Runs are judged on the input, not on what is left.
+the suffix some lines further and sorts the pairs, which ranks the suffixes
+by up to twice as many lines. A suffix whose prefix is unique cannot start a
+repeated run and leaves the sort. Equal ranks by ``d`` lines are the
+intervals of the suffix array whose longest common prefix has ``d`` lines or
+more; the first suffix of an interval in document order is the original, at
+the others a run of ``d`` lines or more begins that stands earlier as well.
+
+Deleted are all maximal such runs of ``min_lines`` lines or more, or of
+``min_words`` words or more, so that one line goes if it is a long passage.
+The sort ends at ``min_lines`` lines: of a longer run each line but the last
+``min_lines - 1`` starts one of at least ``min_lines`` lines itself, so the
+runs found up to that depth cover the maximal ones to their end. How many
+lines from a place on have ``min_words`` words (``need``) follows from the
+lines, so all suffixes of an interval of that depth agree in it. Runs are
+judged on the input, not on what is left.
 
 Ranks are made without bringing the keys together: distinct keys, already
 counted in the tasks, are range-sorted, each range adds up its own counts,
@@ -29,12 +36,14 @@ none is left); columns named like a result are replaced, one named
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cabflow.llm.common import cut, prepare, release
 
-MIN_LINES = 3
+MIN_LINES, MIN_WORDS = 3, 50
 RESULTS = ("n_lines", "n_removed", "runs")
 _WORD = r"[^\x20\x09-\x0D]"
 
@@ -57,41 +66,57 @@ def ranked(groups: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 
 def repeated(suffixes: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Suffixes (row, i, keys) whose keys occur twice or more, with their rank ``lb``."""
+    """Suffixes (row, i, need, keys) whose keys occur twice or more, with their rank ``lb``."""
     groups = suffixes.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
-    return cut(suffixes.join(ranked(groups, keys, f"{name}-order"), keys).select("row", "i", "lb"), name)
-
-
-def suffix_intervals(lines: DataFrame, depth: int) -> DataFrame:
-    """(row, i, lb): suffixes that share their first ``depth`` lines with another, by interval."""
-    suffixes = repeated(lines, ["h1", "h2"], "suffixes-1")
-    known = 1
-    while known < depth:
-        step = min(known, depth - known)
-        ahead = suffixes.select("row", (F.col("i") - step).alias("i"), F.col("lb").alias("r2"))
-        pairs = suffixes.withColumnRenamed("lb", "r1").join(ahead, ["row", "i"])
-        known += step
-        longer = repeated(pairs, ["r1", "r2"], f"suffixes-{known}")
-        release(suffixes)
-        suffixes = longer
-    return suffixes
+    return cut(suffixes.join(ranked(groups, keys, f"{name}-order"), keys).select("row", "i", "need", "lb"), name)
+
+
+def suffix_intervals(lines: DataFrame, depth: int) -> dict[int, DataFrame]:
+    """By number of lines 1 .. ``depth``: (row, i, need, lb) of suffixes that share so many with another, by interval."""
+    found = {1: repeated(lines, ["h1", "h2"], "suffixes-1")}
+    for known in range(2, depth + 1):
+        half = 1 << (known - 1).bit_length() - 1  # the greatest power of two below
+        ahead = found[half].select("row", (F.col("i") - (known - half)).alias("i"), F.col("lb").alias("r2"))
+        pairs = found[half].withColumnRenamed("lb", "r1").join(ahead, ["row", "i"])
+        found[known] = repeated(pairs, ["r1", "r2"], f"suffixes-{known}")
+    return found
 
 
 def repeated_runs(lines: DataFrame, min_lines: int) -> DataFrame:
-    """(row, runs): maximal runs of lines that are later copies, as (start, lines)."""
-    suffixes = suffix_intervals(lines.select("row", "i", "h1", "h2"), min_lines)
+    """(row, runs): maximal runs of lines that are later copies, as (start, lines).
+
+    ``need`` of a line is the number of lines from it on that have enough words, at most ``min_lines``.
+    """
+    intervals = suffix_intervals(lines.select("row", "i", "need", "h1", "h2"), min_lines)
     place = F.struct("row", "i")  # rows are numbered in document order
-    originals = suffixes.groupBy("lb").agg(F.min(place).alias("first"))
-    copies = suffixes.join(originals, "lb").where(place != F.col("first")).select("row", "i")
-    along = Window.partitionBy("row").orderBy("i")
-    fresh = F.coalesce((F.col("i") > F.lag("i").over(along) + min_lines).cast("int"), F.lit(1))
-    run = copies.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(along))
-    spans = run.groupBy("row", "run").agg(F.min("i").alias("start"), (F.max("i") + min_lines - F.min("i")).alias("lines"))
-    return spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "lines"))).alias("runs"))
+    copies = []
+    for depth, suffixes in intervals.items():
+        long_enough = suffixes.where(F.col("need") <= depth)
+        originals = long_enough.groupBy("lb").agg(F.min(place).alias("first"))
+        later = long_enough.join(originals, "lb").where(place != F.col("first"))
+        copies.append(later.select("row", "i", (F.col("i") + depth).alias("end")))
+    along = Window.partitionBy("row").orderBy("i", "end")
+    reached = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce((F.col("i") > reached).cast("int"), F.lit(1))
+    run = reduce(DataFrame.unionAll, copies).withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(along))
+    spans = run.groupBy("row", "run").agg(F.min("i").alias("start"), (F.max("end") - F.min("i")).alias("lines"))
+    runs = cut(spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "lines"))).alias("runs")), "runs")
+    for suffixes in intervals.values():
+        release(suffixes)
+    return runs
+
+
+def lines_needed(min_lines: int, min_words: int) -> F.Column:
+    """Lines (row, i, words) -> how many from each on have ``min_words`` words, at most ``min_lines``."""
+    need = F.lit(min_lines)
+    for n in range(min_lines - 1, 0, -1):
+        span = Window.partitionBy("row").orderBy("i").rowsBetween(0, n - 1)
+        need = F.when(F.sum("words").over(span) >= min_words, F.lit(n)).otherwise(need)
+    return need.alias("need")
 
 
-def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_lines: int = MIN_LINES) -> DataFrame:
-    """``docs`` with later copies of repeated runs of ``min_lines`` lines or more deleted from ``text``.
+def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with later copies of repeated runs of ``min_lines`` lines, or ``min_words`` words, or more deleted from ``text``.
 
     Adds ``n_lines`` (with a word, before), ``n_removed`` and ``runs``
     (start among those lines, number of lines).
@@ -101,17 +126,20 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
     # Rows numbered in document order: sorted ranges, numbered within each.
     rows = cut(docs.orderBy(F.col(doc_id).asc_nulls_last(), F.xxhash64(text)).withColumn("row", F.monotonically_increasing_id()), "rows")
     lines = rows.select("row", F.posexplode(worded_lines(text)).alias("i", "line"))
-    lines = cut(lines.select("row", "i", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")), "lines")
-    runs = cut(repeated_runs(lines, min_lines), "runs")
-    out = rows.join(runs, "row", "left").withColumn("_lines", worded_lines(text))
+    lines = lines.select("row", "i", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.size(F.regexp_extract_all("line", F.lit(_WORD + "+"), F.lit(0))).alias("words"))
+    lines = cut(lines.select("row", "i", "h1", "h2", lines_needed(min_lines, min_words)), "lines")
+    runs = repeated_runs(lines, min_lines)
+    release(lines)
+    out = rows.join(runs, "row", "left").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "runs", worded_lines(text).alias("lines"))
     inside = lambda i: F.exists("runs", lambda r: (i >= r["start"]) & (i < r["start"] + r["lines"]))
-    kept = F.array_join(F.filter("_lines", lambda _, i: ~inside(i)), "\n")
-    out = (
-        out.withColumn(text, F.when(F.col("runs").isNull(), F.col(text)).otherwise(kept))
-        .withColumn("n_lines", F.size("_lines").cast("long"))
-        .withColumn("n_removed", F.coalesce(F.aggregate("runs", F.lit(0), lambda a, r: a + r["lines"]), F.lit(0)).cast("long"))
+    kept = F.array_join(F.filter("lines", lambda _, i: ~inside(i)), "\n")
+    same = F.col(f"doc.`{text}`")
+    return out.select(
+        *[F.when(F.col("runs").isNull(), same).otherwise(kept).alias(c) if c == text else F.col(f"doc.`{c}`") for c in docs.columns],
+        F.size("lines").cast("long").alias("n_lines"),
+        F.coalesce(F.aggregate("runs", F.lit(0), lambda a, r: a + r["lines"]), F.lit(0)).cast("long").alias("n_removed"),
+        "runs",
     )
-    return out.select(*docs.columns, *RESULTS)
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -129,12 +157,20 @@ WITH docs AS (
 ), line AS (
   SELECT rid, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM docs
 ), win AS (
-  SELECT rid, i, l, lead(l, 1) OVER d AS l1, lead(l, 2) OVER d AS l2 FROM line WINDOW d AS (PARTITION BY rid ORDER BY i)
+  SELECT rid, i, l, lead(l, 1) OVER d AS l1, lead(l, 2) OVER d AS l2,
+         length(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS w, lead(w, 1, 0) OVER d AS w1
+  FROM line WINDOW d AS (PARTITION BY rid ORDER BY i)
 ), later AS (
-  SELECT rid, i FROM win WHERE l2 IS NOT NULL
+  SELECT rid, i, 1 AS lines FROM win WHERE w >= 50
+  QUALIFY row_number() OVER (PARTITION BY l ORDER BY rid, i) > 1
+  UNION ALL
+  SELECT rid, i, 2 FROM win WHERE l1 IS NOT NULL AND w + w1 >= 50
+  QUALIFY row_number() OVER (PARTITION BY l, l1 ORDER BY rid, i) > 1
+  UNION ALL
+  SELECT rid, i, 3 FROM win WHERE l2 IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY l, l1, l2 ORDER BY rid, i) > 1
 ), gone AS (
-  SELECT DISTINCT rid, i + k AS i FROM later, (SELECT unnest([0, 1, 2]) AS k)
+  SELECT DISTINCT rid, i + k AS i FROM later, (SELECT unnest([0, 1, 2]) AS k) WHERE k < lines
 ), left_over AS (
   SELECT rid, string_agg(l, chr(10) ORDER BY i) AS kept FROM line ANTI JOIN gone USING (rid, i) GROUP BY rid
 ), removed AS (

@@ -131,6 +131,59 @@ def test_line_runs_equal_sql(spark):
     assert sorted(map(tuple, out.collect()), key=str) == sorted(sql_rows(L.OP5_SQL, table), key=str)
 
 
+def maximal_runs_removed(docs, min_lines, min_words):
+    """Texts without later copies of maximal runs; from every place the longest run that stands earlier."""
+    before, out = [], {}
+    for i, ls in docs:
+        gone = set()
+        for at in range(len(ls)):
+            longest = 0
+            for other, start in [(o, s) for o in before for s in range(len(o))] + [(ls, s) for s in range(at)]:
+                n = 0
+                while at + n < len(ls) and start + n < len(other) and other[start + n] == ls[at + n]:
+                    n += 1
+                longest = max(longest, n)
+            if longest >= min_lines or sum(len(x.split()) for x in ls[at : at + longest]) >= min_words:
+                gone |= set(range(at, at + longest))
+        before.append(ls)
+        out[i] = "\n".join(x for k, x in enumerate(ls) if k not in gone)
+    return out
+
+
+@pytest.mark.parametrize("seed, min_lines, min_words", [(1, 3, 9), (2, 3, 5), (3, 5, 11), (4, 2, 1), (5, 4, 1000)])
+def test_maximal_runs_by_lines_or_words(spark, seed, min_lines, min_words):
+    rng = random.Random(seed)
+    lines = ["one", "two words", "three words here", "four words in line", "a line of five words", "a b c d e f g h i j"]
+    rows = [(i, [rng.choice(lines) + rng.choice(["", "", f" {rng.randint(0, 9)}"]) for _ in range(rng.randint(0, 12))]) for i in range(40)]
+    docs = spark.createDataFrame([(i, "\n".join(ls)) for i, ls in rows], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in L.line_dedup(docs, min_lines=min_lines, min_words=min_words).collect()}
+    assert got == maximal_runs_removed(rows, min_lines, min_words)
+
+
+def test_copies_of_one_long_line_go(spark):
+    """Later copies by size: one line of 50 words and two of 25 go, shorter ones of one or two lines stay."""
+    words = lambda n, tag: " ".join(f"{tag}{k}" for k in range(n))
+    passage = {"one": words(50, "a"), "two": words(25, "b") + "\n" + words(25, "c"), "short": words(49, "d"), "both": words(24, "e") + "\n" + words(25, "f")}
+    rows = [(10 * k + j, f"start {k} {j}\n{p}\nend {k} {j}") for k, p in enumerate(passage.values()) for j in range(3)]
+    out = L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    lost = {r.doc_id: r.n_removed for r in out}
+    assert [lost[10 * k + j] for k in range(4) for j in range(3)] == [0, 1, 1, 0, 2, 2, 0, 0, 0, 0, 0, 0]
+    found = L.line_dedup(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
+    seen = set()
+    for r in found.orderBy("doc_id").collect():
+        for line in (r.text or "").split("\n"):
+            if len(line.split()) >= 50:
+                assert line not in seen
+                seen.add(line)
+
+
+def test_helper_columns_do_not_clash(spark):
+    docs = spark.createDataFrame([(1, "a\nb\nc", "x", "y", 1), (2, "a\nb\nc\nd", "x", "y", 2)], "doc_id long, text string, _lines string, lines string, `a.b` int")
+    out = L.line_dedup(docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_removed", "runs"]
+    assert sorted((r.doc_id, r.text, r._lines, r.lines, r["a.b"]) for r in out.collect()) == [(1, "a\nb\nc", "x", "y", 1), (2, "d", "x", "y", 2)]
+
+
 @pytest.mark.parametrize("depth", [1, 2, 5])
 def test_line_runs_of_other_lengths(spark, depth):
     rng = random.Random(depth)
