@@ -3,8 +3,8 @@ r"""Quality rules by cross-document line frequency (operator 2).
 A line is normalised (ASCII letters lowered, white space collapsed) and
 hashed; its frequency is the number of distinct documents of the same host
 that hold it, where copies of one text are one document. Lines found in more
-than ``max(min_docs, max_share * documents of the host)`` documents are
-removed. A document is rejected if it fails the base rules (too few words,
+than ``max_share`` of the host's documents or ``max_docs``, whichever is less,
+but at least ``min_docs``, are removed. A document is rejected if it fails the base rules (too few words,
 or too many words inside repeated five-word windows) or if removal depletes
 it (fewer than ``min_words`` words left, or less than ``min_left`` of them).
 
@@ -96,15 +96,15 @@ def keyed(docs: DataFrame, text: str, host: str) -> DataFrame:
     return docs.withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit(""))).withColumn("_key", F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
 
-def verdicts(docs: DataFrame, text: str, host: str, max_share: float, min_docs: int, min_words: int, min_left: float, max_repeat: float) -> DataFrame:
+def verdicts(docs: DataFrame, text: str, host: str, max_share: float, min_docs: int, max_docs: int, min_words: int, min_left: float, max_repeat: float) -> DataFrame:
     """One row per distinct (host, text): metrics, verdict, positions of removed lines."""
     rows = keyed(docs, text, host).select(F.col("_host").alias("host"), F.col("_key").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     profiles = cut(rows.mapInArrow(profile, _PROFILE).dropDuplicates(["host", "key"]), "line-profiles")
     hosts = profiles.groupBy("host").agg(F.count("*").alias("docs"))
     lines = profiles.select("host", F.explode(F.array_distinct(F.col("lines.hash"))).alias("hash"))
     counted = lines.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
-    # Each such line is in more than max_share of its host's documents: few remain.
-    frequent = counted.join(hosts, "host").where(F.col("n") > F.greatest(F.lit(float(min_docs)), F.lit(max_share) * F.col("docs"))).select("host", "hash")
+    limit = F.greatest(F.lit(float(min_docs)), F.least(F.lit(max_share) * F.col("docs"), F.lit(float(max_docs))))
+    frequent = counted.join(hosts, "host").where(F.col("n") > limit).select("host", "hash")
     frequent = cut(frequent, "frequent-lines")
     removed = (
         profiles.select("host", "key", F.explode("lines").alias("line"))
@@ -149,18 +149,23 @@ def quality_rules(
     clean: bool = False,
     max_share: float = 0.10,
     min_docs: int = 5,
+    max_docs: int = 1000,
     min_words: int = 10,
     min_left: float = 0.3,
     max_repeat: float = 0.2,
 ) -> DataFrame:
     """``docs`` with the metrics, ``base_failed``, ``n_removed_lines``, ``n_kept_words`` and ``kept``.
 
-    With ``clean``, ``text`` is without the removed lines; the metrics are
-    always those of the input text.
+    A line goes from a host's documents if more of them than ``max_share`` of
+    all hold it, or more than ``max_docs``, but never for ``min_docs`` or
+    fewer: a large host's limit does not grow without end. With ``clean``,
+    ``text`` is without the removed lines; the metrics are always those of
+    the input text. Columns named like a result are replaced; ``removed``,
+    ``_host`` and ``_key`` of the input are left out.
     """
     prepare(docs.sparkSession)
     docs = docs.drop(*[c for c in (*RESULTS, "removed", "_host", "_key") if c not in (text, host)])
-    verdict = verdicts(docs, text, host, max_share, min_docs, min_words, min_left, max_repeat)
+    verdict = verdicts(docs, text, host, max_share, min_docs, max_docs, min_words, min_left, max_repeat)
     out = keyed(docs, text, host).join(verdict, ["_host", "_key"], "left")
     if clean:
         out = without_lines(out, text)
@@ -203,7 +208,7 @@ WITH docs AS (
   SELECT host, count(DISTINCT t) AS docs FROM docs GROUP BY host
 ), frequent AS (
   SELECT host, norm FROM line JOIN host_docs USING (host)
-  GROUP BY host, norm, docs HAVING count(DISTINCT t) > greatest(5.0, 0.10 * docs)
+  GROUP BY host, norm, docs HAVING count(DISTINCT t) > greatest(5.0, least(0.10 * docs, 1000.0))
 ), gone AS (
   SELECT rid, count(*) AS n_removed_lines, sum(nw) AS gone FROM line JOIN frequent USING (host, norm) GROUP BY rid
 ), base AS (

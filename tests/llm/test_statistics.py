@@ -16,6 +16,21 @@ from cabflow.llm import mixing as X
 from cabflow.llm import quality as Q
 
 
+def test_lines_of_a_hot_host_have_a_limit_that_does_not_grow(spark):
+    """Of 600 documents of one host 3 % hold one line, 2 % another, and nearly all of two documents is the first."""
+    own = lambda i: f"document number {i} has words of its own in this line and no others hold it at all"
+    often, seldom = "subscribe to our news letter here today and never miss any story of ours", "the second shared line"
+    rows = [(i, "hot", own(i) + (f"\n{often}" if i < 18 else f"\n{seldom}" if i < 30 else "")) for i in range(600)]
+    rows += [(1000, "hot", f"{often}\nshort end"), (1001, "other", f"{often}\nshort end"), (1002, "hot", f"{often}\n{own(1002)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: r for r in Q.quality_rules(docs, clean=True, max_docs=12).collect()}
+    assert [i for i, r in got.items() if not r.kept] == [1000] and not got[1000].base_failed
+    assert sorted(i for i, r in got.items() if r.n_removed_lines) == [*range(18), 1000, 1002]
+    assert got[3].text == own(3) and seldom in got[20].text and got[1001].text == f"{often}\nshort end"
+    lax = Q.quality_rules(docs).collect()  # a share of 10 % alone leaves both lines
+    assert all(r.kept and not r.n_removed_lines for r in lax)
+
+
 def test_quality_equals_sql(spark):
     """Documents with lines above the limit, some of them depleted."""
     import pandas as pd
