@@ -11,7 +11,7 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +75,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/cabflow-llm/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of ``cut`` that this driver has written and not deleted.
+_WRITTEN: list[str] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -85,16 +89,32 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> list[str]:
+    """Folders of ``cut`` that are still there."""
+    return list(_WRITTEN)
+
+
+def delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete folders of ``cut`` that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _WRITTEN[:] = [p for p in _WRITTEN if p not in set(paths)]
+
+
+def tables_of(df: DataFrame) -> set[str]:
+    """The folders of ``cut`` that ``df`` reads."""
+    names = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in df.inputFiles() if "/cabflow-llm/" in f}
+    return {p for p in _WRITTEN if p.rsplit("/", 1)[-1] in names}
+
+
 def release(df: DataFrame) -> None:
     """Delete the table behind a ``cut`` that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/cabflow-llm/" in path:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    delete(df.sparkSession, tables_of(df))
 
 
 def n_blocks(df: DataFrame, column: str, block_bytes: int) -> int:

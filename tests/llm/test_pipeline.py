@@ -7,7 +7,7 @@ from test_duplicates import naive_jp, shingle_counts
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from cabflow.llm.common import cut
+from cabflow.llm.common import cut, tables_of, written
 from cabflow.llm.line_dedup import OP5_SQL
 from cabflow.llm.queries import ORACLE_SQL, QUERIES
 from cabflow.llm.quality import OP2_SQL
@@ -77,6 +77,22 @@ def test_run_gives_the_last_stage(spark, stages):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, stages[5].collect()))
 
 
+def test_stages_delete_the_tables_of_those_before(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = set(written())
+    first = cut(corpus_pipeline.quality_stage(spark, docs, "folder"), "one")
+    made = set(written()) - before - tables_of(first)
+    assert made
+    kept = corpus_pipeline.line_stage(spark, first, "other folder")  # another run: nothing goes
+    assert made <= set(written())
+    second = cut(corpus_pipeline.line_stage(spark, first, "folder"), "two")
+    assert not made & set(written()) and tables_of(first) <= set(written())
+    assert second.count() == kept.count() <= first.count()
+    # Not written in between: what ``docs`` reads stays.
+    lazy = corpus_pipeline.line_stage(spark, first, "third")
+    assert corpus_pipeline.quality_stage(spark, lazy, "third").count() > 0
+
+
 def test_stages_on_messy_and_no_rows(spark, messy, empty):
     names = [name for name, _ in corpus_pipeline.STAGES]
     for docs in (messy, empty):
