@@ -19,6 +19,11 @@ of their names.
    files in no fixed order: sorted by them the rows are in the order of the
    schedule.
 
+A stage whose ``docs`` have been written first deletes the intermediate tables
+of the stages before it over the same ``sf_dir``: their results are written,
+nothing reads those tables any more. A result that is to be read later than
+that has to be written, as the stages ask for anyway.
+
 Every stage works on all rows its predecessor kept. Null, empty and very
 long texts, nulls in other columns, repeated rows, extra columns and empty
 tables are handled as each operator's docstring says; a null or empty text
@@ -27,6 +32,7 @@ ends at stage 1, which rejects texts of fewer than ten words.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -35,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cabflow.llm.bpe_codec import bpe_codec
-from cabflow.llm.common import cut
+from cabflow.llm.common import cut, delete, release, tables_of, written
 from cabflow.llm.line_dedup import line_dedup
 from cabflow.llm.minhash import near_duplicates
 from cabflow.llm.mixing import mix_sources
@@ -48,6 +54,28 @@ READ = ("doc_id", "text", "source")
 PLACE = ("mix_part", "mix_row")
 
 
+#: Intermediate tables of the last stage over a folder, by application and folder.
+_TABLES: dict[tuple[str, str], list[str]] = {}
+
+
+def _stage(run: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``run`` after deleting the tables of the stages before, of which ``docs`` reads none."""
+
+    @functools.wraps(run)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir)
+        earlier = _TABLES.pop(key, [])
+        if earlier and not tables_of(docs) & set(earlier):
+            delete(spark, earlier)
+            earlier = []
+        before = set(written())
+        out = run(spark, docs, sf_dir)
+        _TABLES[key] = earlier + [p for p in written() if p not in before]
+        return out
+
+    return stage
+
+
 def _applied(operator: Callable[[DataFrame], DataFrame], docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` after ``operator``, with ``n_chars`` of the present text."""
     others = [c for c in docs.columns if c not in READ]
@@ -64,18 +92,22 @@ def _applied(operator: Callable[[DataFrame], DataFrame], docs: DataFrame) -> Dat
     return out.select(*map(column, docs.columns))
 
 
+@_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _applied(lambda d: quality_rules(d, clean=True).where("kept"), docs)
 
 
+@_stage
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _applied(lambda d: line_dedup(d).where("n_lines = 0 or n_removed < n_lines"), docs)
 
 
+@_stage
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _applied(lambda d: near_duplicates(d).where("kept"), docs)
 
 
+@_stage
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _applied(lambda d: mix_sources(d, ordered=True), docs)
 
@@ -91,6 +123,7 @@ def _with_places(docs: DataFrame) -> DataFrame:
         return docs.select("*", F.shiftright(each, 33).alias("mix_part"), each.bitwiseAND(F.lit((1 << 33) - 1)).alias("mix_row"))
 
 
+@_stage
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     return bpe_codec(_with_places(docs), tokenizer, results=("n_tokens", "ids", "decoded_sha256")).drop("text")
@@ -110,7 +143,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    out = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for at, (name, stage) in enumerate(STAGES):
-        out = stage(spark, cut(out, f"stage-{at}") if at else out, sf_dir)
-    return out
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for at, (name, stage) in enumerate(STAGES[:-1]):
+        result = cut(stage(spark, docs, sf_dir), f"stage-{at}")
+        if at:
+            release(docs)  # the result of the stage before
+        docs = result
+    return STAGES[-1][1](spark, docs, sf_dir)
