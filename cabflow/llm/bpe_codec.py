@@ -15,7 +15,7 @@ Defined cases: a null or empty text (also one of white space only) has no
 ids and decodes to the empty text; special strings inside a text are their
 special ids; repeated rows are encoded once per row; other columns pass
 through, those named like a result are replaced; ties in the frequency list
-are broken by the piece.
+are broken by a hash of the piece.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cabflow.llm.bpe_vocab import vocabulary
-from cabflow.llm.common import prepare, scratch_path, slices, text_bytes
+from cabflow.llm.common import cut, most_frequent, prepare, release, scratch_path, slices, text_bytes
 from cabflow.llm.files import put_bytes
 from cabflow.llm.lexicon import build, lexicon
 
@@ -65,7 +65,10 @@ def frequent_pieces(docs: DataFrame, text: str, size: int) -> list[str]:
         yield flush()
 
     counted = docs.select(text).mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    return [r.piece for r in counted.orderBy(F.desc("n"), "piece").limit(size).collect()]
+    counted = cut(counted.select("piece", "n", F.xxhash64("piece").alias("key")), "pieces")
+    found = [r["piece"] for r in most_frequent(counted, size, "key")]
+    release(counted)
+    return found
 
 
 def compile_lexicon(pieces: list[str], tokenizer: str) -> bytes:

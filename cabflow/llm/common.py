@@ -123,9 +123,47 @@ def n_blocks(df: DataFrame, column: str, block_bytes: int) -> int:
     return max(1, -(-int(total) // block_bytes))
 
 
-def with_blocks(df: DataFrame, key: str, n: int) -> DataFrame:
-    """Add ``block``: rows dealt evenly over ``n`` blocks by a hash of ``key``."""
-    return df.withColumn("block", F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(7)), F.lit(n)).cast("int"))
+def with_blocks(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """Add ``block``: rows dealt evenly over ``n`` blocks by a hash of ``key`` and ``text``.
+
+    The text takes part so that rows without a key, or of one key, spread too.
+    """
+    return df.withColumn("block", F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text), F.lit(7)), F.lit(n)).cast("int"))
+
+
+#: Counts up to this have a rung of their own; above it a doubling has ``PER_DOUBLING`` rungs.
+EXACT_RUNGS, PER_DOUBLING = 1_024, 64
+
+
+def most_frequent(counts: DataFrame, size: int, key: str) -> list:
+    """The ``size`` rows of a written table with the largest ``n`` (1 or more), ties by the smallest ``key`` (a long).
+
+    Rows are counted by rungs of ``n``; all rungs from the top down that fit
+    are taken. The first that does not fit is divided further, by ``n`` and
+    then by leading bits of the key, while it holds over ``size`` rows. A
+    division brings a few thousand numbers to the driver and the end at most
+    twice ``size`` rows, however many partitions there are.
+    """
+    n, k = F.col("n"), F.col(key)
+    rung = F.when(n <= EXACT_RUNGS, n.cast("long")).otherwise(F.floor(F.log2(n) * PER_DOUBLING).cast("long") + EXACT_RUNGS)
+    levels = [-rung, *(F.shiftright(-n, bits) for bits in (28, 16, 4, 0)), *(F.shiftright(k, bits) for bits in (52, 40, 28, 16, 4, 0))]
+    taken, divided, rest = F.lit(False), F.lit(True), size
+    for level in levels:
+        held = {r["at"]: r["rows"] for r in counts.where(divided).groupBy(level.alias("at")).agg(F.count("*").alias("rows")).collect()}
+        last = None
+        for at in sorted(held):
+            if held[at] > rest:
+                break
+            last, rest = at, rest - held[at]
+        else:
+            taken, divided = taken | divided, F.lit(False)
+            break
+        if last is not None:
+            taken = taken | (divided & (level <= last))
+        divided = divided & (level == at)
+        if held[at] <= size:
+            break
+    return sorted(counts.where(taken | divided).collect(), key=lambda r: (-r["n"], r[key]))[:size]
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

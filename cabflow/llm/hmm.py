@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cabflow.llm.common import Words, cut, n_blocks, parcels, prepare, release, text_bytes, with_blocks
+from cabflow.llm.common import Words, cut, most_frequent, n_blocks, parcels, prepare, release, text_bytes, with_blocks
 
 STATES, OWN, CLASSES, ROUNDS = 6, 16_384, 2_048, 6
 #: Symbols of the first model: end, rare, the frequent words, the classes. In a block, its other words stand from FIRST_CLASS on.
@@ -122,7 +122,7 @@ class Counts:
 def training_counts(counts: DataFrame, texts: int) -> Counts:
     """Totals, the most frequent words and the class totals; nothing here grows with the corpus."""
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).first()
-    own = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(OWN).collect()
+    own = most_frequent(counts.where("n > 1"), OWN, "word")
     classes = counts.where("n > 1").groupBy(F.pmod("word", F.lit(CLASSES)).alias("c")).agg(F.sum("n").alias("n")).collect()
     tokens = int(total["n"] or 0) + texts
     return Counts(tokens, int(total["v"]) + (texts > 0), texts, int(total["once"] or 0), [(r["word"], r["n"]) for r in own], {r["c"]: r["n"] for r in classes})
@@ -437,7 +437,7 @@ def hmm_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", stat
     counts = cut(training.select("_text").mapInArrow(count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     known = training_counts(counts, training.count())
 
-    dealt = with_blocks(docs, doc_id, n_blocks(docs, "_text", BLOCK_BYTES)).select(*others, "held_out", "block", "_text")
+    dealt = with_blocks(docs, doc_id, "_text", n_blocks(docs, "_text", BLOCK_BYTES)).select(*others, "held_out", "block", "_text")
     words = dealt.select("block", "_text").groupBy("block").applyInArrow(block_words, "block int, word long")
     # A word occurs once per block here, so even the commonest has few rows.
     counted = cut(words.join(counts, "word", "left").select("block", "word", F.coalesce("n", F.lit(0)).alias("n")), "block-words")

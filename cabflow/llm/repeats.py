@@ -399,7 +399,7 @@ def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", de
     # A range of keys holds about RANGE_BYTES: one key of eight bytes for about fourteen bytes of text.
     ranges = max(1, blocks * block_bytes * 8 // 14 // RANGE_BYTES)
     keyed = docs.withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST))).withColumn("_bytes", F.col(text).cast("binary"))
-    keyed = with_blocks(keyed, doc_id, blocks).select(*others, "block", "_id", "_bytes")
+    keyed = with_blocks(keyed, doc_id, "_bytes", blocks).select(*others, "block", "_id", "_bytes")
     texts = keyed.select("block", "_id", "_bytes")
 
     def answered(sent: DataFrame, settle, schema: str, name: str) -> DataFrame:
