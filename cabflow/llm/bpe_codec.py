@@ -25,6 +25,7 @@ import hashlib
 import os
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from operator import itemgetter
 
 import pyarrow as pa
@@ -41,7 +42,7 @@ from cabflow.llm.lexicon import build, lexicon
 LEXICON_SIZE = 65_536
 _FIRST, _SECOND, _THIRD = itemgetter(0), itemgetter(1), itemgetter(2)
 #: Pieces whose ids a worker remembers, and pieces a task counts before it passes the counts on.
-REMEMBERED, COUNTED = 120_000, 200_000
+REMEMBERED, COUNTED = 300_000, 200_000
 #: Text bytes encoded together.
 SLICE_BYTES = 2 << 20
 
@@ -81,7 +82,8 @@ def compile_lexicon(pieces: list[str], tokenizer: str) -> bytes:
 class Codec:
     """Encoder and decoder of one Python worker.
 
-    Of a word it remembers the ids, and the ids as decimals and the decoded
+    Of a word it remembers the ids (their number where nobody asks for ids:
+    the garbage collector has no lists to walk then), and the ids as decimals and the decoded
     text as they appear in a digest; a piece is its words in a row.
     """
 
@@ -91,34 +93,38 @@ class Codec:
         self.want_ids = want_ids  # else a piece remembers only what its digests need
         self.decimal = {i: str(i).encode() for i in self.vocab.token}
         self.token = {i: t.encode() for i, t in self.vocab.token.items()}
-        self.words: dict[bytes | int, tuple[list[int], bytes, bytes]] = {}
-        self.pieces: dict[bytes, tuple[list[int], bytes, bytes]] = {}
+        self.words: dict[str | bytes | int, tuple[list[int] | int, bytes, bytes]] = {}
+        self.pieces: dict[bytes, tuple[list[int] | int, bytes, bytes]] = {}
 
-    def _entry(self, ids: list[int]) -> tuple[list[int], bytes, bytes]:
-        return ids, b" ".join(map(self.decimal.__getitem__, ids)), b" ".join(map(self.token.__getitem__, ids))
+    def _entry(self, ids: list[int]) -> tuple[list[int] | int, bytes, bytes]:
+        return ids if self.want_ids else len(ids), b" ".join(map(self.decimal.__getitem__, ids)), b" ".join(map(self.token.__getitem__, ids))
 
     def learn(self, texts: list[bytes]) -> None:
         """Encode the pieces of ``texts`` not known yet, looking their unknown words up together."""
-        if len(self.pieces) >= REMEMBERED:
-            self.pieces = {}
+        seen = set().union(*map(bytes.split, texts))
+        if len(self.pieces) >= REMEMBERED:  # what comes again is worth keeping
+            self.pieces = {piece: self.pieces[piece] for piece in seen & self.pieces.keys()}
+        new = list(seen - self.pieces.keys())
+        cut = self.vocab.cut_pieces(new)
+        used = set(chain.from_iterable(cut))
         if len(self.words) >= REMEMBERED:
-            self.words = {}
-        new = set().union(*map(bytes.split, texts)) - self.pieces.keys()
-        cut = {piece: self.vocab.words(piece.decode()) for piece in new}
-        unknown = {w for ws in cut.values() for w in ws} - self.words.keys()
-        words = [w for w in unknown if isinstance(w, bytes)]
-        index = self.lexicon.find(words).tolist()
-        unseen = [w for w, i in zip(words, index) if i < 0]
+            self.words = {w: self.words[w] for w in used & self.words.keys()}
+        unknown = used - self.words.keys()
+        words = [w for w in unknown if not isinstance(w, int)]
+        raw = [w.encode() if isinstance(w, str) else w for w in words]
+        index = self.lexicon.find(raw).tolist()
         self.words.update((w, self._entry(self.lexicon.ids(i))) for w, i in zip(words, index) if i >= 0)
-        self.words.update(zip(unseen, map(self._entry, self.vocab.merge_words(unseen))))
+        unseen = [k for k, i in enumerate(index) if i < 0]
+        merged = self.vocab.merge_words([raw[k] for k in unseen])
+        self.words.update((words[k], self._entry(ids)) for k, ids in zip(unseen, merged))
         self.words.update((w, self._entry([w])) for w in unknown if isinstance(w, int))
         known = self.words
-        for piece, ws in cut.items():
+        for piece, ws in zip(new, cut):
             if len(ws) == 1:
                 self.pieces[piece] = known[ws[0]]
             else:
                 parts = list(map(known.__getitem__, ws))
-                ids = [i for p in parts for i in p[0]] if self.want_ids else [0] * bool(parts)
+                ids = [i for p in parts for i in p[0]] if self.want_ids else len(parts)
                 self.pieces[piece] = (ids, b" ".join(map(_SECOND, parts)), b" ".join(map(_THIRD, parts)))
 
     def encode(self, text: bytes) -> list[int]:

@@ -89,6 +89,20 @@ class Vocabulary:
             return [w for part in self._special.split(text) if part for w in ([self.special[part]] if part in self.special else self._words(part))]
         return self._words(text)
 
+    def cut_pieces(self, pieces: list[bytes]) -> list[list[str | bytes | int]]:
+        """Pre-tokens of each piece (no white space inside); those of visible Latin-1 pieces as text, which is their bytes."""
+        texts = b"\n".join(pieces).decode().split("\n") if pieces else []
+        if self._pattern is None:
+            return list(map(self.words, texts))
+        joined = "\n".join(texts)
+        odd: set[str] = set()
+        if not _LATIN.fullmatch(joined) or self._special and self._special.search(joined):
+            odd = {t for t in texts if not _LATIN.fullmatch(t) or self._special and self._special.search(t)}
+        plain = [t for t in texts if t not in odd] if odd else texts
+        joined = "\n".join(plain)
+        found = map(self._pattern.findall, (joined.lower() if self._lower else joined).split("\n"))
+        return [self.words(t) if t in odd else next(found) for t in texts]
+
     def plain_words(self, piece: str) -> list[str]:
         """Pre-tokens as text where no special string is in the piece, else the piece itself."""
         if piece[1:].isalpha() or self._pattern is None or not _LATIN.fullmatch(piece) or self._special and self._special.search(piece):
