@@ -89,28 +89,31 @@ class Encoder:
         self.library = self.vocab.library
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        #: Packed ids of pieces and of the pre-tokens that they are cut into.
+        self.known: dict[str, bytes] = {}
 
     def _learn(self, pieces: set[str]) -> None:
-        if len(self.words) >= REMEMBERED:
-            self.words = {}
-        cut = {piece: self.vocab.plain_words(piece) for piece in pieces}
-        new = list({w for ws in cut.values() for w in ws} - self.words.keys())
-        found = self.library.encode_batch_fast(new, add_special_tokens=False)
-        self.words.update((w, np.array(x.ids, self.dtype).tobytes()) for w, x in zip(new, found))
-        words = self.words
-        self.pieces.update((piece, words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])) for piece, ws in cut.items())
+        known, plain_words = self.known, self.vocab.plain_words
+        cut = {piece: plain_words(piece) for piece in pieces if not piece[1:].isalpha()}
+        words = set(itertools.chain.from_iterable(cut.values()))
+        words.update(piece for piece in pieces if piece not in cut)
+        new = list(words - known.keys())
+        ids = [x.ids for x in self.library.encode_batch_fast(new, add_special_tokens=False)]
+        packed = np.fromiter(itertools.chain.from_iterable(ids), self.dtype).tobytes()
+        edges = [0, *itertools.accumulate(len(x) * self.width for x in ids)]
+        known.update((w, packed[a:b]) for w, a, b in zip(new, edges, edges[1:]))
+        known.update((piece, b"".join([known[w] for w in ws])) for piece, ws in cut.items() if len(ws) != 1 or ws[0] != piece)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
         cut = [spaced_pieces(t) for t in texts]
         out = []
         for some in parcels([len(c) for c in cut], 300_000):
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces = {}
-            self._learn(set().union(*cut[some]) - self.pieces.keys())
-            out += [b"".join(map(self.pieces.__getitem__, c)) for c in cut[some]]
+            seen = set().union(*cut[some])
+            if len(self.known) >= REMEMBERED:  # what comes again is worth keeping
+                self.known = {piece: self.known[piece] for piece in seen & self.known.keys()}
+            self._learn(seen - self.known.keys())
+            out += [b"".join(map(self.known.__getitem__, c)) for c in cut[some]]
         return out
 
 
