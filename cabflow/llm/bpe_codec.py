@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cabflow.llm.bpe_vocab import vocabulary
-from cabflow.llm.common import cut, most_frequent, prepare, release, scratch_path, slices, text_bytes
+from cabflow.llm.common import cut, most_frequent, prepare, release, scratch_path, slices, text_bytes, without_gc
 from cabflow.llm.files import put_bytes
 from cabflow.llm.lexicon import build, lexicon
 
@@ -99,17 +99,17 @@ class Codec:
     def _entry(self, ids: list[int]) -> tuple[list[int] | int, bytes, bytes]:
         return ids if self.want_ids else len(ids), b" ".join(map(self.decimal.__getitem__, ids)), b" ".join(map(self.token.__getitem__, ids))
 
-    def learn(self, texts: list[bytes]) -> None:
-        """Encode the pieces of ``texts`` not known yet, looking their unknown words up together."""
-        seen = set().union(*map(bytes.split, texts))
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Encode the pieces of ``texts`` (split) not known yet, looking their unknown words up together."""
+        seen = set().union(*texts)
         if len(self.pieces) >= REMEMBERED:  # what comes again is worth keeping
-            self.pieces = {piece: self.pieces[piece] for piece in seen & self.pieces.keys()}
-        new = list(seen - self.pieces.keys())
+            self.pieces = {piece: self.pieces[piece] for piece in seen.intersection(self.pieces)}
+        new = list(seen.difference(self.pieces))
         cut = self.vocab.cut_pieces(new)
         used = set(chain.from_iterable(cut))
         if len(self.words) >= REMEMBERED:
-            self.words = {w: self.words[w] for w in used & self.words.keys()}
-        unknown = used - self.words.keys()
+            self.words = {w: self.words[w] for w in used.intersection(self.words)}
+        unknown = used.difference(self.words)
         words = [w for w in unknown if not isinstance(w, int)]
         raw = [w.encode() if isinstance(w, str) else w for w in words]
         index = self.lexicon.find(raw).tolist()
@@ -127,12 +127,12 @@ class Codec:
                 ids = [i for p in parts for i in p[0]] if self.want_ids else len(parts)
                 self.pieces[piece] = (ids, b" ".join(map(_SECOND, parts)), b" ".join(map(_THIRD, parts)))
 
-    def encode(self, text: bytes) -> list[int]:
-        return [i for piece in text.split() for i in self.pieces[piece][0]]
+    def encode(self, text: list[bytes]) -> list[int]:
+        return [i for piece in text for i in self.pieces[piece][0]]
 
-    def digests(self, text: bytes) -> tuple[int, str, str]:
+    def digests(self, text: list[bytes]) -> tuple[int, str, str]:
         """Number of ids, sha256 of the ids as decimals, sha256 of the decoded text."""
-        found = list(filter(_FIRST, map(self.pieces.__getitem__, text.split())))
+        found = list(filter(_FIRST, map(self.pieces.__getitem__, text)))
         decimals = b" ".join(map(_SECOND, found))
         decoded = b" ".join(map(_THIRD, found))
         return decimals.count(b" ") + bool(decimals), hashlib.sha256(decimals).hexdigest(), hashlib.sha256(decoded).hexdigest()
@@ -178,8 +178,9 @@ def bpe_codec(docs: DataFrame, tokenizer: str, text: str = "text", results: tupl
         codec = _codec(tokenizer, SparkFiles.get(name), want_ids)
         for whole in batches:
             for batch in slices(whole, text, SLICE_BYTES):
-                texts = text_bytes(batch.column(text))
-                codec.learn(texts)
+                texts = [t.split() for t in text_bytes(batch.column(text))]
+                with without_gc():
+                    codec.learn(texts)
                 out: dict[str, pa.Array] = {}
                 if want_ids:
                     ids = [codec.encode(t) for t in texts]

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cabflow.llm.bpe_vocab import spaced_pieces, vocabulary
-from cabflow.llm.common import cut, parcels, prepare, scratch_path
+from cabflow.llm.common import cut, parcels, prepare, scratch_path, without_gc
 from cabflow.llm.files import locate, writing
 
 #: Documents a shard is meant to hold, and pieces and words whose ids a worker remembers.
@@ -97,7 +97,7 @@ class Encoder:
         cut = {piece: plain_words(piece) for piece in pieces if not piece[1:].isalpha()}
         words = set(itertools.chain.from_iterable(cut.values()))
         words.update(piece for piece in pieces if piece not in cut)
-        new = list(words - known.keys())
+        new = list(words.difference(known))
         ids = [x.ids for x in self.library.encode_batch_fast(new, add_special_tokens=False)]
         packed = np.fromiter(itertools.chain.from_iterable(ids), self.dtype).tobytes()
         edges = [0, *itertools.accumulate(len(x) * self.width for x in ids)]
@@ -111,8 +111,9 @@ class Encoder:
         for some in parcels([len(c) for c in cut], 300_000):
             seen = set().union(*cut[some])
             if len(self.known) >= REMEMBERED:  # what comes again is worth keeping
-                self.known = {piece: self.known[piece] for piece in seen & self.known.keys()}
-            self._learn(seen - self.known.keys())
+                self.known = {piece: self.known[piece] for piece in seen.intersection(self.known)}
+            with without_gc():
+                self._learn(seen.difference(self.known))
             out += [b"".join(map(self.known.__getitem__, c)) for c in cut[some]]
         return out
 
