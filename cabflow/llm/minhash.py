@@ -14,8 +14,9 @@ banded; texts that share a band are candidates, and J_P itself decides
 2. Buckets (band values shared by two nodes or more) are counted with
    partial aggregates. Candidate pairs are tested in three rounds, each over
    what the links found before leave in different components: node and
-   smallest bucket centre; node and every bucket centre; then the members of
-   buckets that are still divided, in cells of bounded size. There a task
+   smallest bucket centre; node and every bucket centre; then the other
+   members of buckets that are still divided, unless all of them share a
+   bucket of an earlier band, in cells of bounded size. There a task
    tests every pair from different components until links found join them, and
    passes on only those links, so no link that could join two components
    goes untested and a group of thousands yields no list of pairs.
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cabflow.llm.common import Words, cut, mix, prepare, slices, text_bytes
+from cabflow.llm.common import Words, cut, mix, prepare, release, slices, text_bytes
 from cabflow.llm.components import components
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 25, 5, 0.8
@@ -159,7 +160,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             elements = [element[a:b].tobytes() for a, b in zip(ends, ends[1:])]
             weights = [weight[a:b].astype(np.uint32).tobytes() for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(elements, pa.binary()), pa.array(weights, pa.binary())], names=["node", "elements", "weights"])
+            kept = [batch.column(c) for c in ("row", "a", "is_centre")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(elements, pa.binary()), pa.array(weights, pa.binary())], names=["node", "a", "is_centre", "elements", "weights"])
 
 
 def _verify(threshold: float):
@@ -224,50 +226,63 @@ def _join_cell(threshold: float):
 
 
 def near_duplicate_nodes(rows: DataFrame, bands: int, rows_per_band: int, threshold: float) -> DataFrame:
-    """(row, node, component) of every row with a word; ``rows`` is a written table (row, text)."""
+    """(row, node, component) of every row with a word, a written table; so is ``rows`` (row, text)."""
     signed = cut(rows.mapInArrow(_sign(bands, rows_per_band), "row long, k1 long, k2 long, bands array<long>"), "signatures")
     nodes = cut(signed.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.first("bands").alias("bands")), "nodes")
     banded = nodes.select("node", F.posexplode("bands").alias("band", "value"))
     buckets = banded.groupBy("band", "value").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
     shared = cut(banded.join(buckets.drop("n"), ["band", "value"]), "shared-bands")
 
-    candidates = shared.select(F.col("node").alias("row")).distinct()
-    sets = cut(rows.join(candidates, "row", "left_semi").select("row", "text").mapInArrow(_sets, "node long, elements binary, weights binary"), "shingle-sets")
+    # Each candidate with its smallest centre, so that its set goes straight there in the first round.
+    candidates = shared.groupBy(F.col("node").alias("row")).agg(F.min("centre").alias("a"), F.max(F.col("node") == F.col("centre")).alias("is_centre"))
+    sets = rows.join(candidates, "row").select("row", "text", "a", "is_centre")
+    sets = cut(sets.mapInArrow(_sets, "node long, a long, is_centre boolean, elements binary, weights binary"), "shingle-sets")
+    centre_sets = sets.where("is_centre").select(F.col("node").alias("a"), F.col("elements").alias("elements_a"), F.col("weights").alias("weights_a"))
+    member_sets = sets.select(F.col("node").alias("b"), F.col("elements").alias("elements_b"), F.col("weights").alias("weights_b"), F.col("a").alias("nearest"))
 
     def test(pairs: DataFrame, name: str) -> DataFrame:
-        for s in "ab":
-            side = sets.select(F.col("node").alias(s), F.col("elements").alias(f"elements_{s}"), F.col("weights").alias(f"weights_{s}"))
-            pairs = pairs.join(side, s)
-        return cut(pairs.mapInArrow(_verify(threshold), "a long, b long, linked boolean"), name)
+        """``pairs`` (a: a centre, b, and b's set) with the decision."""
+        return cut(pairs.join(centre_sets, "a").mapInArrow(_verify(threshold), "a long, b long, linked boolean"), name)
 
     def apart(known: DataFrame) -> DataFrame:
         """Bucket members with their present component."""
         return shared.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    first = shared.groupBy("node").agg(F.min("centre").alias("a")).where("a < node").select("a", F.col("node").alias("b"))
-    tested = test(first, "tested-1")
+    tested = test(member_sets.withColumnRenamed("nearest", "a").where("a < b"), "tested-1")
     known = cut(components(tested.where("linked")), "components-1")
 
     at = apart(known)
     centres = known.select(F.col("node").alias("centre"), F.col("component").alias("of"))
     second = at.join(centres, "centre", "left").where(F.coalesce("of", "centre") != F.col("component"))
     second = second.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    tested = tested.unionByName(test(second, "tested-2"))
+    tested = tested.unionByName(test(second.join(member_sets.drop("nearest"), "b"), "tested-2"))
     known = cut(components(tested.where("linked")), "components-2")
 
-    at = cut(apart(known).select("band", "value", "node", "component"), "bands-components")
+    # Every member has met its centre; what is left are the pairs of other members.
+    at = cut(apart(known).where("node != centre").select("band", "value", "node", "component"), "bands-components")
+    release(shared)
     sizes = at.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    divided = sizes.where("low < high").select("band", "value", F.ceil(F.col("n") / F.lit(CELL)).cast("int").alias("parts"))
-    cells = at.join(divided, ["band", "value"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    divided = at.join(sizes.where("low < high").select("band", "value", "n"), ["band", "value"]).join(nodes.select("node", "bands"), "node")
+    divided = cut(divided, "divided-buckets")
+    release(at)
+    # Members that all share a bucket of an earlier band as well have met there.
+    same = F.array(*(F.min(F.col("bands")[k]) == F.max(F.col("bands")[k]) for k in range(bands)))
+    new = divided.groupBy("band", "value").agg(same.alias("same")).where(~F.array_contains(F.slice("same", F.lit(1), F.col("band")), True))
+    cells = divided.join(new.select("band", "value"), ["band", "value"])
+    cells = cells.withColumn("parts", F.ceil(F.col("n") / F.lit(CELL)).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = cells.withColumn("first", F.least("part", "other")).withColumn("second", F.greatest("part", "other")).drop("parts", "other")
-    cells = cells.join(sets, "node").join(nodes.select("node", "bands"), "node")
-    links = cells.groupBy("band", "value", "first", "second").applyInArrow(_join_cell(threshold), "a long, b long")
-    links = cut(links, "cell-links").unionByName(tested.where("linked").select("a", "b"))
-    known = components(links)
+    cells = cells.withColumn("first", F.least("part", "other")).withColumn("second", F.greatest("part", "other")).drop("n", "parts", "other")
+    cells = cells.join(sets.select("node", "elements", "weights"), "node")
+    links = cut(cells.groupBy("band", "value", "first", "second").applyInArrow(_join_cell(threshold), "a long, b long"), "cell-links")
+    release(divided)
+    release(sets)
+    known = components(links.unionByName(tested.where("linked").select("a", "b")))
 
     member = signed.select("row", "k1", "k2").join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).select("row", "node")
-    return member.join(known, "node", "left").select("row", "node", F.coalesce("component", "node").alias("component"))
+    found = cut(member.join(known, "node", "left").select("row", "node", F.coalesce("component", "node").alias("component")), "row-components")
+    release(signed)
+    release(nodes)
+    return found
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, bands: int = BANDS, rows_per_band: int = ROWS) -> DataFrame:
@@ -276,7 +291,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     docs = docs.drop(*[c for c in (*RESULTS, "row") if c not in (text, doc_id)])
     rows = cut(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
     texts = rows.select("row", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    found = cut(near_duplicate_nodes(texts, bands, rows_per_band, threshold), "row-components")
+    found = near_duplicate_nodes(texts, bands, rows_per_band, threshold)
     ids = rows.select("row", F.col(doc_id).alias("id")).join(found, "row", "left").withColumn("component", F.coalesce("component", "row"))
     first = F.min(F.struct(F.col("id").isNull().alias("null"), F.col("id"), F.col("row"))).alias("first")
     classes = ids.groupBy("component").agg(first, F.count("*").alias("class_size"))
