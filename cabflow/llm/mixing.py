@@ -11,7 +11,8 @@ slot each source is less than one block away from its target share.
 Weights are rounded to multiples of ``1 / resolution`` (largest remainder,
 one at least), so the schedule repeats every ``resolution`` slots: one
 period, a table of exactly ``resolution`` rows, is scheduled once, and the
-slot of any block follows by arithmetic. The mix ends where the source
+slot of any block follows by arithmetic. Sources are counted first; where
+they are more than half the ``resolution``, it is twice their number. The mix ends where the source
 richest in data for its weight has been used once; the others start again
 (``copy`` 1, 2, ...), so every document is in the mix at least once.
 
@@ -21,7 +22,8 @@ the buckets' totals are added to them.
 
 Defined cases: a null source is the source ``''``; a null or empty text
 takes no bytes and lies in the block of the document before it; repeated
-rows are scheduled once per row; a source that ``weights`` lacks, or a weight
+rows are scheduled once per row; more than ``most_sources`` sources (the
+schedule's bound on the driver) are an error; a source that ``weights`` lacks, or a weight
 that is not positive, is an error; columns named like a result are replaced;
 an empty table gives an empty mix.
 """
@@ -38,6 +40,8 @@ from cabflow.llm.common import cut, prepare
 
 RESULTS = ("copy", "block", "slot", "release", "deadline")
 BLOCK_BYTES, BUCKET_ROWS, RESOLUTION, EXPONENT = 64 << 10, 20_000, 10_000, 0.7
+#: Sources that a schedule may have, and rows of it that are broadcast; a longer one is joined as Spark sees fit.
+MOST_SOURCES, SMALL = 1_000_000, 10_000
 
 
 def quotas(weights: dict[str, float], resolution: int) -> dict[str, int]:
@@ -45,17 +49,19 @@ def quotas(weights: dict[str, float], resolution: int) -> dict[str, int]:
     if len(weights) > resolution:
         raise ValueError(f"{len(weights)} sources need a resolution of as many slots")
     total = math.fsum(weights.values())
-    spare = resolution - len(weights)
     exact = {s: w / total * resolution for s, w in weights.items()}
     out = {s: max(1, math.floor(x)) for s, x in exact.items()}
     missing = resolution - sum(out.values())
     # Nearest to the next multiple first; if too many were raised to one, the largest give back.
     for s in sorted(exact, key=lambda s: (out[s] - exact[s], s))[: max(0, missing)]:
         out[s] += 1
-    while missing < 0 and spare >= 0:
-        s = max(out, key=lambda s: (out[s], s))
-        out[s] -= 1
-        missing += 1
+    names = sorted(out, reverse=True)
+    largest = [(-out[s], i) for i, s in enumerate(names)]
+    heapq.heapify(largest)
+    for _ in range(max(0, -missing)):
+        n, i = largest[0]
+        out[names[i]] -= 1
+        heapq.heapreplace(largest, (n + 1, i))
     return out
 
 
@@ -104,6 +110,7 @@ def mix_sources(
     seed: int = 0,
     bucket_rows: int = BUCKET_ROWS,
     ordered: bool = False,
+    most_sources: int = MOST_SOURCES,
 ) -> DataFrame:
     """The mix: ``docs`` (some several times) with ``copy``, ``block``, ``slot``, ``release``, ``deadline``.
 
@@ -124,10 +131,13 @@ def mix_sources(
     )
     rows = cut(rows, "mix-rows")
     places = cut(placed(rows.drop("_doc"), block_bytes, bucket_rows).select("_row", "_source", "_block"), "mix-places")
-    # One row per source; their number is bounded by the resolution.
-    found = rows.groupBy("_source").agg(F.sum("_size").alias("bytes")).join(places.groupBy("_source").agg((F.max("_block") + 1).alias("blocks")), "_source").collect()
-    if len(found) > resolution:
-        raise ValueError(f"{len(found)} sources need a resolution of as many slots")
+    totals = rows.groupBy("_source").agg(F.sum("_size").alias("bytes")).join(places.groupBy("_source").agg((F.max("_block") + 1).alias("blocks")), "_source")
+    totals = cut(totals, "mix-sources")
+    n_sources = totals.count()
+    if n_sources > most_sources:
+        raise ValueError(f"{n_sources} sources, more than {most_sources}")
+    resolution = max(resolution, 2 * n_sources)
+    found = totals.collect()
     have = {r["_source"]: r["blocks"] for r in found}
     if weights is None:
         weights = {r["_source"]: float(max(r["bytes"], 1)) ** exponent for r in found}
@@ -144,11 +154,12 @@ def mix_sources(
         "_source string, _j long, _slot long, _release long, _due long, _quota long, _blocks long, _copies long",
     )
     sources = schedule.select("_source", "_quota", "_blocks", "_copies").distinct()
-    # Both small sides hold at most ``resolution`` rows.
-    copies = places.join(F.broadcast(sources), "_source").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies"))))
+    # Both sides hold at most ``resolution`` rows.
+    small = F.broadcast if resolution <= SMALL else (lambda df: df)
+    copies = places.join(small(sources), "_source").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies"))))
     copies = copies.withColumn("block", F.col("copy") * F.col("_blocks") + F.col("_block"))
     copies = copies.withColumn("_j", F.col("block") % F.col("_quota")).withColumn("_base", F.floor(F.col("block") / F.col("_quota")).cast("long") * resolution)
-    timed = copies.join(F.broadcast(schedule.select("_source", "_j", "_slot", "_release", "_due")), ["_source", "_j"])
+    timed = copies.join(small(schedule.select("_source", "_j", "_slot", "_release", "_due")), ["_source", "_j"])
     timed = timed.select(
         "_row", "copy", "block",
         (F.col("_base") + F.col("_slot")).alias("slot"),

@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 from corpus_cases import SF, documents, plain
+from pyspark.sql import functions as F
 
 from cabflow.llm import hmm as H
 from cabflow.llm import mixing as X
@@ -113,6 +114,53 @@ def test_mix(spark):
         X.mix_sources(docs, {"hot": 1.0}).collect()
 
 
+def earliest_deadline_first(quota, resolution, slots):
+    """(source, block) of every slot, each block of each source scheduled on its own, without periods."""
+    at, out = collections.Counter(), []
+    for slot in range(slots):
+        released = [s for s in quota if at[s] * resolution // quota[s] <= slot]
+        s = min(released, key=lambda s: (-(-(at[s] + 1) * resolution // quota[s]), s))
+        out.append((s, at[s]))
+        at[s] += 1
+    return out
+
+
+def test_mix_equals_earliest_deadline_first_over_many_periods(spark):
+    rng = random.Random(4)
+    rows = [(i, "x" * rng.randint(0, 300), rng.choice(["hot"] * 8 + ["b", "c", None])) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    weights = {"hot": 0.5, "b": 0.27, "c": 0.16, "": 0.07}
+    got = X.mix_sources(docs, weights, block_bytes=500, resolution=20, bucket_rows=50).collect()
+    end = max(r.slot for r in got) + 1
+    quota = X.quotas(weights, 20)
+    assert end > 200 and sum(quota.values()) == 20
+    want = earliest_deadline_first(quota, 20, end)
+    assert all(want[r.slot] == (r.source or "", r.block) for r in got)
+    used = collections.Counter()
+    for slot, (s, _) in enumerate(want, 1):
+        used[s] += 1
+        # Less than one block from the target at every slot, in whole numbers.
+        assert all(abs(used[t] * 20 - slot * q) < 20 for t, q in quota.items())
+
+
+def test_more_sources_than_slots(spark):
+    """20,000 sources, one of them with a third of the rows: all are mixed, none loses a document."""
+    docs = spark.range(30_000).select(
+        F.col("id").alias("doc_id"), F.lit("some text of a page").alias("text"), F.when(F.col("id") < 20_000, F.concat(F.lit("s"), "id")).otherwise(F.lit("s7")).alias("source")
+    )
+    got = X.mix_sources(docs, block_bytes=1000)
+    assert got.agg(F.count_distinct("doc_id")).first()[0] == 30_000
+    assert got.where("slot < release or slot >= deadline").count() == 0
+    assert got.groupBy("slot").agg(F.count_distinct("source").alias("n")).where("n > 1").count() == 0
+    with pytest.raises(ValueError, match="more than 100"):
+        X.mix_sources(docs, most_sources=100)
+
+
+def test_quotas_give_back_from_the_largest():
+    quota = X.quotas({"hot": 1e6, "warm": 1e3, **{f"s{i}": 1e-6 for i in range(50)}}, 100)
+    assert sum(quota.values()) == 100 and min(quota.values()) == 1 and quota["hot"] == 49 and quota["warm"] == 1
+
+
 def toy_model(states=3, symbols=5, seed=0):
     rng = np.random.default_rng(seed)
     emit = rng.random((H.SYMBOLS, states)) * 1e-9
