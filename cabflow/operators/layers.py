@@ -123,6 +123,46 @@ def dedup(validated: DataFrame) -> DataFrame:
     return validated.withColumn("row_num", F.row_number().over(w)).filter(F.col("row_num") == 1).drop("row_num")
 
 
+#: Words of 64 marks each: 2**26 marks, 16 MB at most, however many trips there are.
+MARK_WORDS = 1 << 20
+
+
+def _mark(key: Column) -> tuple[Column, Column]:
+    """Word and bit that mark a dedup key, by its hash."""
+    return F.pmod(key, F.lit(MARK_WORDS)), F.shiftrightunsigned(key, 58).cast("int")
+
+
+def copy_marks(validated: DataFrame) -> DataFrame:
+    """Marks (word, bits) of the dedup keys that more than one trip has; only hashes of keys are shuffled."""
+    key = F.xxhash64(*DEDUP_KEYS).alias("key")
+    word, bit = _mark(F.col("key"))
+    shared = validated.select(key).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    mark = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    return shared.select(word.alias("word"), mark.alias("mark")).groupBy("word").agg(F.bit_or("mark").alias("bits"))
+
+
+def split_copies(validated: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(alone, marked): trips that surely have no copy, and the others, among them all that have one.
+
+    ``marks`` are those of ``validated``. Keys that share a mark by chance
+    are marked as well, so ``alone`` and ``dedup(marked)`` together are
+    exactly ``dedup(validated)``.
+    """
+    word, bit = _mark(F.xxhash64(*DEDUP_KEYS))
+    columns = [F.col(c) for c in validated.columns]
+    marked = validated.withColumns({"copy_word": word, "copy_bit": bit})
+    held = F.broadcast(marks.select(F.col("word").alias("copy_word"), F.col("bits").alias("copy_bits")))
+    found = marked.join(held, "copy_word", "left")
+    copied = F.coalesce(F.getbit("copy_bits", F.col("copy_bit")), F.lit(0)) == 1
+    return found.where(~copied).select(*columns), found.where(copied).select(*columns)
+
+
+def validated_base(enriched: DataFrame, **rules) -> DataFrame:
+    """Validated trips with only the base columns."""
+    derived = set(ENRICHED_COLUMNS)
+    return validate(enriched, **rules).select(*[c for c in enriched.columns if c not in derived])
+
+
 def deduped_base(enriched: DataFrame, **rules) -> DataFrame:
     """Validated, deduplicated trips with only the base columns.
 
@@ -131,9 +171,7 @@ def deduped_base(enriched: DataFrame, **rules) -> DataFrame:
     it needs) and derived again afterwards: every shuffle of the silver
     build carries the 20 base columns instead of 33.
     """
-    derived = set(ENRICHED_COLUMNS)
-    base_columns = [c for c in enriched.columns if c not in derived]
-    return dedup(validate(enriched, **rules).select(*base_columns))
+    return dedup(validated_base(enriched, **rules))
 
 
 def build_silver(enriched: DataFrame, **rules) -> DataFrame:

@@ -19,13 +19,13 @@ reader, so every scan names its months and prunes whole partitions.
 from __future__ import annotations
 
 import time
+import uuid
 import warnings
 from collections.abc import Callable, Collection
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from cabflow.functions import trips
 from cabflow.operators import audits, layers, marts, reports
 from cabflow.sources import read_raw
 from cabflow.sources import versions
@@ -130,17 +130,24 @@ def _build(
     def silver() -> None:
         lo, hi = _clip(FIRST_MONTH, "9999-12-01", months)
         base_df = read_layer(spark, paths["trips_base"], "trips_base", lo=lo, hi=hi)
-        # Shuffle base columns only; the derived ones are added after the
-        # exchange, right before the clustering sort and the write.
-        cluster = {"company_clean": trips.company_clean(), "payment_category": trips.payment_category()}
-        deduped = layers.deduped_base(layers.enrich(base_df))
+        validated = layers.validated_base(layers.enrich(base_df))
         # Counted while the layer is written: silver is searched for such trips only if it has any.
         unsummable.append(Observation())
 
         def derive(rows: DataFrame) -> DataFrame:
             return layers.enrich(rows).observe(unsummable[0], F.count_if(layers.unsummable()).alias("trips"))
 
-        write(deduped, "trips_silver", derive=derive, cluster=cluster, months=months)
+        # Only trips that may have a copy are shuffled (their base columns: the derived
+        # ones are added right before the sort and the write); the others stay in the
+        # ranges in which base lies. The marks are written first, so that no broadcast
+        # has to wait for them.
+        held = f"{root.rstrip('/')}/copies-{uuid.uuid4().hex}"
+        try:
+            layers.copy_marks(validated).write.parquet(held)
+            alone, marked = layers.split_copies(validated, spark.read.schema("word long, bits long").parquet(held))
+            write(layers.dedup(marked), "trips_silver", derive=derive, months=months, in_place=alone)
+        finally:
+            versions.Files(spark, root).delete(held)
 
     # Both read only the base layer: submit their jobs together.
     def profile_and_silver() -> None:

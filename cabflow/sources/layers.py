@@ -10,7 +10,9 @@
   bytes that are laid out, and ``unique_key`` comes last in the range, so a
   month, a firm or a taxi too large for one file is split. The marts and the
   audit profile, whose months are small, are dealt out by month instead,
-  which spares the sampling pass that ranges need.
+  which spares the sampling pass that ranges need. Rows read from a layer that
+  is laid out already may keep its ranges (``in_place``): they are sorted and
+  written by the tasks that read them.
 * ``read_layer`` — ``require_partition_filter``: reading a guarded layer
   without a month range raises; with one, only the folders of those months
   are listed, and the range is a ``PartitionFilters`` entry as well.
@@ -87,6 +89,7 @@ def write_layer(
     cluster: dict[str, Column] | None = None,
     months: tuple[str, str] | None = None,
     range_bytes: int = RANGE_BYTES,
+    in_place: DataFrame | None = None,
 ) -> versions.Manifest:
     """Write ``df`` as layer ``layer`` under ``path``, replacing it, or its ``months`` (lo, hi) only.
 
@@ -94,14 +97,19 @@ def write_layer(
     without rows in ``df`` goes. ``derive`` adds columns after the exchange,
     so columns that are functions of others are computed where they are
     written instead of being shuffled; ``cluster`` gives the expressions of
-    clustering keys that only ``derive`` adds. Returns the version put in
-    place; raises ``ConcurrentWrite`` if another one was meanwhile.
+    clustering keys that only ``derive`` adds. ``in_place`` are more rows, of
+    the columns of ``df``, that are not moved: their files hold the ranges of
+    the layer they are read from, and the rows of ``df``, the fewer, are dealt
+    out by month beside them. Returns the version put in place; raises
+    ``ConcurrentWrite`` if another one was meanwhile.
     """
     spark, path = df.sparkSession, path.rstrip("/")
     parent = versions.manifest(spark, path)
     month = partition_column(layer)
     wanted = CLUSTER_KEYS.get(layer, [])
-    if layer in RANGED_LAYERS:
+    if in_place is not None:
+        laid_out = in_place.unionByName(df.hint("rebalance", month))
+    elif layer in RANGED_LAYERS:
         ranges = [(cluster or {}).get(k, F.col(k)) for k in wanted if k in df.columns or k in (cluster or {})]
         tie = [F.col(TIE)] if TIE in df.columns else []
         laid_out = df.repartitionByRange(range_count(df, range_bytes), F.col(month), *ranges, *tie)
@@ -116,7 +124,8 @@ def write_layer(
     schema = _merged(parent.schema, schema) if stay else schema
     write = f"w{uuid.uuid4().hex}"
     try:
-        laid_out.sortWithinPartitions(month, *keys).write.partitionBy(month).parquet(f"{path}/{versions.WRITE}={write}")
+        rows = laid_out.sortWithinPartitions(month, *keys)
+        rows.write.option("compression", "zstd").partitionBy(month).parquet(f"{path}/{versions.WRITE}={write}")
         fresh = {m: write for m in versions.written_months(spark, path, write, month)}
         new = versions.Manifest((parent.version if parent else 0) + 1, month, schema, {**stay, **fresh})
         versions.commit(spark, path, parent, new)
