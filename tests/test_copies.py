@@ -1,4 +1,4 @@
-"""Silver without moving trips that have no copy."""
+"""Silver without moving trips that have no copy; scan tasks that fit a task's memory."""
 
 import datetime as dt
 
@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from cabflow.operators import layers
 from cabflow.plans.check import plan_text
+from cabflow.plans.queries import QUERIES
 from cabflow.sources.layers import read_layer, write_layer
 
+from conftest import SF_SMALL
+
 
 def trips(spark, n=3_000):
     """Trips of which every 20th has a copy, some without taxi or month change, some rows equal in all keys."""
@@ -53,3 +56,9 @@ def test_rows_in_place_are_written_beside_the_others(spark, scratch):
     write_layer(layers.dedup(marked), path, "trips_silver", in_place=alone)
     got = read_layer(spark, path, "trips_silver", lo="2013-01-01")
     assert sorted(map(repr, got.select(rows.columns).collect())) == sorted(map(repr, layers.dedup(rows).collect()))
+
+
+def test_trip_queries_read_in_pieces_that_fit_a_sort(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+    QUERIES["trips_silver"](spark, SF_SMALL)
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "24m"
