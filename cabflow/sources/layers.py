@@ -54,7 +54,8 @@ class PartitionFilterRequired(ValueError):
 
 
 #: Bytes of input (as Spark's statistics have them: files, mostly) that a range gets.
-RANGE_BYTES = 256 << 20
+#: The rows in memory are about six times as large, and a task sorts its range there.
+RANGE_BYTES = 48 << 20
 #: Statistics above this mean that Spark knows no size.
 NO_SIZE = 1 << 60
 #: A layer smaller than one range a core is spread over the cores in ranges of this size at least.

@@ -1,4 +1,4 @@
-"""Silver without moving trips that have no copy; scan tasks that fit a task's memory."""
+"""Silver without moving trips that have no copy; ranges and scan tasks that fit a task's memory."""
 
 import datetime as dt
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cabflow.operators import layers
 from cabflow.plans.check import plan_text
 from cabflow.plans.queries import QUERIES
-from cabflow.sources.layers import read_layer, write_layer
+from cabflow.sources.layers import range_count, read_layer, write_layer
 
 from conftest import SF_SMALL
 
@@ -58,6 +58,11 @@ def test_rows_in_place_are_written_beside_the_others(spark, scratch):
     assert sorted(map(repr, got.select(rows.columns).collect())) == sorted(map(repr, layers.dedup(rows).collect()))
 
 
+def test_ranges_follow_the_bytes_of_large_tables(spark):
+    """A range of 16 GB holds so much that a task can sort it in memory; the cores do not bound the ranges."""
+    assert range_count(spark.range(2_000_000_000)) >= 16_000_000_000 // (64 << 20)
+
+
 def test_trip_queries_read_in_pieces_that_fit_a_sort(spark):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
     QUERIES["trips_silver"](spark, SF_SMALL)
