@@ -9,7 +9,9 @@
    into memory.
 3. One narrow pass encodes: the words of pieces not seen lately are looked
    up in the transducer together; words it lacks are merged exactly by rank.
-   Ids do not depend on what the lexicon holds, only the speed does.
+   Ids do not depend on what the lexicon holds, only the speed does. Pieces,
+   words and ids stay flat arrays (``pieces.py``), as do the texts decoded
+   from the ids.
 
 Defined cases: a null or empty text (also one of white space only) has no
 ids and decodes to the empty text; special strings inside a text are their
@@ -23,47 +25,38 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
-from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cabflow.llm.bpe_vocab import vocabulary
-from cabflow.llm.common import cut, most_frequent, prepare, release, scratch_path, slices, text_bytes, without_gc
+from cabflow.llm.common import cut, gathered, most_frequent, prepare, release, scratch_path, slices
 from cabflow.llm.files import put_bytes
 from cabflow.llm.lexicon import build, lexicon
+from cabflow.llm.pieces import Ragged, Remembered, flat_bytes, strings, texts_of, white_pieces
 
 LEXICON_SIZE = 65_536
-_FIRST, _SECOND, _THIRD = itemgetter(0), itemgetter(1), itemgetter(2)
-#: Pieces whose ids a worker remembers, and pieces a task counts before it passes the counts on.
-REMEMBERED, COUNTED = 300_000, 200_000
-#: Text bytes encoded together.
-SLICE_BYTES = 2 << 20
+#: Pieces whose ids a worker remembers.
+REMEMBERED = 300_000
+#: Text bytes encoded together, and text bytes whose pieces are counted together.
+SLICE_BYTES, COUNT_BYTES = 8 << 20, 16 << 20
 
 
 def frequent_pieces(docs: DataFrame, text: str, size: int) -> list[str]:
     """The ``size`` most frequent white-space separated pieces of all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], names=["piece", "n"])
-            seen.clear()
-            return out
-
-        for batch in batches:
-            for value in text_bytes(batch.column(0)):
-                seen.update(value.split())
-                if len(seen) >= COUNTED:
-                    yield flush()
-        yield flush()
+        for table in gathered(batches, text, COUNT_BYTES):
+            pieces = pa.chunked_array([white_pieces(texts_of(c))[0] for c in table.column(0).chunks], pa.large_string())
+            found = pc.value_counts(pieces).filter(pc.not_equal(pc.unique(pieces), ""))
+            yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts")], names=["piece", "n"])
 
     counted = docs.select(text).mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     counted = cut(counted.select("piece", "n", F.xxhash64("piece").alias("key")), "pieces")
@@ -80,62 +73,63 @@ def compile_lexicon(pieces: list[str], tokenizer: str) -> bytes:
 
 
 class Codec:
-    """Encoder and decoder of one Python worker.
-
-    Of a word it remembers the ids (their number where nobody asks for ids:
-    the garbage collector has no lists to walk then), and the ids as decimals and the decoded
-    text as they appear in a digest; a piece is its words in a row.
-    """
+    """Encoder and decoder of one Python worker."""
 
-    def __init__(self, tokenizer: str, lexicon_file: str, want_ids: bool = True):
+    def __init__(self, tokenizer: str, lexicon_file: str):
         self.vocab = vocabulary(tokenizer)
         self.lexicon = lexicon(lexicon_file)
-        self.want_ids = want_ids  # else a piece remembers only what its digests need
-        self.decimal = {i: str(i).encode() for i in self.vocab.token}
-        self.token = {i: t.encode() for i, t in self.vocab.token.items()}
-        self.words: dict[str | bytes | int, tuple[list[int] | int, bytes, bytes]] = {}
-        self.pieces: dict[bytes, tuple[list[int] | int, bytes, bytes]] = {}
-
-    def _entry(self, ids: list[int]) -> tuple[list[int] | int, bytes, bytes]:
-        return ids if self.want_ids else len(ids), b" ".join(map(self.decimal.__getitem__, ids)), b" ".join(map(self.token.__getitem__, ids))
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """Encode the pieces of ``texts`` (split) not known yet, looking their unknown words up together."""
-        seen = set().union(*texts)
-        if len(self.pieces) >= REMEMBERED:  # what comes again is worth keeping
-            self.pieces = {piece: self.pieces[piece] for piece in seen.intersection(self.pieces)}
-        new = list(seen.difference(self.pieces))
-        cut = self.vocab.cut_pieces(new)
-        used = set(chain.from_iterable(cut))
-        if len(self.words) >= REMEMBERED:
-            self.words = {w: self.words[w] for w in used.intersection(self.words)}
-        unknown = used.difference(self.words)
-        words = [w for w in unknown if not isinstance(w, int)]
-        raw = [w.encode() if isinstance(w, str) else w for w in words]
-        index = self.lexicon.find(raw).tolist()
-        self.words.update((w, self._entry(self.lexicon.ids(i))) for w, i in zip(words, index) if i >= 0)
-        unseen = [k for k, i in enumerate(index) if i < 0]
-        merged = self.vocab.merge_words([raw[k] for k in unseen])
-        self.words.update((words[k], self._entry(ids)) for k, ids in zip(unseen, merged))
-        self.words.update((w, self._entry([w])) for w in unknown if isinstance(w, int))
-        known = self.words
-        for piece, ws in zip(new, cut):
-            if len(ws) == 1:
-                self.pieces[piece] = known[ws[0]]
-            else:
-                parts = list(map(known.__getitem__, ws))
-                ids = [i for p in parts for i in p[0]] if self.want_ids else len(parts)
-                self.pieces[piece] = (ids, b" ".join(map(_SECOND, parts)), b" ".join(map(_THIRD, parts)))
-
-    def encode(self, text: list[bytes]) -> list[int]:
-        return [i for piece in text for i in self.pieces[piece][0]]
-
-    def digests(self, text: list[bytes]) -> tuple[int, str, str]:
-        """Number of ids, sha256 of the ids as decimals, sha256 of the decoded text."""
-        found = list(filter(_FIRST, map(self.pieces.__getitem__, text)))
-        decimals = b" ".join(map(_SECOND, found))
-        decoded = b" ".join(map(_THIRD, found))
-        return decimals.count(b" ") + bool(decimals), hashlib.sha256(decimals).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        ids = range(max(self.vocab.token) + 1)
+        #: Spellings of the ids, each with a space behind it.
+        self.decimal = pa.array((f"{i} " for i in ids), pa.large_string())
+        self.token = pa.array((self.vocab.token.get(i, "") + " " for i in ids), pa.large_string())
+        self.pieces = Remembered(self._pieces, REMEMBERED)
+
+    def _words(self, words: pa.Array) -> Ragged:
+        """Ids of distinct words: from the transducer, or merged."""
+        index = self.lexicon.find_array(words)
+        lacking = index < 0
+        merged = self.vocab.merge_array(words.filter(pa.array(lacking)))
+        index[lacking] = np.arange(len(merged))
+        table = self.lexicon.table.take(index[~lacking])
+        index[~lacking] = len(merged) + np.arange(len(table))
+        return merged.followed_by(table).take(index)
+
+    def _pieces(self, pieces: pa.Array) -> Ragged:
+        """Ids of distinct pieces."""
+        plain, words, counts = self.vocab.cut_runs(pieces)
+        coded = words.dictionary_encode()
+        found = self._words(coded.dictionary).take(np.asarray(coded.indices, np.int64)).joined(counts)
+        # The others word by word; some of their words are special ids.
+        cut = self.vocab.cut_pieces(pieces.filter(pa.array(~plain)).cast(pa.large_binary()).to_pylist())
+        each = [w.encode() if isinstance(w, str) else w for w in chain.from_iterable(cut)]
+        words = list({w for w in each if isinstance(w, bytes)})
+        special = list({w for w in each if isinstance(w, int)})
+        table = self._words(pa.array(words, pa.large_binary())).followed_by(Ragged.of([[i] for i in special]))
+        place = {w: k for k, w in enumerate([*words, *special])}
+        others = table.take(np.array([place[w] for w in each], np.int64)).joined(np.array([len(ws) for ws in cut], np.int64))
+        back = np.argsort(np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain))))
+        return found.followed_by(others).take(back)
+
+    def encode(self, texts: pa.Array) -> Ragged:
+        """Ids of each text."""
+        pieces, counts = white_pieces(texts)
+        return self.pieces.of(pieces).joined(counts)
+
+    @staticmethod
+    def spelled(ids: Ragged, spelling: pa.Array) -> pa.Array:
+        """The spellings of each row's ids, joined by one space."""
+        raw, edges = flat_bytes(spelling.take(pa.array(ids.values)))
+        ends, some = edges[ids.starts + ids.sizes], ids.sizes > 0
+        kept = np.ones(len(raw), bool)
+        kept[ends[some] - 1] = False  # the space behind the last
+        return strings(raw[kept], np.concatenate(([0], ends - np.cumsum(some))))
+
+
+def digests(texts: pa.Array) -> pa.Array:
+    """Sha256 of each text."""
+    raw, edges = flat_bytes(texts)
+    ends = edges.tolist()
+    return pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:])], pa.string())
 
 
 def decode(ids: list[int], tokenizer: str) -> str:
@@ -145,8 +139,8 @@ def decode(ids: list[int], tokenizer: str) -> str:
 
 
 @functools.lru_cache(maxsize=2)
-def _codec(tokenizer: str, lexicon_file: str, want_ids: bool) -> Codec:
-    return Codec(tokenizer, lexicon_file, want_ids)
+def _codec(tokenizer: str, lexicon_file: str) -> Codec:
+    return Codec(tokenizer, lexicon_file)
 
 
 def ship_lexicon(docs: DataFrame, tokenizer: str, text: str, size: int) -> str:
@@ -174,21 +168,18 @@ def bpe_codec(docs: DataFrame, tokenizer: str, text: str = "text", results: tupl
     schema = T.StructType(docs.schema.fields + [T.StructField(c, types[c]) for c in results])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        want_ids = "ids" in results or "decoded" in results
-        codec = _codec(tokenizer, SparkFiles.get(name), want_ids)
+        codec = _codec(tokenizer, SparkFiles.get(name))
         for whole in batches:
             for batch in slices(whole, text, SLICE_BYTES):
-                texts = [t.split() for t in text_bytes(batch.column(text))]
-                with without_gc():
-                    codec.learn(texts)
-                out: dict[str, pa.Array] = {}
-                if want_ids:
-                    ids = [codec.encode(t) for t in texts]
-                    out["ids"] = pa.array(ids, pa.list_(pa.int32()))
-                    if "decoded" in results:
-                        out["decoded"] = pa.array([" ".join(codec.vocab.token[i] for i in x) for x in ids], pa.string())
-                n, of_ids, of_text = zip(*map(codec.digests, texts))
-                out |= {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_text, pa.string())}
+                ids = codec.encode(texts_of(batch.column(text)))
+                out: dict[str, pa.Array] = {"n_tokens": pa.array(ids.sizes)}
+                if "ids" in results:
+                    out["ids"] = pa.ListArray.from_arrays(ids.edges(), pa.array(ids.values, pa.int32()))
+                if "ids_sha256" in results:
+                    out["ids_sha256"] = digests(codec.spelled(ids, codec.decimal))
+                if "decoded" in results or "decoded_sha256" in results:
+                    decoded = codec.spelled(ids, codec.token)
+                    out |= {"decoded": decoded.cast(pa.string()), "decoded_sha256": digests(decoded)}
                 yield pa.RecordBatch.from_arrays([*batch.columns, *(out[c] for c in results)], names=[*batch.schema.names, *results])
 
     return docs.mapInArrow(run, schema)

@@ -14,16 +14,38 @@ import json
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
+from cabflow.llm.pieces import Ragged, flat_bytes, strings
+
 #: The public pattern of byte-level pre-tokenisers that bring no pattern of their own.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Another public pattern; it leaves white space out.
+WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 _SPACE_PAIR = re.compile(r" \s|\s ")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _LATIN = re.compile("[\t\n\r -~¡-ÿ]+")
-#: Words of more symbols are merged one by one with a heap, others many at a time.
-LONG_WORD = 32
+#: Words of more symbols are merged one by one with a heap, others many at a time: so many bytes.
+LONG_WORD, TOGETHER = 32, 1 << 18
+#: Kinds of characters: letters, numbers, visible others, the space, and what only the pattern itself can judge.
+_LETTER, _NUMBER, _OTHER, _SPACE, _ODD = range(5)
+
+
+def _kind(char: str) -> int:
+    if char == "'" or not _LATIN.fullmatch(char):
+        return _ODD
+    kinds = ((r"\p{L}", _LETTER), (r"\p{N}", _NUMBER), (r"[^\s]", _OTHER), (" ", _SPACE))
+    return next((kind for pattern, kind in kinds if regex.fullmatch(pattern, char)), _ODD)
+
+
+@functools.cache
+def _latin_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Kind of each visible Latin-1 character, and its lower form."""
+    chars = [chr(c) for c in range(256)]
+    return np.array([_kind(c) for c in chars], np.uint8), np.array([ord(c.lower()) for c in chars], np.uint16)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -57,6 +79,7 @@ class Vocabulary:
         char = {b: c for c, b in self._byte.items()}
         self.first = [ids[char[b]] for b in range(256)]
         self.last = [ids[char[b] + end] for b in range(256)]
+        self._first_of, self._last_of, self._made_of = (np.array(x, np.int32) for x in (self.first, self.last, self.made))
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         library = Tokenizer.from_file(path)
         self.library, self._normalise, self._cut = library, library.normalizer, library.pre_tokenizer
@@ -103,6 +126,43 @@ class Vocabulary:
         found = map(self._pattern.findall, (joined.lower() if self._lower else joined).split("\n"))
         return [self.words(t) if t in odd else next(found) for t in texts]
 
+    def cut_runs(self, pieces: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """Which of the pieces (``large_string``) are plain; the pre-tokens of these, lowered if the file says so, and how many each has.
+
+        Plain are visible Latin-1 pieces without apostrophes, special strings
+        and white space but one leading space, if the file's pattern is a
+        known one: their pre-tokens are runs of letters, numbers or others.
+        """
+        known = self._pattern is not None and self._pattern.pattern in (BYTE_LEVEL_PATTERN, WORD_PATTERN)
+        raw, edges = flat_bytes(pieces)
+        if not known or not len(raw):
+            return np.zeros(len(pieces), bool), pieces.slice(0, 0), np.zeros(0, np.int64)
+        plain = np.diff(edges) > 0
+        for special in self.special:
+            plain &= ~np.asarray(pc.match_substring(pieces, special))
+        kinds, lower = _latin_tables()
+        kind = np.where(raw < 128, kinds[raw], _ODD).astype(np.uint8)
+        lead = np.flatnonzero((raw == 0xC2) | (raw == 0xC3))
+        char = (raw[lead] & 3).astype(np.int64) << 6 | raw[lead + 1] & 63
+        kind[lead] = kind[lead + 1] = kinds[char]
+        first = np.zeros(len(raw), bool)
+        first[edges[:-1][plain]] = True
+        odd = kind == _ODD
+        odd |= (kind == _SPACE) & ~first if self._pattern.pattern == BYTE_LEVEL_PATTERN else kind == _SPACE
+        plain[np.searchsorted(edges, np.flatnonzero(odd), side="right") - 1] = False
+        if self._lower:
+            raw = np.where(raw < 128, lower[raw], raw).astype(np.uint8)
+            raw[lead + 1] = lower[char] & 63 | 128
+        begins = first.copy()
+        begins[1:] |= (kind[1:] != kind[:-1]) & (kind[:-1] != _SPACE)
+        if self._pattern.pattern == WORD_PATTERN:
+            begins |= (kind == _NUMBER) & (raw & 0xC0 != 0x80)
+        inside = np.repeat(plain, np.diff(edges))
+        raw, begins = raw[inside], begins[inside]
+        starts = np.flatnonzero(begins)
+        ends = np.cumsum(np.diff(edges)[plain])
+        return plain, strings(raw, np.append(starts, len(raw))), np.diff(np.searchsorted(starts, ends), prepend=0)
+
     def plain_words(self, piece: str) -> list[str]:
         """Pre-tokens as text where no special string is in the piece, else the piece itself."""
         if piece[1:].isalpha() or self._pattern is None or not _LATIN.fullmatch(piece) or self._special and self._special.search(piece):
@@ -151,59 +211,69 @@ class Vocabulary:
 
     def merge_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word: every word merges its lowest-rank pair, leftmost on ties, until none is left."""
-        out: list[list[int]] = [[]] * len(words)
-        short = [i for i, w in enumerate(words) if len(w) <= LONG_WORD]
-        for i in (i for i, w in enumerate(words) if len(w) > LONG_WORD):
-            out[i] = self.merge_long(words[i])
-        for at in range(0, len(short), 20_000):
-            part = sorted(short[at : at + 20_000], key=lambda i: len(words[i]))
-            self._merge_together(words, part, out)
-        return out
+        found = self.merge_array(pa.array(words, pa.large_binary()))
+        ids, ends = found.values.tolist(), (found.starts + found.sizes).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
-    def _merge_together(self, words: list[bytes], part: list[int], out: list[list[int]]) -> None:
-        n, width = len(part), len(words[part[-1]])
-        size = np.fromiter((len(words[i]) for i in part), np.int64, n)
-        raw = np.zeros((n, width + 1), np.uint8)
-        place = np.arange(width + 1) < size[:, None]
-        raw[place] = np.frombuffer(b"".join(words[i] for i in part), np.uint8)
-        symbol = np.where(place, np.array(self.first)[raw], -1)
-        rows = np.arange(n)
-        symbol[rows, size - 1] = np.array(self.last)[raw[rows, size - 1]]
+    def merge_array(self, words: pa.Array) -> Ragged:
+        """``merge_words`` over a ``large_string`` or ``large_binary`` array."""
+        raw, edges = flat_bytes(words)
+        sizes = np.diff(edges)
+        short = (sizes > 0) & (sizes <= LONG_WORD)
+        symbol = np.full(len(raw), -1, np.int32)
+        for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+            ids = self.merge_long(raw[edges[i] : edges[i + 1]].tobytes())
+            symbol[edges[i] : edges[i] + len(ids)] = ids
+        todo = np.flatnonzero(short)
+        todo = todo[np.argsort(sizes[todo], kind="stable")]  # words of one length end together
+        ends = np.cumsum(sizes[todo])
+        cuts = [*np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, TOGETHER), side="left").tolist(), len(todo)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if b > a:
+                self._merge_together(raw, edges[todo[a:b]], sizes[todo[a:b]], symbol)
+        kept = symbol >= 0
+        before = np.concatenate(([0], np.cumsum(kept)))
+        return Ragged(symbol[kept], np.diff(before[edges]))
+
+    def _merge_together(self, raw: np.ndarray, starts: np.ndarray, size: np.ndarray, out: np.ndarray) -> None:
+        """Merge the words at ``starts`` in ``raw``; each symbol left is put where its first byte stands."""
+        at = np.cumsum(size) - size
+        place = np.repeat(starts - at, size)
+        place += np.arange(len(place))
+        ends = at + size - 1
+        symbol = self._first_of[raw[place]]
+        symbol[ends] = self._last_of[raw[place[ends]]]
         none = len(self.made)
-        made = np.array(self.made, np.int64)
-        # Linked lists: place width (one past the longest word) stands for the end.
-        after = np.broadcast_to(np.arange(1, width + 2), (n, width + 1)).copy()
-        after[rows, size - 1] = width
-        before = np.broadcast_to(np.arange(-1, width), (n, width + 1)).copy()
-        rank = np.full((n, width + 1), none, np.int64)
-        i, j = np.nonzero(place[:, 1:])
-        rank[i, j] = self.pair_ranks(symbol[i, j], symbol[i, j + 1])
-        live = rows
-        while len(live):
-            at = rank[live].argmin(axis=1)
-            lowest = rank[live, at]
+        rank = np.full(len(symbol), none, np.int32)
+        pairs = np.ones(len(symbol), bool)
+        pairs[ends] = False
+        pairs = np.flatnonzero(pairs)
+        rank[pairs] = self.pair_ranks(symbol[pairs], symbol[pairs + 1])
+        while len(size):
+            lowest = np.minimum.reduceat(rank, at)
             go = lowest < none
-            live, at, lowest = live[go], at[go], lowest[go]
-            right = after[live, at]
-            beyond = after[live, right]
-            symbol[live, at] = made[lowest]
-            symbol[live, right] = -1
-            rank[live, right] = none
-            after[live, at] = beyond
-            rank[live, at] = none
-            k = np.flatnonzero(beyond < width)
-            before[live[k], beyond[k]] = at[k]
-            rank[live[k], at[k]] = self.pair_ranks(symbol[live[k], at[k]], symbol[live[k], beyond[k]])
-            left = before[live, at]
-            k = np.flatnonzero(left >= 0)
-            rank[live[k], left[k]] = self.pair_ranks(symbol[live[k], left[k]], symbol[live[k], at[k]])
-        kept = symbol >= 0
-        flat = symbol[kept].tolist()
-        ends = np.cumsum(kept.sum(axis=1)).tolist()
-        start = 0
-        for i, end in zip(part, ends):
-            out[i] = flat[start:end]
-            start = end
+            if not go.all():
+                on = np.repeat(go, size)
+                out[place[~on]] = symbol[~on]
+                symbol, rank, place = symbol[on], rank[on], place[on]
+                size, lowest = size[go], lowest[go]
+                at = np.cumsum(size) - size
+                if not len(size):
+                    break
+            hit = np.flatnonzero(rank == np.repeat(lowest, size))
+            if len(hit) > len(size):  # the leftmost of each word
+                hit = hit[np.searchsorted(hit, at)]
+            symbol[hit] = self._made_of[lowest]
+            on = np.ones(len(symbol), bool)
+            on[hit + 1] = False
+            symbol, rank, place = symbol[on], rank[on], place[on]
+            fewer = np.arange(len(size))
+            size, at, hit = size - 1, at - fewer, hit - fewer
+            rank[hit] = none
+            k = hit[hit < at + size - 1]
+            rank[k] = self.pair_ranks(symbol[k], symbol[k + 1])
+            k = hit[hit > at] - 1
+            rank[k] = self.pair_ranks(symbol[k], symbol[k + 1])
 
     def merge_long(self, word: bytes) -> list[int]:
         """Ids of one word, by a heap of pairs over a linked list."""

@@ -11,6 +11,9 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import pyarrow as pa
+
+from cabflow.llm.pieces import Ragged, flat_bytes
 
 _MAGIC = np.int64(0x314C584C43415446)
 
@@ -86,13 +89,16 @@ class Lexicon:
 
     def find(self, words: list[bytes]) -> np.ndarray:
         """Index of each word, -1 for those not in the lexicon."""
+        return self.find_array(pa.array(words, pa.large_binary()))
+
+    def find_array(self, words: pa.Array) -> np.ndarray:
+        """``find`` over a ``large_string`` or ``large_binary`` array."""
         n = len(words)
         index = np.zeros(n, np.int64)
         if not n or not len(self.keys):
             return np.full(n, -1, np.int64)
-        size = np.fromiter(map(len, words), np.int64, n)
-        start = np.concatenate(([0], np.cumsum(size)))[:-1]
-        raw = np.frombuffer(b"".join(words) + b"\0", np.uint8)
+        raw, edges = flat_bytes(words)
+        start, size = edges[:-1], np.diff(edges)
         state = np.full(n, self.root, np.int64)
         live = np.flatnonzero(size)
         dead = size == 0
@@ -110,6 +116,11 @@ class Lexicon:
         index[dead | (self.final[state] == 0)] = -1
         return index
 
+    @functools.cached_property
+    def table(self) -> Ragged:
+        """Ids of all words."""
+        return Ragged(self.flat.astype(np.int32), np.diff(self.offsets))
+
     def ids(self, index: int) -> list[int]:
         return self.flat[self.offsets[index] : self.offsets[index + 1]].tolist()
 

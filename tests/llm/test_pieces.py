@@ -1,0 +1,83 @@
+"""Flat pieces and their ids: as the library gives them, without objects by piece."""
+
+import random
+import sys
+
+import pyarrow as pa
+import pytest
+from corpus_cases import BYTE_BPE, TEXTS, WORD_BPE
+from tokenizers import Tokenizer
+
+from cabflow.llm import bpe_codec as B
+from cabflow.llm.pieces import Remembered, spaced_pieces, texts_of
+
+CHARS = [" ", " ", "\n", "\t", "\r", "\x1c", "\x85", "\xa0", " ", "　", "a", "B", "s", "é", "É", "ß", "µ", "½", "²", "×", "ª", "1", "23", "'", "'s", "'ll", ".", "-", "\xad", "́", "İ", "Σ", "ﬁ", "你", "\U0001f600", "the", "tion", "<|endoftext|>", "<|startoftext|>", "x" * 40, "\0"]
+
+
+def odd_texts():
+    rng = random.Random(11)
+    return ["".join(rng.choice(CHARS) for _ in range(rng.randint(0, 25))) for _ in range(3_000)] + [t or "" for _, t in TEXTS]
+
+
+@pytest.fixture
+def codec(tmp_path):
+    file = tmp_path / "lexicon.bin"
+    file.write_bytes(B.compile_lexicon(["the", "tion", "é", "don't"], WORD_BPE))
+    return B.Codec(WORD_BPE, str(file))
+
+
+def new_words(n):
+    rng = random.Random(12)
+    return pa.array([" ".join("".join(rng.choice("abcdeghinorst") for _ in range(9)) for _ in range(n // 20)) for _ in range(20)])
+
+
+def test_codec_ids_of_odd_texts(codec, monkeypatch):
+    library, texts = Tokenizer.from_file(WORD_BPE), odd_texts()
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    codec.pieces.limit = 500  # pieces are forgotten and come again
+    for at in range(0, len(texts), 300):
+        found = codec.encode(texts_of(pa.array(texts[at : at + 300])))
+        ends = (found.starts + found.sizes).tolist()
+        assert [found.values[a:b].tolist() for a, b in zip(found.starts.tolist(), ends)] == want[at : at + 300]
+        decoded = codec.spelled(found, codec.token).to_pylist()
+        assert decoded == [library.decode(ids, skip_special_tokens=False) for ids in want[at : at + 300]]
+
+
+def test_nothing_to_encode(codec):
+    for texts in ([], [None], ["", None, " \n "]):
+        found = codec.encode(texts_of(pa.array(texts, pa.string())))
+        assert found.sizes.tolist() == [0] * len(texts)
+        assert codec.spelled(found, codec.decimal).to_pylist() == [""] * len(texts)
+
+
+def test_codec_holds_no_objects_by_piece(codec):
+    texts = texts_of(new_words(60_000))
+    codec.encode(texts.slice(0, 1))
+    before = sys.getallocatedblocks()
+    found = codec.encode(texts)
+    assert len(codec.pieces.pieces) > 50_000 and len(found.values) > 100_000
+    assert sys.getallocatedblocks() - before < 5_000
+
+
+def test_pieces_tile_each_text():
+    texts = odd_texts()
+    for at in range(0, len(texts), 500):
+        some = texts[at : at + 500]
+        pieces, counts = spaced_pieces(texts_of(pa.array(some)))
+        rest = iter(pieces.to_pylist())
+        assert ["".join(next(rest) for _ in range(n)) for n in counts.tolist()] == some
+        assert next(rest, None) is None
+
+
+def test_remembered_pieces_are_not_encoded_again():
+    asked = []
+
+    def encode(pieces):
+        asked.extend(pieces.to_pylist())
+        return B.Ragged.of([[len(p), 1] for p in pieces.to_pylist()])
+
+    memory = Remembered(encode, 3)
+    for pieces in (["a", "bb", "a"], ["ccc", "bb"], ["bb", "dddd"], ["bb", "a"]):
+        found = memory.of(pa.array(pieces, pa.large_string()))
+        assert found.values.tolist() == [i for p in pieces for i in (len(p), 1)]
+    assert asked == ["a", "bb", "ccc", "dddd", "a"]  # at four pieces those of the last slice stay
