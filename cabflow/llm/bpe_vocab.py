@@ -163,12 +163,6 @@ class Vocabulary:
         ends = np.cumsum(np.diff(edges)[plain])
         return plain, strings(raw, np.append(starts, len(raw))), np.diff(np.searchsorted(starts, ends), prepend=0)
 
-    def plain_words(self, piece: str) -> list[str]:
-        """Pre-tokens as text where no special string is in the piece, else the piece itself."""
-        if piece[1:].isalpha() or self._pattern is None or not _LATIN.fullmatch(piece) or self._special and self._special.search(piece):
-            return [piece]
-        return self._pattern.findall(piece)
-
     def _words(self, part: str) -> list[bytes]:
         if self._pattern is not None and _LATIN.fullmatch(part):
             return [w.encode() for w in self._pattern.findall(part.lower() if self._lower else part)]

@@ -45,13 +45,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from cabflow.llm.bpe_vocab import spaced_pieces, vocabulary
-from cabflow.llm.common import cut, parcels, prepare, scratch_path, without_gc
+from cabflow.llm.bpe_vocab import byte_alphabet, vocabulary
+from cabflow.llm.common import cut, gathered, prepare, scratch_path
 from cabflow.llm.files import locate, writing
+from cabflow.llm.pieces import NONE, Ragged, Remembered, flat_bytes, spaced_pieces, texts_of
 
-#: Documents a shard is meant to hold, and pieces and words whose ids a worker remembers.
-SHARD_ROWS, REMEMBERED = 8192, 300_000
+#: Documents a shard is meant to hold, pieces whose ids a worker remembers, pre-tokens handed to the library together.
+SHARD_ROWS, REMEMBERED, WORDS = 8192, 1_000_000, 2_000
+#: Text bytes encoded together.
+SLICE_BYTES = 16 << 20
 
 _HEAD, _BODY, _NULL_ID = "<Q", "<qB", 128
 
@@ -77,45 +81,56 @@ def unframe(record: bytes) -> bytes:
 
 
 class Encoder:
-    """Ids by the ``tokenizers`` library, remembered by piece and word.
+    """Ids by the ``tokenizers`` library, remembered by piece.
 
     A piece is cut into its pre-tokens, each of which the library encodes
-    alone as it does inside a text; unknown ones go to it many at a time.
+    alone as it does inside a text. Plain pre-tokens go to the library's
+    model many at a time, in its byte-level alphabet; pieces that only the
+    library can cut go to it as they are.
     """
 
     def __init__(self, tokenizer: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallelism
         self.vocab = vocabulary(tokenizer)
         self.library = self.vocab.library
+        self.model = Tokenizer(self.library.model)  # takes pre-tokens as they are
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        #: Packed ids of pieces and of the pre-tokens that they are cut into.
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, pieces: set[str]) -> None:
-        known, plain_words = self.known, self.vocab.plain_words
-        cut = {piece: plain_words(piece) for piece in pieces if not piece[1:].isalpha()}
-        words = set(itertools.chain.from_iterable(cut.values()))
-        words.update(piece for piece in pieces if piece not in cut)
-        new = list(words.difference(known))
-        ids = [x.ids for x in self.library.encode_batch_fast(new, add_special_tokens=False)]
-        packed = np.fromiter(itertools.chain.from_iterable(ids), self.dtype).tobytes()
-        edges = [0, *itertools.accumulate(len(x) * self.width for x in ids)]
-        known.update((w, packed[a:b]) for w, a, b in zip(new, edges, edges[1:]))
-        known.update((piece, b"".join([known[w] for w in ws])) for piece, ws in cut.items() if len(ws) != 1 or ws[0] != piece)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self.alphabet = np.zeros(256, "<u4")
+        for char, byte in byte_alphabet().items():
+            self.alphabet[byte] = ord(char)
+        self.pieces = Remembered(self._pieces, REMEMBERED)
+
+    def _words(self, words: pa.Array) -> Ragged:
+        """Ids of distinct pre-tokens."""
+        raw, edges = flat_bytes(words)
+        text, ends = self.alphabet[raw].tobytes().decode("utf-32-le"), edges.tolist()
+        spelled = [text[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        values, sizes = [], []
+        for at in range(0, len(spelled), WORDS):
+            some = spelled[at : at + WORDS]
+            found = self.model.encode_batch([some], is_pretokenized=True, add_special_tokens=False)[0]
+            values.append(np.array(found.ids, np.int32))
+            sizes.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(some)))
+        return Ragged(np.concatenate(values), np.concatenate(sizes)) if values else NONE
+
+    def _pieces(self, pieces: pa.Array) -> Ragged:
+        """Ids of distinct pieces."""
+        plain, words, counts = self.vocab.cut_runs(pieces)
+        coded = words.dictionary_encode()
+        found = self._words(coded.dictionary).take(np.asarray(coded.indices, np.int64)).joined(counts)
+        others = pieces.filter(pa.array(~plain)).to_pylist()
+        others = Ragged.of([x.ids for x in self.library.encode_batch_fast(others, add_special_tokens=False)])
+        back = np.argsort(np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain))))
+        return found.followed_by(others).take(back)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """Packed ids of each text."""
-        cut = [spaced_pieces(t) for t in texts]
-        out = []
-        for some in parcels([len(c) for c in cut], 300_000):
-            seen = set().union(*cut[some])
-            if len(self.known) >= REMEMBERED:  # what comes again is worth keeping
-                self.known = {piece: self.known[piece] for piece in seen.intersection(self.known)}
-            with without_gc():
-                self._learn(seen.difference(self.known))
-            out += [b"".join(map(self.known.__getitem__, c)) for c in cut[some]]
-        return out
+        pieces, counts = spaced_pieces(texts)
+        ids = self.pieces.of(pieces).joined(counts)
+        packed = ids.values.astype(self.dtype).tobytes()
+        edges = (np.append(ids.starts, len(ids.values)) * self.width).tolist()
+        return [packed[a:b] for a, b in zip(edges[:-1], edges[1:])]
 
 
 @functools.lru_cache(maxsize=2)
@@ -140,8 +155,8 @@ def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int, text:
         if first is None:
             return
         with writing(f"{path}/{shard}") as out:
-            for batch in itertools.chain([first], batches):
-                found = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
+            for batch in gathered(itertools.chain([first], batches), "text", SLICE_BYTES):
+                found = [x for c in batch.column(1).chunks for x in encoder.encode(texts_of(c))]
                 for doc, ids in zip(batch.column(0).to_pylist(), found):
                     if doc is None and not null_ids:
                         raise ValueError(f"{key} is null")

@@ -3,6 +3,7 @@
 import random
 import sys
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from corpus_cases import BYTE_BPE, TEXTS, WORD_BPE
@@ -10,6 +11,7 @@ from tokenizers import Tokenizer
 
 from cabflow.llm import bpe_codec as B
 from cabflow.llm.pieces import Remembered, spaced_pieces, texts_of
+from cabflow.llm.records import Encoder
 
 CHARS = [" ", " ", "\n", "\t", "\r", "\x1c", "\x85", "\xa0", " ", "　", "a", "B", "s", "é", "É", "ß", "µ", "½", "²", "×", "ª", "1", "23", "'", "'s", "'ll", ".", "-", "\xad", "́", "İ", "Σ", "ﬁ", "你", "\U0001f600", "the", "tion", "<|endoftext|>", "<|startoftext|>", "x" * 40, "\0"]
 
@@ -81,3 +83,21 @@ def test_remembered_pieces_are_not_encoded_again():
         found = memory.of(pa.array(pieces, pa.large_string()))
         assert found.values.tolist() == [i for p in pieces for i in (len(p), 1)]
     assert asked == ["a", "bb", "ccc", "dddd", "a"]  # at four pieces those of the last slice stay
+
+
+def test_record_ids_of_odd_texts():
+    library, texts = Tokenizer.from_file(BYTE_BPE), odd_texts()
+    encoder = Encoder(BYTE_BPE)
+    encoder.pieces.limit = 500
+    for at in range(0, len(texts), 300):
+        found = encoder.encode(texts_of(pa.array(texts[at : at + 300])))
+        ids = [library.encode(t, add_special_tokens=False).ids for t in texts[at : at + 300]]
+        assert [np.frombuffer(x, encoder.dtype).tolist() for x in found] == ids
+
+
+def test_encoder_holds_no_objects_by_piece():
+    encoder, texts = Encoder(BYTE_BPE), texts_of(new_words(60_000))
+    encoder.encode(texts.slice(0, 1))
+    before = sys.getallocatedblocks()
+    assert len(encoder.encode(texts)) == 20 and len(encoder.pieces.pieces) > 50_000
+    assert sys.getallocatedblocks() - before < 5_000
