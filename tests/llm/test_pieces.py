@@ -1,5 +1,6 @@
 """Flat pieces and their ids: as the library gives them, without objects by piece."""
 
+import hashlib
 import random
 import sys
 
@@ -101,3 +102,18 @@ def test_encoder_holds_no_objects_by_piece():
     before = sys.getallocatedblocks()
     assert len(encoder.encode(texts)) == 20 and len(encoder.pieces.pieces) > 50_000
     assert sys.getallocatedblocks() - before < 5_000
+
+
+def test_ids_of_the_pipeline_cost_few_objects(codec):
+    """What the pipeline's last stage asks for: lists of ids and decoded digests of a slice, without a list by piece."""
+    texts = texts_of(new_words(60_000))
+    codec.encode(texts.slice(0, 1))
+    before = sys.getallocatedblocks()
+    ids = codec.encode(texts)
+    lists = pa.ListArray.from_arrays(ids.edges(), pa.array(ids.values, pa.int32()))
+    decoded = B.digests(codec.spelled(ids, codec.token))
+    assert sys.getallocatedblocks() - before < 5_000
+    library = Tokenizer.from_file(WORD_BPE)
+    for text, found, digest in zip(texts.to_pylist(), lists.to_pylist(), decoded.to_pylist()):
+        assert found == library.encode(text, add_special_tokens=False).ids
+        assert digest == hashlib.sha256(library.decode(found, skip_special_tokens=False).encode()).hexdigest()
