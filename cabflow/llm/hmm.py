@@ -157,7 +157,7 @@ def to_symbols(known: Counts, schema: pa.Schema):
             out["n_known"] += (sums[0].astype(np.int64) + int(known.texts > 0)).tolist()
             out["base_score"] += (sums[1] + end_base).tolist()
         rest = [None] * (table.num_rows - 1)
-        out |= {"_words": [word[local].tobytes(), *rest], "_seen": [n[local].tobytes(), *rest]}
+        out |= {"_words": [packed_words(word[local]), *rest], "_seen": [planes(n[local], "<i8"), *rest]}
         kept = table.drop_columns(["_text"])
         return pa.table([*kept.columns, *(pa.array(out[c], schema.field(c).type) for c in out)], schema=schema)
 
@@ -292,9 +292,23 @@ def log_likelihood(model: Model, symbols: np.ndarray, starts: np.ndarray, sizes:
     return out
 
 
-def planes(symbols: np.ndarray) -> bytes:
-    """32-bit symbols byte by byte, all lowest ones first: the upper bytes are mostly zero and compress well."""
-    return symbols.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def planes(values: np.ndarray, kind: str = "<u4") -> bytes:
+    """Numbers byte by byte, all lowest ones first: the upper bytes are mostly zero and compress well."""
+    return np.ascontiguousarray(values, kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def packed_words(words: np.ndarray) -> bytes:
+    """Sorted word hashes as differences."""
+    words = words.view(np.uint64)
+    return planes(words - np.concatenate((np.zeros(1, np.uint64), words[:-1]))[: len(words)], "<u8")
+
+
+def unpacked_words(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data, "<u8"), dtype=np.uint64).view(np.int64)
 
 
 def _flat(column: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -307,7 +321,7 @@ def _flat(column: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _own_words(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The other words of a block and how often training saw them, from the block's rows."""
     words, seen = (next(x for x in table.column(c).to_pylist() if x is not None) for c in ("_words", "_seen"))
-    return np.frombuffer(words, np.int64), np.frombuffer(seen, np.int64)
+    return unpacked_words(words), from_planes(seen, "<i8")
 
 
 def _received(messages: pa.Table | None, words: int, states: int) -> np.ndarray:
@@ -315,12 +329,18 @@ def _received(messages: pa.Table | None, words: int, states: int) -> np.ndarray:
     if messages is None or not messages.num_rows:
         return np.zeros((words, states))
     rows = sorted(zip(messages.column("range").to_pylist(), messages.column("units").to_pylist()))
-    return np.frombuffer(b"".join(u for _, u in rows), np.float32).reshape(words, states).astype(float)
+    units = np.concatenate([unpacked(u, states) for _, u in rows])
+    return (units / UNIT).astype(np.float32).astype(float)
+
+
+def packed(units: np.ndarray) -> bytes:
+    """Counts in units (row: word), state by state, as 32-bit integers where they fit; the first byte is their width."""
+    kind = "<i4" if units.max(initial=0) < 1 << 31 else "<i8"
+    return bytes([np.dtype(kind).itemsize]) + planes(units.T.ravel(), kind)
 
 
-def _packed(units: np.ndarray) -> bytes:
-    """Counts in units, as 32-bit integers where they fit."""
-    return units.astype(np.int32 if units.max(initial=0) < 1 << 31 else np.int64).tobytes()
+def unpacked(data: bytes, states: int) -> np.ndarray:
+    return from_planes(data[1:], f"<i{data[0]}").reshape(states, -1).T.astype(np.int64)
 
 
 def _counts_schema(states: int) -> str:
@@ -354,8 +374,8 @@ def expected_counts(shared, states: int, ranges: int, schema: pa.Schema):
         columns = [
             [block] * (n + m),
             [r for r, *_ in cuts] + [None] * m,
-            [words[a:b].tobytes() for _, a, b in cuts] + [None] * m,
-            [_packed(others[a:b]) for _, a, b in cuts] + [None] * m,
+            [packed_words(words[a:b]) for _, a, b in cuts] + [None] * m,
+            [packed(others[a:b]) for _, a, b in cuts] + [None] * m,
             [None] * n + keys[used].tolist(),
             *([None] * n + rows[used, z].tolist() for z in range(states)),
         ]
@@ -366,17 +386,17 @@ def expected_counts(shared, states: int, ranges: int, schema: pa.Schema):
 
 def add_range(table: pa.Table) -> pa.Table:
     """What the blocks sent to one range -> for each of them the sums of its words."""
-    words = [np.frombuffer(x, np.int64) for x in table.column("words").to_pylist()]
+    words = [unpacked_words(x) for x in table.column("words").to_pylist()]
     states = table.column("states")[0].as_py()
-    units = np.concatenate([np.frombuffer(x, np.int32 if len(x) == 4 * states * len(w) else np.int64).reshape(-1, states).astype(np.int64) for x, w in zip(table.column("units").to_pylist(), words)])
+    units = np.concatenate([unpacked(x, states) for x in table.column("units").to_pylist()])
     word = np.concatenate(words)
     order = np.argsort(word, kind="stable")
     first = np.flatnonzero(np.concatenate(([True], np.diff(word[order]) != 0)))
     sums = np.add.reduceat(units[order], first, axis=0)
-    back = np.empty(units.shape, np.float32)
-    back[order] = np.repeat(sums / UNIT, np.diff(np.append(first, len(word))), axis=0)
+    back = np.empty_like(units)
+    back[order] = np.repeat(sums, np.diff(np.append(first, len(word))), axis=0)
     ends = np.cumsum([len(w) for w in words])
-    sent = [back[e - len(w) : e].tobytes() for w, e in zip(words, ends)]
+    sent = [packed(back[e - len(w) : e]) for w, e in zip(words, ends)]
     return pa.table([table.column("block"), table.column("range"), pa.array(sent, pa.binary())], names=["block", "range", "units"])
 
 
@@ -387,11 +407,11 @@ def messages_of(expected: DataFrame, states: int) -> DataFrame:
 
 
 def train(coded: DataFrame, known: Counts, states: int, rounds: int, ranges: int) -> tuple[Emissions, DataFrame | None]:
-    """Baum-Welch over the training rows of ``coded``: the model, and the table of the other words' expected counts."""
+    """Baum-Welch over the training rows of ``coded``: the model, and the table of the sums that each block needs of its other words' expected counts."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = coded.sparkSession
-    model, expected = Emissions.first(known, states), None
+    model, messages = Emissions.first(known, states), None
     columns = [f"s{z}" for z in range(states)]
     schema = _counts_schema(states)
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))
@@ -401,21 +421,23 @@ def train(coded: DataFrame, known: Counts, states: int, rounds: int, ranges: int
         # Of fixed size: FIRST_CLASS rows of ``states`` numbers (SYMBOLS rows in the first round).
         shared = spark.sparkContext.broadcast(model)
         run = expected_counts(shared, states, ranges, arrow)
-        if expected is None:
+        if messages is None:
             found = texts.groupBy("block").applyInArrow(lambda t: run(t), schema)
         else:
-            found = texts.groupBy("block").cogroup(messages_of(expected, states).groupBy("block")).applyInArrow(run, schema)
-        found = cut(found, "expected-counts")
-        if expected is not None:
-            release(expected)
-        expected = found
+            found = texts.groupBy("block").cogroup(messages.groupBy("block")).applyInArrow(run, schema)
+        expected = cut(found, "expected-counts")
+        if messages is not None:
+            release(messages)
         added = {r[0]: np.array(r[1:], float) / UNIT for r in expected.where("key is not null").groupBy("key").agg(*(F.sum(c).alias(c) for c in columns)).collect()}
         zero = np.zeros(states)
         head = np.array([added.get(k, zero) for k in range(FIRST_CLASS)])
         move = np.array([added.get(-4 - z, zero) for z in range(states)])
         model = Emissions.estimated(known, added.get(-1, zero), move, head, added.get(-2, zero), added.get(-3, zero))
         shared.unpersist()
-    return model, expected
+        # Written, so that the next round finds neither these counts nor their shuffle on the disks.
+        messages = cut(messages_of(expected, states), "messages")
+        release(expected)
+    return model, messages
 
 
 def hmm_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", states: int = STATES, rounds: int = ROUNDS, folds: int = 10) -> DataFrame:
@@ -453,25 +475,25 @@ def hmm_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", stat
     ranges = max(1, -(-counted.where("n > 0").count() * 8 * (states + 1) // RANGE_BYTES))
     release(counted)
     release(counts)
-    model, expected = train(coded, known, states, rounds, ranges)
+    model, messages = train(coded, known, states, rounds, ranges)
     shared = spark.sparkContext.broadcast(model)
     fields = [f for f in schema.fields if f.name not in ("block", "symbols", "_words", "_seen")] + [T.StructField("score", T.DoubleType())]
     scored_schema = to_arrow_schema(T.StructType(fields))
 
-    def score(table: pa.Table, messages: pa.Table | None = None) -> pa.Table:
+    def score(table: pa.Table, received: pa.Table | None = None) -> pa.Table:
         if not table.num_rows:
             return scored_schema.empty_table()
         words, seen = _own_words(table)
-        of_block = shared.value.of_block(words, seen, _received(messages, len(words), states))
+        of_block = shared.value.of_block(words, seen, _received(received, len(words), states))
         scores = log_likelihood(of_block, *_flat(table.column("symbols").to_pylist()))
         kept = [table.column(f.name) for f in fields[:-1]]
         return pa.table([*kept, pa.array(scores, pa.float64())], schema=scored_schema)
 
     blocks = coded.groupBy("block")
-    if expected is None:
+    if messages is None:
         scored = blocks.applyInArrow(lambda t: score(t), T.StructType(fields))
     else:
-        scored = blocks.cogroup(messages_of(expected, states).groupBy("block")).applyInArrow(score, T.StructType(fields))
+        scored = blocks.cogroup(messages.groupBy("block")).applyInArrow(score, T.StructType(fields))
     scored = scored.withColumn("train_tokens", F.lit(known.tokens).cast("long"))
     return scored.select(*others, *RESULTS)
 

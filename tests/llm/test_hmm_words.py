@@ -94,3 +94,17 @@ def test_segments_do_not_change_the_counts(monkeypatch):
     H.forward_backward(model, flat, np.cumsum(sizes) - sizes, sizes, counts)
     for k in range(3):
         assert counts[k] == pytest.approx(sum(w[k + 1] for w in want))
+
+
+def test_counts_travel_in_few_bytes():
+    """Rare words' counts and hashes: byte planes of small numbers, whatever the values come back."""
+    rng = np.random.default_rng(4)
+    words = np.sort(rng.integers(-(1 << 63), 1 << 63, 50_000))
+    units = rng.integers(0, 1 << 18, (50_000, 6))
+    assert (H.unpacked_words(H.packed_words(words)) == words).all() and (H.unpacked(H.packed(units), 6) == units).all()
+    assert len(zlib.compress(H.packed_words(words), 1)) < 6.6 * len(words)
+    assert len(zlib.compress(H.packed(units), 1)) < 2.6 * units.size
+    for n in (0, 1):
+        assert (H.unpacked_words(H.packed_words(words[:n])) == words[:n]).all() and H.unpacked(H.packed(units[:n]), 6).shape == (n, 6)
+    units[7, 2] = 1 << 40
+    assert (H.unpacked(H.packed(units), 6) == units).all()
