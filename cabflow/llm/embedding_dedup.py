@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cabflow.llm.common import cut, prepare
-from cabflow.llm.components import components
+from cabflow.llm.components import components, local_components
 
 THRESHOLD, RECALL, BUCKET_ROWS, LEAST_BITS = 0.9, 0.999, 1024, 4
 RESULTS = ("n_links", "component_id", "kept")
@@ -73,20 +73,6 @@ def _hash(bits: int, tables: int, seed: int):
     return run
 
 
-def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index connected with each of ``n`` places by the links (a, b)."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if np.array_equal(new, label):
-            return label
-        label = new
-
-
 def _link(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         """One pair of parts of a bucket: per vector its degree and its smallest connected vector."""

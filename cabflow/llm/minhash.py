@@ -16,7 +16,8 @@ banded; texts that share a band are candidates, and J_P itself decides
    what the links found before leave in different components: node and
    smallest bucket centre; node and every bucket centre; then the other
    members of buckets that are still divided, unless all of them share a
-   bucket of an earlier band, in cells of bounded size. There a task
+   bucket of an earlier band, in cells of bounded size. A round's links are
+   taken between components, so each next graph is smaller. There a task
    tests every pair from different components until links found join them, and
    passes on only those links, so no link that could join two components
    goes untested and a group of thousands yields no list of pairs.
@@ -172,14 +173,14 @@ def _verify(threshold: float):
                 pairs = zip(batch.column(f"elements_{s}").to_pylist(), batch.column(f"weights_{s}").to_pylist())
                 sides.append([(np.frombuffer(e, np.uint64), np.frombuffer(w, np.uint32)) for e, w in pairs])
             linked = pa.array([similarity(x, y) >= threshold - SLACK for x, y in zip(*sides)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), linked], names=["a", "b", "linked"])
+            yield pa.RecordBatch.from_arrays([batch.column("of"), batch.column("component"), linked], names=["a", "b", "linked"])
 
     return run
 
 
 def _join_cell(threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        """Links that join components in one pair of parts of a bucket.
+        """Pairs of components that a link joins in one pair of parts of a bucket.
 
         Each pair from different components is tested, in the first band
         where the two meet; pairs that links found here have joined need not be.
@@ -187,7 +188,8 @@ def _join_cell(threshold: float):
         table = table.combine_chunks()
         table = table.take(pa.array(np.argsort(np.asarray(table.column("node")), kind="stable")))
         node, part = np.asarray(table.column("node")), np.asarray(table.column("part"))
-        label = np.unique(np.asarray(table.column("component")), return_inverse=True)[1]
+        component, label = np.unique(np.asarray(table.column("component")), return_inverse=True)
+        own_component = component[label]
         band, first, second = (table.column(c)[0].as_py() for c in ("band", "first", "second"))
         bands = np.asarray(table.column("bands").combine_chunks().flatten()).reshape(len(node), -1)
         sets = [(np.frombuffer(e, np.uint64), np.frombuffer(w, np.uint32)) for e, w in zip(table.column("elements").to_pylist(), table.column("weights").to_pylist())]
@@ -217,7 +219,7 @@ def _join_cell(threshold: float):
                 if label[j] != label[i]:
                     same = n / (sizes[i] + sizes[j] - n) if plain[i] and plain[j] else similarity(sets[i], sets[j])
                     if same >= threshold - SLACK:
-                        links.append((node[i], node[j]))
+                        links.append((own_component[i], own_component[j]))
                         label[label == label[j]] = label[i]
         a, b = zip(*links) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -240,26 +242,31 @@ def near_duplicate_nodes(rows: DataFrame, bands: int, rows_per_band: int, thresh
     centre_sets = sets.where("is_centre").select(F.col("node").alias("a"), F.col("elements").alias("elements_a"), F.col("weights").alias("weights_a"))
     member_sets = sets.select(F.col("node").alias("b"), F.col("elements").alias("elements_b"), F.col("weights").alias("weights_b"), F.col("a").alias("nearest"))
 
-    def test(pairs: DataFrame, name: str) -> DataFrame:
-        """``pairs`` (a: a centre, b, and b's set) with the decision."""
-        return cut(pairs.join(centre_sets, "a").mapInArrow(_verify(threshold), "a long, b long, linked boolean"), name)
+    def joined(pairs: DataFrame, name: str) -> DataFrame:
+        """Components of components: ``pairs`` (a: a centre, b's set, and the present components of both), tested and linked."""
+        sides = [f"{c}_{s}" for s in "ab" for c in ("elements", "weights")]
+        tested = pairs.join(centre_sets, "a").select("of", "component", *sides).mapInArrow(_verify(threshold), "a long, b long, linked boolean")
+        return components(tested.where("linked").select("a", "b"), name)
 
-    def apart(known: DataFrame) -> DataFrame:
-        """Bucket members with their present component."""
-        return shared.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    def resolved(nodes: DataFrame, node: str, component: str, found: list[DataFrame]) -> DataFrame:
+        """``nodes`` with ``node``'s present component: each of ``found`` joins components of those before it."""
+        nodes = nodes.withColumn(component, F.col(node))
+        for known in found:
+            after = known.select(F.col("node").alias(component), F.col("component").alias("_after"))
+            nodes = nodes.join(after, component, "left").withColumn(component, F.coalesce("_after", component)).drop("_after")
+        return nodes
 
-    tested = test(member_sets.withColumnRenamed("nearest", "a").where("a < b"), "tested-1")
-    known = cut(components(tested.where("linked")), "components-1")
+    first = member_sets.where("nearest < b").withColumns({"a": F.col("nearest"), "of": F.col("nearest"), "component": F.col("b")})
+    found = [joined(first, "components-1")]
 
-    at = apart(known)
-    centres = known.select(F.col("node").alias("centre"), F.col("component").alias("of"))
-    second = at.join(centres, "centre", "left").where(F.coalesce("of", "centre") != F.col("component"))
-    second = second.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    tested = tested.unionByName(test(second.join(member_sets.drop("nearest"), "b"), "tested-2"))
-    known = cut(components(tested.where("linked")), "components-2")
+    second = resolved(resolved(shared, "node", "component", found), "centre", "of", found).where("of != component")
+    second = second.select(F.col("centre").alias("a"), F.col("node").alias("b"), "of", "component").distinct()
+    # A member has met its smallest centre.
+    found.append(joined(second.join(member_sets, "b").where("a != nearest"), "components-2"))
 
     # Every member has met its centre; what is left are the pairs of other members.
-    at = cut(apart(known).where("node != centre").select("band", "value", "node", "component"), "bands-components")
+    at = resolved(shared.where("node != centre").select("band", "value", "node"), "node", "component", found)
+    at = cut(at.select("band", "value", "node", "component"), "bands-components")
     release(shared)
     sizes = at.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     divided = at.join(sizes.where("low < high").select("band", "value", "n"), ["band", "value"]).join(nodes.select("node", "bands"), "node")
@@ -273,16 +280,16 @@ def near_duplicate_nodes(rows: DataFrame, bands: int, rows_per_band: int, thresh
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = cells.withColumn("first", F.least("part", "other")).withColumn("second", F.greatest("part", "other")).drop("n", "parts", "other")
     cells = cells.join(sets.select("node", "elements", "weights"), "node")
-    links = cut(cells.groupBy("band", "value", "first", "second").applyInArrow(_join_cell(threshold), "a long, b long"), "cell-links")
+    links = cells.groupBy("band", "value", "first", "second").applyInArrow(_join_cell(threshold), "a long, b long")
+    found.append(components(links, "components-3"))
     release(divided)
     release(sets)
-    known = components(links.unionByName(tested.where("linked").select("a", "b")))
 
     member = signed.select("row", "k1", "k2").join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).select("row", "node")
-    found = cut(member.join(known, "node", "left").select("row", "node", F.coalesce("component", "node").alias("component")), "row-components")
+    placed = cut(resolved(member, "node", "component", found).select("row", "node", "component"), "row-components")
     release(signed)
     release(nodes)
-    return found
+    return placed
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, bands: int = BANDS, rows_per_band: int = ROWS) -> DataFrame:

@@ -13,7 +13,7 @@ from cabflow.llm import embedding_dedup as E
 from cabflow.llm import line_dedup as L
 from cabflow.llm import minhash as M
 from cabflow.llm import repeats as R
-from cabflow.llm.common import Words
+from cabflow.llm.common import Words, cut
 from cabflow.llm.components import components
 
 
@@ -227,3 +227,17 @@ def test_recall_bound_of_the_tables():
     planes = E.hyperplanes(64, bits, tables, 0)
     same = ((a @ planes >= 0) == (b @ planes >= 0)).reshape(2000, tables, bits).all(2).any(1)
     assert same.mean() >= 0.99
+
+
+def test_settled_links_take_no_round(spark, monkeypatch):
+    """Stars around their smallest nodes are components already; other links take rounds until they are."""
+    import cabflow.llm.components as module
+
+    names = []
+    monkeypatch.setattr(module, "cut", lambda df, name: names.append(name) or cut(df, name))
+    stars = [(9, 1), (1, 8), (7, 1), (5, 2), (2, 2)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {1: 1, 7: 1, 8: 1, 9: 1, 2: 2, 5: 2} and names == ["components"]
+    path = [(k, k + 1) for k in range(1, 12)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
+    assert got == {k: 1 for k in range(1, 13)} and len(names) > 2
