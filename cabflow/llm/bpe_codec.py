@@ -46,7 +46,7 @@ LEXICON_SIZE = 65_536
 #: Pieces whose ids a worker remembers.
 REMEMBERED = 300_000
 #: Text bytes encoded together, and text bytes whose pieces are counted together.
-SLICE_BYTES, COUNT_BYTES = 8 << 20, 16 << 20
+SLICE_BYTES, COUNT_BYTES = 4 << 20, 8 << 20
 
 
 def frequent_pieces(docs: DataFrame, text: str, size: int) -> list[str]:
@@ -138,7 +138,7 @@ def decode(ids: list[int], tokenizer: str) -> str:
     return " ".join(token[i] for i in ids if i in token)
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _codec(tokenizer: str, lexicon_file: str) -> Codec:
     return Codec(tokenizer, lexicon_file)
 
@@ -169,18 +169,21 @@ def bpe_codec(docs: DataFrame, tokenizer: str, text: str = "text", results: tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(tokenizer, SparkFiles.get(name))
-        for whole in batches:
-            for batch in slices(whole, text, SLICE_BYTES):
-                ids = codec.encode(texts_of(batch.column(text)))
-                out: dict[str, pa.Array] = {"n_tokens": pa.array(ids.sizes)}
-                if "ids" in results:
-                    out["ids"] = pa.ListArray.from_arrays(ids.edges(), pa.array(ids.values, pa.int32()))
-                if "ids_sha256" in results:
-                    out["ids_sha256"] = digests(codec.spelled(ids, codec.decimal))
-                if "decoded" in results or "decoded_sha256" in results:
-                    decoded = codec.spelled(ids, codec.token)
-                    out |= {"decoded": decoded.cast(pa.string()), "decoded_sha256": digests(decoded)}
-                yield pa.RecordBatch.from_arrays([*batch.columns, *(out[c] for c in results)], names=[*batch.schema.names, *results])
+        try:
+            for whole in batches:
+                for batch in slices(whole, text, SLICE_BYTES):
+                    ids = codec.encode(texts_of(batch.column(text)))
+                    out: dict[str, pa.Array] = {"n_tokens": pa.array(ids.sizes)}
+                    if "ids" in results:
+                        out["ids"] = pa.ListArray.from_arrays(ids.edges(), pa.array(ids.values, pa.int32()))
+                    if "ids_sha256" in results:
+                        out["ids_sha256"] = digests(codec.spelled(ids, codec.decimal))
+                    if "decoded" in results or "decoded_sha256" in results:
+                        decoded = codec.spelled(ids, codec.token)
+                        out |= {"decoded": decoded.cast(pa.string()), "decoded_sha256": digests(decoded)}
+                    yield pa.RecordBatch.from_arrays([*batch.columns, *(out[c] for c in results)], names=[*batch.schema.names, *results])
+        finally:
+            codec.pieces.forget()  # the worker lives on
 
     return docs.mapInArrow(run, schema)
 

@@ -48,6 +48,8 @@ from cabflow.llm.components import components
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 25, 5, 0.8
 #: Members of a bucket that one task compares with as many others, and room for rounding in comparisons.
 CELL, SLACK = 500, 1e-9
+#: Text bytes taken together.
+SLICE_BYTES = 2 << 20
 _STEP, _ALL = 0xD1B54A32D192ED03, (1 << 64) - 1
 RESULTS = ("class_id", "class_size", "kept")
 
@@ -135,7 +137,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 def _sign(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", SLICE_BYTES):
                 words = Words(text_bytes(batch.column("text")))
                 doc, element, weight = shingles(words)
                 has = np.flatnonzero(words.per_doc)
@@ -156,7 +158,7 @@ def _sign(bands: int, rows: int):
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in slices(whole, "text"):
+        for batch in slices(whole, "text", SLICE_BYTES):
             doc, element, weight = shingles(Words(text_bytes(batch.column("text"))))
             ends = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             elements = [element[a:b].tobytes() for a, b in zip(ends, ends[1:])]

@@ -122,6 +122,9 @@ class Remembered:
 
     def __init__(self, encode: Callable[[pa.Array], Ragged], limit: int):
         self.encode, self.limit = encode, limit
+        self.forget()
+
+    def forget(self) -> None:
         self.pieces, self.ids = pa.array([], pa.large_string()), NONE
 
     def of(self, pieces: pa.Array) -> Ragged:
