@@ -235,44 +235,49 @@ def forward_backward(model: Model, symbols: np.ndarray, starts: np.ndarray, size
     edges.append(length)
 
     def forward(first: int, end: int, a: np.ndarray | None):
-        alphas, scales, emitted = [], [], []
+        """Symbols, forward and emission probabilities (row: state; by time) and scales of a segment, and its last step."""
+        place = np.concatenate([symbols[starts[:k] + t] for t, k in enumerate(alive[first:end], first)])
+        emitted = np.ascontiguousarray(model.emit[place].T)
+        alphas, scales, at = np.empty_like(emitted), np.empty(len(place)), 0
         for t in range(first, end):
             k = alive[t]
-            e = model.emit[symbols[starts[:k] + t]]
-            a = (model.start if t == 0 else a[:k] @ model.move) * e
-            c = a.sum(axis=1)
-            a = a / c[:, None]
-            alphas.append(a)
-            scales.append(c)
-            emitted.append(e)
-        return alphas, scales, emitted
+            step = slice(at, at + k)
+            e = emitted[:, step]
+            a = model.start[:, None] * e if t == 0 else (model.move.T @ a[:, :k]) * e
+            scales[step] = c = a.sum(axis=0)
+            a /= c
+            alphas[:, step] = a
+            at += k
+        return place, alphas, emitted, scales, a
 
     entries: list[np.ndarray | None] = [None]
     for first, end in zip(edges[:-1], edges[1:]):
         found = forward(first, end, entries[-1])
-        entries.append(found[0][-1])
-    beta = np.ones((n, states))
+        entries.append(found[-1])
+    beta = np.ones((states, n))
     following = None  # what the next step emitted, by its scale
     for s in range(len(edges) - 2, -1, -1):
         if s < len(edges) - 2:
             found = forward(edges[s], edges[s + 1], entries[s])
-        alphas, scales, emitted = found
-        gammas, places = [], []
+        place, alphas, emitted, scales, _ = found
+        emitted /= scales
+        at = len(place)
         for t in range(edges[s + 1] - 1, edges[s] - 1, -1):
-            k, alpha = alive[t], alphas[t - edges[s]]
+            k = alive[t]
+            step = slice(at - k, at)
+            at -= k
+            alpha = alphas[:, step]
             if following is not None:
-                m = len(following)
-                ahead = following * beta[:m]
-                counts[1] += alpha[:m].T @ ahead * model.move
-                beta[:m] = ahead @ model.move.T
-            gammas.append(alpha * beta[:k])
-            places.append(symbols[starts[:k] + t])
-            following = emitted[t - edges[s]] / scales[t - edges[s]][:, None]
+                m = following.shape[1]
+                ahead = following * beta[:, :m]
+                counts[1] += alpha[:, :m] @ ahead.T * model.move
+                beta[:, :m] = model.move @ ahead
+            alpha *= beta[:, :k]
+            following = emitted[:, step]
         if s == 0:
-            counts[0] += gammas[-1].sum(axis=0)
-        place, gamma = np.concatenate(places), np.concatenate(gammas)
+            counts[0] += alphas[:, :n].sum(axis=1)
         for z in range(states):
-            counts[2][:, z] += np.bincount(place, weights=gamma[:, z], minlength=len(model.emit))
+            counts[2][:, z] += np.bincount(place, weights=alphas[z], minlength=len(model.emit))
 
 
 def log_likelihood(model: Model, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -280,13 +285,14 @@ def log_likelihood(model: Model, symbols: np.ndarray, starts: np.ndarray, sizes:
     order = np.argsort(-sizes, kind="stable")
     first, size = starts[order], sizes[order]
     total = np.zeros(len(size))
-    a = np.broadcast_to(model.start, (len(size), len(model.start)))
+    a = np.empty((len(model.start), len(size)))
     alive = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left")
     for t, k in enumerate(alive.tolist()):
-        a = (a if t == 0 else a[:k] @ model.move) * model.emit[symbols[first[:k] + t]]
-        c = a.sum(axis=1)
+        e = model.emit[symbols[first[:k] + t]].T
+        a = model.start[:, None] * e if t == 0 else (model.move.T @ a[:, :k]) * e
+        c = a.sum(axis=0)
         total[:k] += np.log10(c)
-        a = a / c[:, None]
+        a /= c
     out = np.empty(len(size))
     out[order] = total
     return out
@@ -358,8 +364,9 @@ def expected_counts(shared, states: int, ranges: int, schema: pa.Schema):
         model = shared.value.of_block(words, seen, _received(messages, len(words), states))
         counts = [np.zeros(states), np.zeros((states, states)), np.zeros((len(model.emit), states))]
         texts = sorted((x for x in table.column("symbols").to_pylist() if x is not None), key=lambda x: (-len(x), x))
-        for at in range(0, len(texts), 4096):
-            forward_backward(model, *_flat(texts[at : at + 4096]), counts)
+        # By 4 bytes a token: but for a text longer than that, none runs forward twice.
+        for some in parcels([len(x) for x in texts], 4 * CELLS):
+            forward_backward(model, *_flat(texts[some]), counts)
         units = np.rint(counts[2] * UNIT).astype(np.int64)
         head, others = units[:FIRST_CLASS], units[FIRST_CLASS:]
         # Rows by key: symbols from 0, then starts, other words, words seen once, and each state's moves.
